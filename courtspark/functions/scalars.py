@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,9 @@ def steps(x: Column, table: Iterable[tuple[float, float]], otherwise: float) ->
     for limit, value in table:
         out = F.when(x > limit, value) if out is None else out.when(x > limit, value)
     return out.otherwise(otherwise)
+
+
+def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row table, as a scalar subquery: no join at all."""
+    packed = one_row.select(F.struct(*[col(c) for c in one_row.columns]).alias("_s")).scalar()
+    return df.withColumns({c: packed.getField(c) for c in one_row.columns})

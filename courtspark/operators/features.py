@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtspark.functions import rolling, shooting, situation
-from courtspark.functions.scalars import col, fill, flag
-from courtspark.operators.loading import with_scalar
+from courtspark.functions.scalars import col, fill, flag, with_scalar
 from courtspark.plans.history import with_history
 from courtspark.plans.ordering import average_rank_share, exact_quantiles
 from courtspark.sources.staging import stage

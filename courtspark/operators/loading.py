@@ -10,7 +10,7 @@ from pyspark.sql.types import NumericType
 
 from courtspark import fixed
 from courtspark.functions import situation
-from courtspark.functions.scalars import col, finite, flag, total
+from courtspark.functions.scalars import col, finite, flag, total, with_scalar
 
 # Tried in this order; the first that fits the text wins.
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyyMMdd")
@@ -198,11 +198,6 @@ def plausible_totals(df: DataFrame, features: Sequence[str], target: str, at_lea
     return out
 
 
-def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row."""
-    return df.crossJoin(F.broadcast(scalar))  # one row by construction
-
-
 def recent_days(df: DataFrame, days: int, date: str = "Date") -> DataFrame:
     newest = df.agg(F.max(date).alias("_newest"))
     return (

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtspark.functions.scalars import col
+from courtspark.functions.scalars import col, with_scalar
 from courtspark.plans.sizes import TASK_ROWS, fits_one_task, row_count
 from courtspark.sources.staging import stage
 
@@ -97,7 +97,7 @@ def average_rank_share(
     """
     ranks = value_ranks(df, column, limit)
     size = ranks.agg(F.sum("n").alias("_size"))
-    share = ranks.crossJoin(F.broadcast(size)).select(  # one row
+    share = with_scalar(ranks, size).select(
         col(column).alias("_value"), ((col("low") + col("high")) / 2 / col("_size")).alias(name)
     )
     return df.join(share, col(column) == col("_value"), "left").drop("_value")

@@ -629,8 +629,8 @@ QUERIES = {
             "energy_factor": _REST_CASE.format(*fixed.REST_ENERGY["win"]), "altitude_advantage": f"CASE WHEN {_ALT} THEN 0.025 ELSE 0 END",
             "rest_advantage": _REST_CASE.format(*fixed.REST_ADVANTAGE["win"]),
             "season_fatigue_factor": "CASE WHEN month <= 3 THEN -0.015 WHEN month >= 11 THEN 0.01 ELSE 0 END", "weekend_boost": "is_weekend * 0.01",
-        }, "g").replace('round("days_rest"::DOUBLE, 9) + 0.0::DOUBLE', '"days_rest"::BIGINT').replace(
-            'round("days_into_season"::DOUBLE, 9) + 0.0::DOUBLE', '"days_into_season"::BIGINT'),
+        }, "g").replace('round("days_rest"::DOUBLE + 2e-11::DOUBLE, 6) + 0.0::DOUBLE', '"days_rest"::BIGINT').replace(
+            'round("days_into_season"::DOUBLE + 2e-11::DOUBLE, 6) + 0.0::DOUBLE', '"days_into_season"::BIGINT'),
     ),
     "team_projection": Query(
         points_table,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from courtspark import fixed, views
 from courtspark.functions import shooting, situation
-from courtspark.functions.scalars import col
+from courtspark.functions.scalars import col, with_scalar
 from courtspark.operators import loading
 from courtspark.operators.features import points_base, season_day, total_base
 from courtspark.registry.entry import Query, ask, tidy
@@ -259,7 +259,7 @@ def global_scalar(spark, sf_dir):
         F.min("Date").alias("first_date"), F.max("Date").alias("last_date"), F.avg("PTS").alias("mean_pts")
     )
     return tidy(
-        loading.with_scalar(df, scalar).select(
+        with_scalar(df, scalar).select(
             "game_id", "first_date", "last_date", (col("PTS") - col("mean_pts")).alias("above_mean")
         )
     )
