@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from courtspark.registry import history, rows, scores
+from courtspark.registry import history, market, rows, scores
 from courtspark.registry.entry import Query
 
 REGISTRY: dict[str, Query] = {}
-for _module in (rows, history, scores):
+for _module in (rows, history, scores, market):
     REGISTRY.update(_module.QUERIES)

@@ -221,36 +221,46 @@ double_log AS (
 )
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long odds table: one row per line item and side."""
-    item = table(spark, sf_dir, "lineitem")
-    common = [
+PRICE_TARGETS = ("PTS", "TRB", "AST", "3P")
+PRICE_LINES = ((10.0, 20.0, 30.0), (4.0, 8.0, 12.0), (4.0, 8.0, 12.0), (1.0, 3.0, 5.0))
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One quote per line item: an over and an under price of one bookmaker for one line."""
+    targets = F.array(*[F.lit(t) for t in PRICE_TARGETS])
+    lines = F.array(*[F.array(*[F.lit(x) for x in row]) for row in PRICE_LINES])
+    kind = (F.col("l_partkey") % 4 + 1).cast("int")
+    return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") % 200).alias("event_id"),
-        F.lit("PTS").alias("target"),
-        (10.0 * (1 + F.col("l_linenumber") % 3)).alias("line"),
+        F.element_at(targets, kind).alias("target"),
+        F.element_at(F.element_at(lines, kind), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("line"),
         F.concat(F.lit("bm"), F.col("l_suppkey") % 5).alias("bookmaker"),
         F.to_date("l_shipdate").alias("snapshot"),
         F.concat_ws(
             "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
             F.round(F.col("l_extendedprice") * 100).cast("long"),
-        ).alias("quote_id"),
-    ]
+        ).alias("quote_id"),
+        ((160 + 9 * _cents("l_discount")) / F.lit(100.0)).alias("over_price"),
+        ((160 + 10 * _cents("l_tax")) / F.lit(100.0)).alias("under_price"),
+    )
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long odds table: one row per quote and side."""
     sides = F.array(
-        F.struct(
-            F.lit("over").alias("side"),
-            ((160 + 9 * _cents("l_discount")) / F.lit(100.0)).alias("price"),
-        ),
-        F.struct(
-            F.lit("under").alias("side"),
-            ((160 + 10 * _cents("l_tax")) / F.lit(100.0)).alias("price"),
-        ),
+        F.struct(F.lit("over").alias("side"), F.col("over_price").alias("price")),
+        F.struct(F.lit("under").alias("side"), F.col("under_price").alias("price")),
+    )
+    df = quotes(spark, sf_dir)
+    return df.select(
+        "event_id", "target", "line", "bookmaker", "snapshot", "quote_id", F.inline(sides)
     )
-    return item.select(*common, F.inline(sides))
 
 
 PRICES = """
 quotes AS (
-  SELECT l_orderkey % 200 AS event_id, 'PTS' AS target, (10.0 * (1 + l_linenumber % 3))::DOUBLE AS line,
+  SELECT l_orderkey % 200 AS event_id, ['PTS', 'TRB', 'AST', '3P'][l_partkey % 4 + 1] AS target,
+    [[10, 20, 30], [4, 8, 12], [4, 8, 12], [1, 3, 5]][l_partkey % 4 + 1][l_linenumber % 3 + 1]::DOUBLE AS line,
     'bm' || (l_suppkey % 5) AS bookmaker, l_shipdate::DATE AS snapshot,
     l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || round(l_extendedprice * 100)::BIGINT AS quote_id,
     (160 + 9 * round(abs(l_discount) * 100)::BIGINT)::DOUBLE / 100.0::DOUBLE AS over_price,
@@ -263,6 +273,62 @@ prices AS (
 """
 
 
+def event_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final value of each priced event."""
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy((F.col("user_id") % 200).alias("event_id"))
+        .agg(F.max("value").alias("actual"))
+    )
+
+
+EVENT_RESULTS = "results AS (SELECT user_id % 200 AS event_id, max(value) AS actual FROM events GROUP BY 1)"
+
+
+def odds_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One snapshot document per quote, as JSON text."""
+    key = F.col("event_id")
+    player = F.concat(F.lit("Player "), key)
+    market = F.concat(
+        F.lit("player_"),
+        F.element_at(
+            F.create_map(*[F.lit(x) for pair in zip(PRICE_TARGETS, ("points", "rebounds", "assists", "threes")) for x in pair]),
+            F.col("target"),
+        ),
+    )
+    outcome = lambda side, price: F.struct(
+        F.concat(player, F.lit(f" {side}")).alias("name"),
+        F.element_at(F.array(*[F.lit(t) for t in VIEW_TEAMS]), (key % 25 + 1).cast("int")).alias("team"),
+        F.col("line").alias("point"),
+        F.col(price).alias("price"),
+    )
+    document = F.struct(
+        F.lit(True).alias("success"),
+        F.date_format("snapshot", "yyyy-MM-dd'T'HH:mm:ss").alias("last_update"),
+        F.array(
+            F.struct(
+                F.date_format("snapshot", "yyyy-MM-dd'T'HH:mm:ss").alias("commence_time"),
+                F.lit("HOME").alias("home_team"),
+                F.lit("AWAY").alias("away_team"),
+                F.array(
+                    F.struct(
+                        F.col("bookmaker").alias("key"),
+                        F.array(
+                            F.struct(
+                                market.alias("key"),
+                                F.array(
+                                    outcome("Over", "over_price"), outcome("Under", "under_price")
+                                ).alias("outcomes"),
+                            )
+                        ).alias("markets"),
+                    )
+                ).alias("bookmakers"),
+            )
+        ).alias("data"),
+    )
+    return quotes(spark, sf_dir).select(F.to_json(document).alias("value"))
+
+
 def scored_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and scores of a made-up classifier: one row per event."""
     kind = F.col("event_type")
