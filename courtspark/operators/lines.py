@@ -50,45 +50,53 @@ def nearest_line(x: Column, lines: Sequence[float]) -> dict[str, Column]:
     }
 
 
-def _per_line(lines: Sequence[float], make) -> Column:
-    return F.array(*[make(i, float(x)) for i, x in enumerate(lines)])
+Pairs = Sequence[tuple[str, float]]
 
 
-def line_shares(df: DataFrame, target: str, lines: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Rows and overs per line (and group), from one aggregate."""
-    aggs = [F.count(F.when(col(target) > float(x), 1)).alias(f"_o{i}") for i, x in enumerate(lines)]
-    counted = df.groupBy(*by).agg(F.count("*").alias("samples"), *aggs)
-    items = _per_line(
-        lines, lambda i, x: F.struct(F.lit(x).alias("line"), col(f"_o{i}").alias("overs"))
+def line_pairs(targets: str | Sequence[str], lines: Sequence[float] | None = None) -> list[tuple[str, float]]:
+    """(target, line) pairs: the usual lines of each target unless lines are given."""
+    targets = [targets] if isinstance(targets, str) else list(targets)
+    return [(t, float(x)) for t in targets for x in (lines_of(t) if lines is None else lines)]
+
+
+def _rows(pairs: Pairs, make) -> Column:
+    """Array of structs (target, line, ...): one per pair."""
+    return F.array(
+        *[
+            F.struct(F.lit(t).alias("target"), F.lit(x).alias("line"), *make(i))
+            for i, (t, x) in enumerate(pairs)
+        ]
     )
+
+
+def line_shares(df: DataFrame, pairs: Pairs, by: Sequence[str] = ()) -> DataFrame:
+    """Rows and overs per target and line (and group), all from one aggregate."""
+    aggs = [F.count(F.when(col(t) > x, 1)).alias(f"_o{i}") for i, (t, x) in enumerate(pairs)]
+    counted = df.groupBy(*by).agg(F.count("*").alias("samples"), *aggs)
+    items = _rows(pairs, lambda i: [col(f"_o{i}").alias("overs")])
     return counted.select(*by, "samples", F.inline(items))
 
 
 def recent_windows(
-    df: DataFrame, target: str, lines: Sequence[float], order: Sequence[str] = ("Date", "game_id")
+    df: DataFrame, pairs: Pairs, order: Sequence[str] = ("Date", "game_id")
 ) -> DataFrame:
     """max(m, 1-m) over the newest 3, 5, 10 and 20 rows of all players together.
 
     Only the 20 newest rows reach the ordered window.
     """
     most = max(fixed.RECENT_WINDOWS)
-    newest = newest_events(df.select(*dict.fromkeys([*order, target])), most, order)
+    names = dict.fromkeys([*order, *[t for t, _ in pairs]])
+    newest = newest_events(df.select(*[col(n) for n in names]), most, order)
     placed = newest.withColumn("_k", F.row_number().over(Window.orderBy(*[F.desc(c) for c in order])))
+    over = lambda t, x: flag(col(t) > x).cast("double").alias("over")
+    items = F.array(
+        *[F.struct(F.lit(t).alias("target"), F.lit(x).alias("line"), over(t, x)) for t, x in pairs]
+    )
     aggs = []
     for w in fixed.RECENT_WINDOWS:
-        aggs.append(F.count(F.when(col("_k") <= w, 1)).alias(f"_n{w}"))
-        for i, x in enumerate(lines):
-            over = flag(col(target) > float(x)).cast("double")
-            aggs.append(F.avg(F.when(col("_k") <= w, over)).alias(f"_m{w}_{i}"))
-
-    def one(i: int, x: float) -> Column:
-        fields = [F.lit(x).alias("line")]
-        for w in fixed.RECENT_WINDOWS:
-            m = col(f"_m{w}_{i}")
-            fields.append(F.when(col(f"_n{w}") >= w, F.greatest(m, 1 - m)).alias(f"window_{w}"))
-        return F.struct(*fields)
-
-    return placed.agg(*aggs).select(F.inline(_per_line(lines, one)))
+        m = F.avg(F.when(col("_k") <= w, col("over")))
+        aggs.append(F.when(F.count("*") >= w, F.greatest(m, 1 - m)).alias(f"window_{w}"))
+    return placed.select("_k", F.inline(items)).groupBy("target", "line").agg(*aggs)
 
 
 def window_consistency() -> Column:
@@ -103,21 +111,23 @@ def window_consistency() -> Column:
 
 def line_confidence(
     df: DataFrame,
-    target: str,
+    targets: str | Sequence[str],
     lines: Sequence[float] | None = None,
     lookback_days: int = 60,
     min_samples: int = 30,
     order: Sequence[str] = ("Date", "game_id"),
 ) -> DataFrame:
-    """Confidence of every line over the recent rows: raw, volatility, windows, adjusted."""
-    lines = lines_of(target) if lines is None else lines
+    """Confidence of every line over the recent rows: raw, volatility, windows, adjusted.
+
+    All targets and lines come from one pass over the log and one top-20.
+    """
+    pairs = line_pairs(targets, lines)
     recent = recent_days(df, lookback_days)
-    shares = line_shares(recent, target, lines).where(col("samples") >= min_samples)
+    shares = line_shares(recent, pairs).where(col("samples") >= min_samples)
     p = col("overs") / col("samples")
     n = col("samples")
     shares = shares.withColumns(
         {
-            "target": F.lit(target),
             "over_share": p,
             "under_share": 1 - p,
             "prediction": F.when(p >= 0.5, "over").otherwise("under"),
@@ -125,7 +135,7 @@ def line_confidence(
             "volatility": F.when(n > 1, F.sqrt(n * p * (1 - p) / (n - 1))).otherwise(0.5),
         }
     )
-    joined = shares.join(recent_windows(recent, target, lines, order), "line", "left")
+    joined = shares.join(recent_windows(recent, pairs, order), ["target", "line"], "left")
     base = col("confidence") * F.when(
         col("volatility") > 0.3, 1 - (col("volatility") - 0.3)
     ).otherwise(1.0)
@@ -141,8 +151,7 @@ def confident_lines(confidence: DataFrame, at_least: float = 0.96) -> DataFrame:
 def line_by_opponent(
     df: DataFrame, target: str, lines: Sequence[float] | None = None, at_least: int = 3
 ) -> DataFrame:
-    lines = lines_of(target) if lines is None else lines
-    shares = line_shares(df, target, lines, ["Opp"]).where(col("samples") >= at_least)
+    shares = line_shares(df, line_pairs(target, lines), ["Opp"]).where(col("samples") >= at_least)
     p = col("overs") / col("samples")
     return shares.withColumn("consistency", F.greatest(p, 1 - p))
 
@@ -158,10 +167,10 @@ def player_vs_lines(
     key: str = "Player",
 ) -> DataFrame:
     """Lines that a player beats or misses often enough, over the recent rows."""
-    lines = lines_of(target) if lines is None else lines
+    pairs = line_pairs(target, lines)
     recent = recent_days(df, lookback_days)
     size = recent.agg(F.count("*").alias("_rows"))
-    aggs = [F.count(F.when(col(target) > float(x), 1)).alias(f"_o{i}") for i, x in enumerate(lines)]
+    aggs = [F.count(F.when(col(t) > x, 1)).alias(f"_o{i}") for i, (t, x) in enumerate(pairs)]
     players = recent.groupBy(key).agg(
         F.count("*").alias("num_games"),
         F.avg(col(target)).alias("avg_value"),
@@ -170,7 +179,7 @@ def player_vs_lines(
         F.max(col(target)).alias("max_value"),
         *aggs,
     )
-    items = _per_line(lines, lambda i, x: F.struct(F.lit(x).alias("line"), col(f"_o{i}").alias("_overs")))
+    items = _rows(pairs, lambda i: [col(f"_o{i}").alias("_overs")])
     p = col("_overs") / col("num_games")
     return (
         with_scalar(players, size)
@@ -184,7 +193,7 @@ def player_vs_lines(
             }
         )
         .where(col("confidence") >= at_least)
-        .drop("_overs")
+        .drop("_overs", "target")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from courtspark import fixed
 from courtspark.functions.scalars import col, fill, flag, with_scalar
 from courtspark.operators.loading import recent_days
-from courtspark.operators.lines import confident_lines, line_confidence, lines_of
+from courtspark.operators.lines import confident_lines, line_confidence
 
 LINE = ["target", "line"]
 PROP_TARGETS = {"points": "PTS", "rebounds": "TRB", "assists": "AST", "threes": "3P"}
@@ -213,7 +213,7 @@ def market_edges(
 ) -> DataFrame:
     """Bookmakers whose price on the predicted side leaves an edge, with expected value."""
     prices = _recent(prices, lookback_days)
-    found = implied_probability(lines_semijoin(prices, confidence)).join(
+    found = implied_probability(prices).join(
         confidence.select(*LINE, "prediction", col("adjusted_confidence").alias("confidence")), LINE
     )
     found = found.where(col("side") == col("prediction"))
@@ -260,7 +260,7 @@ def betting_strategy(
     """
     out = confidence.withColumn("market_probability", F.lit(0.5))
     if prices is not None:
-        books = implied_probability(lines_semijoin(prices, confidence))
+        books = implied_probability(prices)
         sides = books.groupBy(*LINE).agg(
             F.avg(F.when(col("side") == "over", col("market_probability"))).alias("_over"),
             F.avg(F.when(col("side") == "under", col("market_probability"))).alias("_under"),
@@ -433,7 +433,7 @@ def market_pipeline(
     lookback_days: int | None = 60,
 ) -> dict[str, DataFrame]:
     """Confident lines of one target, and the market tables about them."""
-    confidence = line_confidence(games, target, lines_of(target), order=order)
+    confidence = line_confidence(games, target, order=order)
     lines = confident_lines(confidence, min_confidence)
     mine = prices.where(col("target") == target)
     return {

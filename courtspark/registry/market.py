@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -34,9 +33,7 @@ def nearest(spark, sf_dir):
 
 
 def all_confidence(spark, sf_dir):
-    df = player_games(spark, sf_dir)
-    parts = [lines.line_confidence(df, t, order=ORDER) for t in TARGETS]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return lines.line_confidence(player_games(spark, sf_dir), TARGETS, order=ORDER)
 
 
 def confidence(spark, sf_dir):
@@ -50,8 +47,8 @@ def adjusted(spark, sf_dir):
 
 
 def windows(spark, sf_dir):
-    df = lines.recent_windows(player_games(spark, sf_dir), "PTS", lines.lines_of("PTS"), ORDER)
-    return tidy(df)
+    df = lines.recent_windows(player_games(spark, sf_dir), lines.line_pairs("PTS"), ORDER)
+    return tidy(df.drop("target"))
 
 
 def by_opponent(spark, sf_dir):
