@@ -38,6 +38,16 @@ def finite(x: Column) -> Column:
     return F.when(~bad, x)
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson r over the rows where both are known; null when one of them is constant.
+
+    The built-in ``corr`` raises for a constant column in ANSI mode.
+    """
+    x = F.when(b.isNotNull(), a.cast("double"))
+    y = F.when(a.isNotNull(), b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def total(parts: Iterable[Column]) -> Column:
     parts = list(parts)
     out = parts[0]

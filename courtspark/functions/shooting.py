@@ -182,7 +182,7 @@ def points_per_minute() -> Column:
 
 
 def biometrics() -> dict[str, Column]:
-    h, ratio_hw = col("Height_Inches"), col("Weight") / col("Height_Inches")
+    h, ratio_hw = col("Height_Inches"), ratio(col("Weight"), col("Height_Inches"))
     over_six_feet = (h - 72) / 12
     rebounding = clip(over_six_feet * 0.15, 0.0, 0.25)
     blocking = clip(over_six_feet * 0.1, 0.0, 0.2)

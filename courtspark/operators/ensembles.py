@@ -141,8 +141,11 @@ def older_hybrid(members: Mapping[str, Column], direct: Column, recent_total: Co
     mixed = direct * 0.85 + ml * 0.15
     every = F.filter(F.array(direct, ml, *[members[m] for m in shares]), lambda x: x.between(*PLAUSIBLE))
     n = F.size(every)
-    mean = F.aggregate(every, F.lit(0.0), lambda a, x: a + x) / n
-    std = F.sqrt(F.aggregate(every, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    mean = F.aggregate(every, F.lit(0.0), lambda a, x: a + x)
+    mean = ratio(mean, n)
+    std = F.sqrt(
+        ratio(F.aggregate(every, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)), n)
+    )
     s = F.array_sort(every)
     middle = (
         F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, (F.floor(n / 2) + 1).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtspark.functions.scalars import clip, col, fill, flag, ratio, with_scalar
+from courtspark.functions.scalars import clip, col, fill, flag, pearson, ratio, with_scalar
 from courtspark.plans.ordering import exact_quantiles, running_totals
 
 # --- fixed values: reported tolerances, ranges, bins, grades --------------------------------
@@ -37,7 +37,7 @@ def regression_aggregates(features: int | None = None) -> dict[str, Column]:
         "mean_error": F.avg(e),
         "std_error": F.stddev_pop(e),
         "cv_rmse": ratio(F.sqrt(mse), F.avg(y)),
-        "pearson": F.corr("y_true", "y_pred"),
+        "pearson": pearson(col("y_true"), col("y_pred")),
     }
     if features is not None:
         out["r2_adjusted"] = 1 - ratio((1 - r2) * (n - 1), n - F.lit(features) - 1)

@@ -15,6 +15,7 @@ from courtspark.functions import rolling, shooting, situation
 from courtspark.functions.scalars import col, fill, flag, with_scalar
 from courtspark.plans.history import with_history
 from courtspark.plans.ordering import average_rank_share, exact_quantiles
+from courtspark.plans.sizes import row_count
 from courtspark.sources.staging import stage
 
 TEAM, PLAYER = ("Team",), ("Player",)
@@ -93,7 +94,9 @@ def win_history(w) -> dict[str, Column]:
     return out
 
 
-def opponent_form(df: DataFrame, order=ORDER, task_rows: int | None = None) -> DataFrame:
+def opponent_form(
+    df: DataFrame, order=ORDER, task_rows: int | None = None, rows: int | None = None
+) -> DataFrame:
     """Form and season record seen from the opponent's side; net rating when recorded."""
     rating = "game_net_rating" in df.columns
 
@@ -106,14 +109,28 @@ def opponent_form(df: DataFrame, order=ORDER, task_rows: int | None = None) -> D
         return out
 
     out = with_history(
-        df, ["Opp"], order, build, 10, running_mean("opponent_season_record", col("is_win")), task_rows
+        df,
+        ["Opp"],
+        order,
+        build,
+        10,
+        running_mean("opponent_season_record", col("is_win")),
+        task_rows,
+        rows,
     )
     out = expanding_mean(out, "opponent_season_record", F.lit(0.5))
     return out.withColumn("opponent_season_record", 1 - col("opponent_season_record"))
 
 
 def last_meeting(
-    df: DataFrame, keys, flag_name: str, name: str, default: float, order=ORDER, task_rows=None
+    df: DataFrame,
+    keys,
+    flag_name: str,
+    name: str,
+    default: float,
+    order=ORDER,
+    task_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Flag of the previous game against the same opponent."""
     return with_history(
@@ -123,6 +140,7 @@ def last_meeting(
         lambda w: {name: rolling.last_result(w, flag_name, default)},
         1,
         task_rows=task_rows,
+        rows=rows,
     )
 
 
@@ -130,10 +148,11 @@ def win_features(games: DataFrame, order=ORDER, task_rows: int | None = None) ->
     """Features of the win model. Needs ``is_win`` and ``is_home``."""
     if "is_win" not in games.columns:
         raise ValueError("is_win is required")
+    rows = row_count(games)
     df = season_day(games)
-    df = with_history(df, TEAM, order, win_history, 10, task_rows=task_rows)
-    df = opponent_form(df, order, task_rows)
-    df = last_meeting(df, TEAM, "is_win", "last_vs_opp_result", 0.5, order, task_rows)
+    df = with_history(df, TEAM, order, win_history, 10, task_rows=task_rows, rows=rows)
+    df = last_meeting(df, TEAM, "is_win", "last_vs_opp_result", 0.5, order, task_rows, rows)
+    df = opponent_form(df, order, task_rows, rows)
     df = df.withColumn("is_back_to_back", situation.back_to_back())
     return _add(
         df,
@@ -151,14 +170,16 @@ def win_features(games: DataFrame, order=ORDER, task_rows: int | None = None) ->
 # ------------------------------------------------------------------ opponent strength
 
 
-def opponent_averages(df: DataFrame, order=ORDER, task_rows: int | None = None) -> DataFrame:
+def opponent_averages(
+    df: DataFrame, order=ORDER, task_rows: int | None = None, rows: int | None = None
+) -> DataFrame:
     def build(w):
         return {
             "_opp_allowed": rolling.rolled(w, col("PTS_Opp"), 10, "mean", 3),
             "_opp_scored": rolling.rolled(w, col("PTS"), 10, "mean", 3),
         }
 
-    return with_history(df, ["Opp"], order, build, 10, task_rows=task_rows)
+    return with_history(df, ["Opp"], order, build, 10, task_rows=task_rows, rows=rows)
 
 
 def opponent_strength(
@@ -168,19 +189,33 @@ def opponent_strength(
     offence: str = "opponent_off_strength",
     order=ORDER,
     task_rows: int | None = None,
+    games: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Average-rank percentile of the opponents' averages over the whole table.
 
-    The table with averages is written once, since both rankings and the rows read it.
+    Averages and ranks are worked out on a narrow table (row id, opponent, points) taken from
+    ``games``, written once since both rankings read it, and joined back by the row id, the last
+    column of ``order``. The wide table takes part in that one join only.
     """
-    averaged = stage(opponent_averages(df, order, task_rows), "opponents")
-    ranked = average_rank_share(averaged, "_opp_allowed", defence, task_rows)
-    ranked = average_rank_share(ranked, "_opp_scored", offence, task_rows)
-    ranked = _add(ranked, {defence: fill(col(defence), 0.5), offence: fill(col(offence), 0.5)})
-    return ranked.withColumn(
-        "opponent_quality_factor",
-        col(offence) * offence_share + col(defence) * (1 - offence_share),
-    ).drop("_opp_allowed", "_opp_scored")
+    key = order[-1]
+    names = dict.fromkeys(["Opp", *order, "PTS", "PTS_Opp"])
+    narrow = (df if games is None else games).select(*[col(n) for n in names])
+    averages = opponent_averages(narrow, order, task_rows, rows)
+    averaged = stage(averages.select(key, "_opp_allowed", "_opp_scored"), "opponents")
+    ranked = average_rank_share(averaged, "_opp_allowed", defence, task_rows, rows)
+    ranked = average_rank_share(ranked, "_opp_scored", offence, task_rows, rows)
+    defended, attacked = fill(col(defence), 0.5), fill(col(offence), 0.5)
+    quality = attacked * offence_share + defended * (1 - offence_share)
+    return df.join(
+        ranked.select(
+            key,
+            defended.alias(defence),
+            attacked.alias(offence),
+            quality.alias("opponent_quality_factor"),
+        ),
+        key,
+    )
 
 
 # ------------------------------------------------------------------ team points
@@ -244,8 +279,10 @@ def tier_running() -> dict[str, tuple[str, Column]]:
     return out
 
 
-def with_scoring_tier(df: DataFrame, task_rows: int | None = None) -> DataFrame:
-    median = exact_quantiles(df, ["team_direct_scoring_projection"], [0.5], task_rows)
+def with_scoring_tier(
+    df: DataFrame, task_rows: int | None = None, rows: int | None = None
+) -> DataFrame:
+    median = exact_quantiles(df, ["team_direct_scoring_projection"], [0.5], task_rows, rows)
     (middle,) = median["team_direct_scoring_projection"]
     tier = shooting.scoring_tier(col("team_direct_scoring_projection"), F.lit(middle).cast("double"))
     return df.withColumn("team_scoring_tier", tier)
@@ -253,9 +290,10 @@ def with_scoring_tier(df: DataFrame, task_rows: int | None = None) -> DataFrame:
 
 def points_features(games: DataFrame, order=ORDER, task_rows: int | None = None) -> DataFrame:
     """Features of the team-points model. Needs ``is_win`` or a result text, and ``is_home``."""
+    rows = row_count(games)
     df = _add(season_day(games), points_base())
-    df = with_scoring_tier(df, task_rows)
-    df = with_history(df, TEAM, order, points_history, 10, tier_running(), task_rows)
+    df = with_scoring_tier(df, task_rows, rows)
+    df = with_history(df, TEAM, order, points_history, 10, tier_running(), task_rows, rows)
     for tier in ("low_scoring", "mid_scoring", "high_scoring"):
         df = expanding_mean(df, f"team_{tier}_efficiency", col("team_conversion_efficiency"))
     df = with_history(
@@ -266,9 +304,10 @@ def points_features(games: DataFrame, order=ORDER, task_rows: int | None = None)
         0,
         running_mean("team_vs_opp_scoring_history", col("team_direct_scoring_projection")),
         task_rows,
+        rows,
     )
     df = expanding_mean(df, "team_vs_opp_scoring_history")
-    df = opponent_strength(df, 0.4, order=order, task_rows=task_rows)
+    df = opponent_strength(df, 0.4, order=order, task_rows=task_rows, games=games, rows=rows)
     ten = col("team_direct_projection_avg_10g")
     df = _add(
         df,
@@ -385,9 +424,10 @@ def games_remaining(df: DataFrame, order=ORDER, task_rows: int | None = None) ->
 
 def total_features(games: DataFrame, order=ORDER, task_rows: int | None = None) -> DataFrame:
     """Features of the game-total model. Needs ``is_home``."""
+    rows = row_count(games)
     df = _add(season_day(games), total_base())
     df = with_history(
-        df, TEAM, order, total_history, 10, {"_played": ("count", F.lit(1))}, task_rows
+        df, TEAM, order, total_history, 10, {"_played": ("count", F.lit(1))}, task_rows, rows
     )
     df = _add(df, total_derived())
     df = with_history(
@@ -399,10 +439,11 @@ def total_features(games: DataFrame, order=ORDER, task_rows: int | None = None)
         running_mean("vs_opp_pts_history", col("PTS"))
         | running_mean("vs_opp_allowed_history", col("PTS_Opp")),
         task_rows,
+        rows,
     )
     df = expanding_mean(expanding_mean(df, "vs_opp_pts_history"), "vs_opp_allowed_history")
     df = opponent_strength(
-        df, 0.6, "opp_defensive_ranking", "opp_offensive_ranking", order, task_rows
+        df, 0.6, "opp_defensive_ranking", "opp_offensive_ranking", order, task_rows, games, rows
     )
     edge = (
         F.coalesce(col("vs_opp_pts_history"), col("pts_avg_10g"))
@@ -470,12 +511,19 @@ def double_history(w) -> dict[str, Column]:
 
 
 def current_streak(
-    df: DataFrame, keys=PLAYER, lag: int = 1, name: str = "dd_streak", order=ORDER, task_rows=None
+    df: DataFrame,
+    keys=PLAYER,
+    lag: int = 1,
+    name: str = "dd_streak",
+    order=ORDER,
+    task_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Length of the run of double-doubles that ends ``lag`` rows before the current one.
 
     Built from two running aggregates, the row position and the position of the last miss.
     """
+    rows = row_count(df) if rows is None else rows
     df = with_history(
         df,
         keys,
@@ -484,6 +532,7 @@ def current_streak(
         max(lag - 1, 0),
         {"_at": ("count", F.lit(1))},
         task_rows,
+        rows,
     )
     shown = col("_flag") if lag > 1 else col("double_double")
     position = col("_at") + (2 - lag)
@@ -495,13 +544,16 @@ def current_streak(
         0,
         {"_miss": ("max", F.when(shown == 0, position))},
         task_rows,
+        rows,
     )
     rows_seen = F.greatest(col("_at") - (lag - 1), F.lit(0))
     streak = rows_seen - F.coalesce(col("_miss"), F.lit(0))
     return df.withColumn(name, streak).drop("_flag", "_at", "_miss")
 
 
-def opponent_defence(df: DataFrame, order=ORDER, task_rows: int | None = None) -> DataFrame:
+def opponent_defence(
+    df: DataFrame, order=ORDER, task_rows: int | None = None, rows: int | None = None
+) -> DataFrame:
     return with_history(
         df,
         ["Opp"],
@@ -509,19 +561,21 @@ def opponent_defence(df: DataFrame, order=ORDER, task_rows: int | None = None) -
         lambda w: {"opponent_def_rating": fill(rolling.rolled(w, col("PTS"), 10, "mean", 3), 105.0)},
         10,
         task_rows=task_rows,
+        rows=rows,
     )
 
 
 def double_features(games: DataFrame, order=ORDER, task_rows: int | None = None) -> DataFrame:
     """Features of the double-double model. Needs flags, venue, starter and, if known, biometrics."""
+    rows = row_count(games)
     df = _add(
         season_day(games),
         {"usage_rate_approx": shooting.usage_rate(), "pts_efficiency": shooting.points_per_shot()},
     )
-    df = with_history(df, PLAYER, order, double_history, 10, task_rows=task_rows)
-    df = current_streak(df, order=order, task_rows=task_rows)
-    df = opponent_defence(df, order, task_rows)
-    df = last_meeting(df, PLAYER, "double_double", "last_dd_vs_opp", 0.1, order, task_rows)
+    df = with_history(df, PLAYER, order, double_history, 10, task_rows=task_rows, rows=rows)
+    df = current_streak(df, order=order, task_rows=task_rows, rows=rows)
+    df = last_meeting(df, PLAYER, "double_double", "last_dd_vs_opp", 0.1, order, task_rows, rows)
+    df = opponent_defence(df, order, task_rows, rows)
     df = df.withColumn("is_back_to_back", situation.back_to_back())
     columns = situation.home_factors("double") | {
         "energy_factor": situation.energy("double"),

@@ -47,7 +47,7 @@ def result_columns(name: str = "Result", scores: bool = True) -> dict[str, Colum
         return F.regexp_extract(text, fixed.RESULT_PATTERN, k)
 
     def number(k: int) -> Column:
-        return F.nullif(part(k), F.lit("")).cast("int")
+        return F.nullif(part(k), F.lit("")).try_cast("int")
 
     extra = F.when(fits, part(4)).otherwise("")
     digit = F.nullif(F.regexp_extract(extra, r"^(\d)", 1), F.lit("")).cast("int")
@@ -106,7 +106,7 @@ def percents_to_fractions(df: DataFrame) -> DataFrame:
 def height_inches(c: Column) -> Column:
     pattern = r"^\s*([+-]?\d+)\s*'\s*([+-]?\d+)\s*$"
     text = F.regexp_replace(c, '"', "")
-    part = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("int")
+    part = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).try_cast("int")
     return (part(1) * 12 + part(2)).cast("double")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtspark import fixed
-from courtspark.functions.scalars import col, fill, flag, with_scalar
+from courtspark.functions.scalars import col, fill, flag, ratio, with_scalar
 from courtspark.operators.loading import recent_days
 from courtspark.operators.lines import confident_lines, line_confidence
 
@@ -170,7 +170,7 @@ def bookmaker_stats(prices: DataFrame, at_least: int = 5) -> DataFrame:
             F.min("price").alias("min"),
             F.max("price").alias("max"),
             F.stddev_samp("price").alias("std"),
-            (1 / mean).alias("implied_prob"),
+            ratio(F.lit(1.0), mean).alias("implied_prob"),
         )
         .where(col("count") >= at_least)
     )
@@ -180,7 +180,7 @@ def best_bookmaker(stats: DataFrame) -> DataFrame:
     """Per line: best mean price of each side (first name on ties), bookmakers, juice."""
     rank = lambda s: F.when(col("side") == s, F.struct(-col("mean"), col("bookmaker")))
     side = lambda s, x: F.when(col("side") == s, x)
-    juice = F.avg(side("over", 1 / col("mean"))) + F.avg(side("under", 1 / col("mean")))
+    juice = F.avg(side("over", ratio(F.lit(1.0), col("mean")))) + F.avg(side("under", ratio(F.lit(1.0), col("mean"))))
     return stats.groupBy(*LINE).agg(
         F.count(side("over", F.lit(1))).alias("over_bookmakers"),
         F.count(side("under", F.lit(1))).alias("under_bookmakers"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtspark.functions.scalars import col, ratio
+from courtspark.functions.scalars import col, pearson, ratio
 from courtspark.plans.history import with_history
 
 
@@ -67,7 +67,7 @@ def player_consistency(
             F.stddev_samp(col(stat)).alias("std"),
         )
         .where((col("games") >= at_least) & (col("mean") > 0))
-        .withColumn("cv", col("std") / col("mean"))
+        .withColumn("cv", ratio(col("std"), col("mean")))
         .where(col("cv").isNotNull())
     )
     low = cv.orderBy(col("cv"), col(key)).limit(top).withColumn("side", F.lit("most_consistent"))
@@ -77,7 +77,7 @@ def player_consistency(
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Pearson r of many column pairs in one aggregate, as rows (a, b, r)."""
-    row = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[pearson(col(a), col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     items = F.array(
         *[
             F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), col(f"_{i}").alias("r"))
@@ -198,7 +198,7 @@ def importance_rollup(scores: DataFrame, groups: DataFrame | None = None) -> Dat
     return mean.select(
         "*",
         F.row_number().over(Window.orderBy(*order)).alias("place"),
-        (F.sum("importance").over(upto) / F.sum("importance").over(whole)).alias("cumulative"),
+        ratio(F.sum("importance").over(upto), F.sum("importance").over(whole)).alias("cumulative"),
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import col
 from courtspark.plans.ordering import row_index
-from courtspark.plans.sizes import TASK_ROWS, largest_key
+from courtspark.plans.sizes import TASK_ROWS, keys_fit_one_task
 
 _IX, _BLOCK, _OWN = "_row_ix", "_block", "_own"
 
@@ -58,17 +58,18 @@ def with_history(
     reach: int,
     running: Mapping[str, tuple[str, Column]] | None = None,
     task_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add history columns to ``df``.
 
     ``build`` gets a window (keys, order) and returns the bounded columns, none of which may
     look more than ``reach`` rows back. ``running`` maps a name to ('sum' | 'count' | 'max',
     expression): the aggregate of all earlier rows of the key, the current row left out.
-    ``order`` must be unique within a key.
+    ``order`` must be unique within a key. ``rows`` is the number of rows of ``df``, if known.
     """
     running = dict(running or {})
     task_rows = TASK_ROWS if task_rows is None else task_rows
-    if largest_key(df, keys) <= task_rows:
+    if keys_fit_one_task(df, keys, task_rows, rows):
         window = Window.partitionBy(*keys).orderBy(*order)
         wall = window.rowsBetween(Window.unboundedPreceding, -1)
         return df.select(

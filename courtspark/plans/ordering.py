@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import col, with_scalar
-from courtspark.plans.sizes import TASK_ROWS, fits_one_task, row_count
+from courtspark.plans.sizes import fits_one_task
 from courtspark.sources.staging import stage
 
 _MID, _PART, _AT = "_mid", "_part", "_at"
@@ -57,9 +57,11 @@ def running_totals(
     order: Sequence[Column],
     sums: Mapping[str, str],
     limit: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums {new name: summed column} over the whole table."""
-    if fits_one_task(df, limit):
+    fits = rows is not None and fits_one_task(df, limit, rows)
+    if fits or fits_one_task(df, limit):
         upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(col(c)).over(upto).alias(n) for n, c in sums.items()])
     rows = _sorted_table(df, order)
@@ -80,22 +82,27 @@ def running_totals(
     )
 
 
-def value_ranks(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
-    """Distinct non-null values with count ``n``, smallest rank ``low`` and largest rank ``high``."""
+def value_ranks(
+    df: DataFrame, column: str, limit: int | None = None, rows: int | None = None
+) -> DataFrame:
+    """Distinct non-null values with count ``n``, smallest rank ``low`` and largest rank ``high``.
+
+    ``rows`` bounds the distinct values from above, if known.
+    """
     counted = df.where(col(column).isNotNull()).groupBy(col(column)).agg(F.count("*").alias("n"))
-    ranked = running_totals(counted, [col(column).asc()], {"high": "n"}, limit)
+    ranked = running_totals(counted, [col(column).asc()], {"high": "n"}, limit, rows)
     return ranked.withColumn("low", col("high") - col("n") + 1)
 
 
 def average_rank_share(
-    df: DataFrame, column: str, name: str, limit: int | None = None
+    df: DataFrame, column: str, name: str, limit: int | None = None, rows: int | None = None
 ) -> DataFrame:
     """Average rank divided by the number of non-null values: ties share the middle rank.
 
     ``percent_rank`` has another definition and needs a window over the whole table; here the
     rank is computed once per distinct value and joined back.
     """
-    ranks = value_ranks(df, column, limit)
+    ranks = value_ranks(df, column, limit, rows)
     size = ranks.agg(F.sum("n").alias("_size"))
     share = with_scalar(ranks, size).select(
         col(column).alias("_value"), ((col("low") + col("high")) / 2 / col("_size")).alias(name)
@@ -108,6 +115,7 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     limit: int | None = None,
+    rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation, as numbers on the driver.
 
@@ -115,7 +123,7 @@ def exact_quantiles(
     values. Beyond that an approximate bracket is taken first, and only the values inside the
     bracket are ranked.
     """
-    if fits_one_task(df, TASK_ROWS if limit is None else limit):
+    if fits_one_task(df, limit, rows):
         row = df.agg(
             *[
                 F.percentile(col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))

@@ -35,5 +35,15 @@ def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
     return _once(counts, "largest", job)
 
 
-def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
-    return row_count(df) <= (TASK_ROWS if limit is None else limit)
+def fits_one_task(df: DataFrame, limit: int | None = None, rows: int | None = None) -> bool:
+    """Whether the whole table may be sorted in one task; ``rows`` saves the count when known."""
+    rows = row_count(df) if rows is None else rows
+    return rows <= (TASK_ROWS if limit is None else limit)
+
+
+def keys_fit_one_task(
+    df: DataFrame, keys: Sequence[str], limit: int | None = None, rows: int | None = None
+) -> bool:
+    """Whether every key may be sorted in one task. A small table needs no count per key."""
+    limit = TASK_ROWS if limit is None else limit
+    return fits_one_task(df, limit, rows) or largest_key(df, keys) <= limit
