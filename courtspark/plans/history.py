@@ -18,7 +18,7 @@ from courtspark.functions.scalars import col
 from courtspark.plans.ordering import row_index
 from courtspark.plans.sizes import TASK_ROWS, keys_fit_one_task
 
-_IX, _BLOCK, _OWN = "_row_ix", "_block", "_own"
+_IX, _BLOCK, _HOME, _OWN = "_row_ix", "_block", "_home_block", "_own_row"
 
 Build = Callable[[WindowSpec], Mapping[str, Column]]
 
@@ -85,13 +85,13 @@ _AGG = {"sum": F.sum, "count": F.count, "max": F.max}
 
 def _blocked(df, keys, order, build, reach, running, block_rows) -> DataFrame:
     rows = row_index(df, [F.col(c) for c in [*keys, *order]], _IX, limit=block_rows)
-    here = F.floor(col(_IX) / block_rows)
+    here = F.expr(f"{_IX} div {block_rows}")
     near_end = (col(_IX) % block_rows) >= block_rows - reach
-    spread = rows.withColumn("_home", here).withColumn(
+    spread = rows.withColumn(_HOME, here).withColumn(
         _BLOCK,
         F.explode(F.when(near_end, F.array(here, here + 1)).otherwise(F.array(here))),
     )
-    spread = spread.withColumn(_OWN, col(_BLOCK) == col("_home"))
+    spread = spread.withColumn(_OWN, col(_BLOCK) == col(_HOME))
     window = Window.partitionBy(_BLOCK, *keys).orderBy(_IX)
     wall = window.rowsBetween(Window.unboundedPreceding, -1)
     out = spread.select(

@@ -8,6 +8,7 @@ sampled bounds must be the same for the offsets and for the rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from courtspark.functions.scalars import col, with_scalar
 from courtspark.plans.sizes import fits_one_task
 from courtspark.sources.staging import stage
 
-_MID, _PART, _AT = "_mid", "_part", "_at"
+_MID, _PART, _AT, _N = "_sorted_id", "_sorted_part", "_sorted_at", "_sorted_n"
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
@@ -44,11 +45,11 @@ def row_index(
     if fits_one_task(df, limit):
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     rows = _sorted_table(df, order)
-    offsets = _offsets(rows.groupBy(_PART).agg(F.count("*").alias("_n")), ["_n"])
+    offsets = _offsets(rows.groupBy(_PART).agg(F.count("*").alias(_N)), [_N])
     return (
         rows.join(F.broadcast(offsets), _PART)  # one row per partition
-        .withColumn(name, col("_n") + col(_AT))
-        .drop(_PART, _AT, _MID, "_n")
+        .withColumn(name, col(_N) + col(_AT))
+        .drop(_PART, _AT, _MID, _N)
     )
 
 
@@ -120,8 +121,9 @@ def exact_quantiles(
     """Exact quantiles with linear interpolation, as numbers on the driver.
 
     Up to ``limit`` rows the built-in ``percentile`` is used; its state grows with the distinct
-    values. Beyond that an approximate bracket is taken first, and only the values inside the
-    bracket are ranked.
+    values. Beyond that, brackets around all quantiles are narrowed together by approximate
+    quantiles and exact counts, with nothing shuffled but one row per task, until few distinct
+    values are left inside.
     """
     if fits_one_task(df, limit, rows):
         row = df.agg(
@@ -135,32 +137,130 @@ def exact_quantiles(
             c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
             for i, c in enumerate(columns)
         }
-    return {c: [_bracketed_quantile(df, c, p, limit) for p in probs] for c in columns}
+    found = _narrowed_quantiles(df, columns, probs, BRACKET_ROWS if limit is None else limit)
+    return {c: [found[c, p] for p in probs] for c in columns}
 
 
-def _bracketed_quantile(df: DataFrame, column: str, p: float, limit: int | None) -> float | None:
-    accuracy = 1000
-    slack = 2.0 / accuracy
-    values = df.select(col(column).cast("double").alias("x")).where(col("x").isNotNull())
-    low, high, size = values.agg(
-        F.percentile_approx("x", max(0.0, p - slack), F.lit(accuracy)),
-        F.percentile_approx("x", min(1.0, p + slack), F.lit(accuracy)),
-        F.count("x"),
+BRACKET_ROWS = 100_000  # distinct values of one bracket that may reach the driver
+_ACCURACY, _ROUNDS = 1000, 8
+
+
+@dataclass
+class _Bracket:
+    """Values in [low, high]; ``below`` rows lie under it and ``inside`` rows in it."""
+
+    column: str
+    low: float
+    high: float
+    below: int
+    inside: int
+    rank: int  # 1-based rank of the lower neighbour of the quantile
+    part: float  # share of the way to the next rank
+    stuck: bool = False
+
+    @property
+    def last_rank(self) -> int:
+        return self.rank + (1 if self.part > 0 else 0)
+
+    def hit(self, low, high) -> Column:
+        return col(self.column).between(F.lit(low), F.lit(high))
+
+
+def _narrowed_quantiles(df, columns, probs, few) -> dict[tuple[str, float], float | None]:
+    values = df.select(*[col(c).cast("double").alias(c) for c in columns])
+    ends = values.agg(
+        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.min(col(c)).alias(f"a{i}") for i, c in enumerate(columns)],
+        *[F.max(col(c)).alias(f"b{i}") for i, c in enumerate(columns)],
+    ).first()
+    brackets: dict[tuple[str, float], _Bracket] = {}
+    out: dict[tuple[str, float], float | None] = {}
+    for i, c in enumerate(columns):
+        n = ends[f"n{i}"]
+        for p in probs:
+            if n == 0:
+                out[c, p] = None
+                continue
+            place = p * (n - 1)
+            brackets[c, p] = _Bracket(
+                c, ends[f"a{i}"], ends[f"b{i}"], 0, n, int(place) + 1, place - int(place)
+            )
+    for _ in range(_ROUNDS):
+        wide = [b for b in brackets.values() if b.inside > few and b.low < b.high and not b.stuck]
+        if not wide:
+            break
+        _narrow(values, wide)
+    exact = {k: b for k, b in brackets.items() if b.inside > few and b.low < b.high}
+    for key, b in exact.items():
+        ranks = value_ranks(values.where(b.hit(b.low, b.high)), b.column, few)
+        out[key] = _pick(b, lambda r, t=ranks, b=b: _value_at(t, b.column, r))
+    return out | _finish(values, {k: b for k, b in brackets.items() if k not in exact})
+
+
+def _narrow(values: DataFrame, wide: Sequence[_Bracket]) -> None:
+    """One approximate pass for new ends, one exact pass for the counts; a miss keeps the old."""
+    slack = 2.0 / _ACCURACY
+    shares = [
+        (
+            max(0.0, (b.rank - b.below) / b.inside - slack),
+            min(1.0, (b.last_rank - b.below) / b.inside + slack),
+        )
+        for b in wide
+    ]
+    near = values.agg(
+        *[
+            F.percentile_approx(
+                F.when(b.hit(b.low, b.high), col(b.column)), [lo, hi], F.lit(_ACCURACY)
+            ).alias(f"e{i}")
+            for i, (b, (lo, hi)) in enumerate(zip(wide, shares, strict=True))
+        ]
     ).first()
-    if not size:
-        return None
-    position = p * (size - 1)
-    first, part = int(position), position - int(position)
-    below = values.where(col("x") < low).count()
-    inside = value_ranks(values.where(col("x").between(low, high)), "x", limit)
-
-    def at(rank: int) -> float | None:
-        hit = inside.where((col("low") <= rank) & (col("high") >= rank)).select("x").first()
-        return None if hit is None else hit[0]
-
-    a = at(first + 1 - below)
-    b = at(min(first + 2, size) - below)
-    if a is None or b is None:  # the bracket missed: rank everything
-        inside, below = value_ranks(values, "x", limit), 0
-        a, b = at(first + 1), at(min(first + 2, size))
-    return a + (b - a) * part
+    counts = values.agg(
+        *[F.count(F.when(col(b.column) < near[f"e{i}"][0], 1)).alias(f"u{i}") for i, b in enumerate(wide)],
+        *[F.count(F.when(b.hit(*near[f"e{i}"]), 1)).alias(f"n{i}") for i, b in enumerate(wide)],
+    ).first()
+    for i, b in enumerate(wide):
+        below, inside = counts[f"u{i}"], counts[f"n{i}"]
+        if below < b.rank and below + inside >= b.last_rank and inside < b.inside:
+            b.low, b.high = near[f"e{i}"]
+            b.below, b.inside = below, inside
+        else:
+            b.stuck = True
+
+
+def _pick(b: _Bracket, at) -> float:
+    low = at(b.rank - b.below)
+    return low if b.part == 0 else low + (at(b.rank + 1 - b.below) - low) * b.part
+
+
+def _value_at(ranks: DataFrame, column: str, rank: int) -> float:
+    return ranks.where((col("low") <= rank) & (col("high") >= rank)).select(col(column)).first()[0]
+
+
+def _finish(values: DataFrame, brackets: Mapping) -> dict[tuple[str, float], float]:
+    """Read the few distinct values of all remaining brackets at once."""
+    out = {k: b.low for k, b in brackets.items() if b.low == b.high}
+    left = {k: b for k, b in brackets.items() if k not in out}
+    if not left:
+        return out
+    items = F.array(
+        *[
+            F.struct(F.lit(i).alias("b"), F.when(b.hit(b.low, b.high), col(b.column)).alias("x"))
+            for i, b in enumerate(left.values())
+        ]
+    )
+    counted = values.select(F.inline(items)).where(col("x").isNotNull()).groupBy("b", "x").count()
+    tables: dict[int, list] = {}
+    for r in sorted(counted.collect()):  # at most BRACKET_ROWS values per bracket
+        tables.setdefault(r["b"], []).append((r["x"], r["count"]))
+    for i, (key, b) in enumerate(left.items()):
+
+        def at(rank: int, table=tables[i]) -> float:
+            for x, n in table:
+                rank -= n
+                if rank <= 0:
+                    return x
+            raise ValueError("rank outside the bracket")
+
+        out[key] = _pick(b, at)
+    return out
