@@ -29,14 +29,20 @@ def explode_props(
 
     ``prop`` is points, rebounds, assists or threes; an unknown one matches nothing.
     """
-    games = snapshots.select(F.explode("data").alias("g"))
-    books = games.select("g", F.explode("g.bookmakers").alias("b"))
-    markets = books.select("g", "b", F.explode("b.markets").alias("m"))
+    # The outer form keeps Spark from testing the parsed document again in a filter; a document
+    # without games has no bookmakers and drops out in the next step.
+    games = snapshots.select(F.explode_outer("data").alias("g"))
+    about = [F.col(f"g.{c}").alias(c) for c in ("commence_time", "home_team", "away_team")]
+    books = games.select(*about, F.explode("g.bookmakers").alias("b"))
+    about = ["commence_time", "home_team", "away_team"]
+    markets = books.select(*about, F.col("b.key").alias("book"), F.explode("b.markets").alias("m"))
     wanted = F.lower("m.key").contains("player")
     if prop is not None:
         target = PROP_TARGETS.get(prop.lower())
         wanted = wanted & (_names_target(F.col("m.key"), target) if target else F.lit(False))
-    outcomes = markets.where(wanted).select("g", "b", "m", F.explode("m.outcomes").alias("o"))
+    outcomes = markets.where(wanted).select(
+        *about, "book", F.col("m.key").alias("prop_type"), F.explode("m.outcomes").alias("o")
+    )
     if player is not None:
         outcomes = outcomes.where(F.lower("o.name").contains(player.lower()))
     if team is not None:
@@ -47,14 +53,14 @@ def explode_props(
         name.alias("outcome"),
         F.regexp_replace(name, r"(?i)\s*(over|under)$", "").alias("player"),
         F.col("o.team").alias("team"),
-        F.col("m.key").alias("prop_type"),
+        "prop_type",
         F.col("o.point").alias("line"),
         F.when(lowered.endswith("over"), F.col("o.price")).alias("over_price"),
         F.when(lowered.endswith("under"), F.col("o.price")).alias("under_price"),
-        F.lower("b.key").alias("bookmaker"),
-        F.try_to_timestamp(F.col("g.commence_time")).alias("game_time"),
-        F.col("g.home_team").alias("home_team"),
-        F.col("g.away_team").alias("away_team"),
+        F.lower("book").alias("bookmaker"),
+        F.try_to_timestamp(F.col("commence_time")).alias("game_time"),
+        "home_team",
+        "away_team",
     )
 
 

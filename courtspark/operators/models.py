@@ -85,12 +85,10 @@ def prepare(
     known = df.where(col(target).isNotNull()).select(
         *dict.fromkeys([key, *order]), col(target).cast("double").alias("y"), *[col(f).cast("double").alias(f) for f in features if f not in (key, *order)]
     )
-    known = stage(known, "features")
     split = stratified(known, "y", key, share) if shuffled else by_row_fraction(known, order, share)
-    train, other = split.where(col("split") == "train"), split.where(col("split") != "train")
-    fills = fills_by_median(train, list(features))
-    whole = stage(fill_missing(split, fills), "prepared")
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(whole)
+    whole = stage(split, "prepared")
+    fills = fills_by_median(whole.where(col("split") == "train"), list(features))
+    vectors = assemble(whole, features, fills)
     return Prepared(
         vectors.where(col("split") == "train"), vectors.where(col("split") != "train"), list(features), fills
     )

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtspark.functions.scalars import col, with_scalar
+from courtspark.functions.scalars import col
 from courtspark.plans.ordering import exact_quantiles, row_index
+from courtspark.plans.sizes import row_count
 
 
 def by_date_quantile(
@@ -20,15 +21,32 @@ def by_date_quantile(
     return df.withColumn("split", F.when(micros < F.lit(cut), "train").otherwise("test"))
 
 
+def _before(columns: Sequence[Column], cut: Sequence | None) -> Column:
+    """Whether a row sorts before the row with the values ``cut``; nulls sort first."""
+    if cut is None:
+        return F.lit(True)
+    out = F.lit(False)
+    for c, v in reversed(list(zip(columns, cut, strict=True))):
+        same = c.eqNullSafe(F.lit(v))
+        smaller = F.lit(False) if v is None else F.coalesce(c < F.lit(v), F.lit(True))
+        out = smaller | (same & out)
+    return out
+
+
 def by_row_fraction(
     df: DataFrame, order: Sequence[str], share: float = 0.8, limit: int | None = None
 ) -> DataFrame:
-    """The first share of the ordered rows trains."""
-    rows = row_index(df, [F.col(c) for c in order], "row_ix", limit)
-    size = df.agg((F.count("*") * F.lit(share)).cast("long").alias("_cut"))
-    out = with_scalar(rows, size)
-    split = F.when(col("row_ix") < col("_cut"), "train").otherwise("validation")
-    return out.withColumn("split", split).drop("_cut")
+    """The first share of the ordered rows trains.
+
+    Only the order columns are sorted, to find the row at the cut; the table itself is compared
+    with that row and not moved.
+    """
+    narrow = df.select(*[col(c) for c in order])
+    n = row_count(narrow)
+    rows = row_index(narrow, [col(c) for c in order], "row_ix", limit)
+    cut = rows.where(col("row_ix") == int(n * share)).select(*[col(c) for c in order]).first()
+    split = F.when(_before([col(c) for c in order], cut), "train").otherwise("validation")
+    return df.withColumn("split", split)
 
 
 def _shuffled(key: Column, seed: int) -> Column:
@@ -62,11 +80,18 @@ def place_in_class(
 def stratified(
     df: DataFrame, label: str, key: str = "id", share: float = 0.8, seed: int = 42, limit: int | None = None
 ) -> DataFrame:
-    rows = place_in_class(df, label, key, seed, limit)
-    train = col("class_place") < F.round(col("class_size") * share)
-    return rows.withColumn("split", F.when(train, "train").otherwise("validation")).drop(
-        "class_place", "class_size"
-    )
+    """The same share of every class trains, drawn by a seeded hash of the key.
+
+    One row per class, the one at the cut, decides for all rows; the table is not moved.
+    """
+    rows = place_in_class(df.select(label, key), label, key, seed, limit)
+    at_cut = col("class_place") == F.round(col("class_size") * share)
+    hashed = _shuffled(col(key), seed)
+    train = F.lit(True)
+    for cut in rows.where(at_cut).withColumn("_h", hashed).collect():  # one row per class
+        mine = _before([hashed, col(key)], [cut["_h"], cut[key]])
+        train = F.when(col(label).eqNullSafe(F.lit(cut[label])), mine).otherwise(train)
+    return df.withColumn("split", F.when(train, "train").otherwise("validation"))
 
 
 def stratified_folds(

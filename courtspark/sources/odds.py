@@ -48,6 +48,7 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_snapshots(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Documents out of JSON text."""
     return texts.select(F.from_json(col(column), SNAPSHOT_SCHEMA).alias("_d")).select("_d.*")
 
 

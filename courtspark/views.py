@@ -326,7 +326,13 @@ def odds_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("data"),
     )
-    return quotes(spark, sf_dir).select(F.to_json(document).alias("value"))
+    return _spread(quotes(spark, sf_dir)).select(F.to_json(document).alias("value"))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input is one small file; larger inputs already have enough parts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def scored_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
