@@ -424,6 +424,34 @@ n AS (SELECT *, hybrid * 0.7 + qe * 20 + is_home * 2.5 + rest + 3.0 * {_IMPORTAN
 _WIN_CTE = RESTED + """, g AS (SELECT *, ("PTS" > "PTS_Opp")::INT AS is_win FROM rested)"""
 _LAST = 'coalesce(lag({0}) OVER (PARTITION BY {1}, "Opp" ORDER BY {2}), {3})'
 
+_DD = {
+    "pts_hist_avg_5g": pavg('"PTS"', 5), "trb_hist_avg_10g": pavg('"TRB"', 10), "pts_consistency_5g": f"""1 / (coalesce({pstd('"PTS"', 5)}, 1) + 1)""",
+    "dd_rate_5g": f"coalesce({pavg('double_double', 5)}, 0.1)", "dd_rate_10g": f"coalesce({pavg('double_double', 10)}, 0.1)",
+    "recent_dd_form": f"coalesce({pavg('double_double', 3)}, 0.1)", "usage_hist_5g": f"""{pavg('"FGA"', 5)} + {pavg('"FTA"', 5)} * 0.44""",
+    "pts_per_min_hist_10g": f"""coalesce({pavg('"PTS" / ("MP" + 0.1)', 10)}, 0)""",
+    "opponent_def_rating": f"""coalesce({at_least(3, '"PTS"', avg('"PTS"', 10, '"Opp"', PO), 10, '"Opp"', PO)}, 105)""",
+    "last_dd_vs_opp": _LAST.format("double_double", P, PO, "0.1"),
+    "rivalry_motivation": f"CASE {_LAST.format('double_double', P, PO, '0.1')} WHEN 0 THEN 0.05 WHEN 1 THEN -0.02 ELSE 0 END",
+    "versatility_index": f"""0.4 * {pavg('"PTS"', 5)} + 0.35 * {pavg('"TRB"', 5)} + 0.25 * {pavg('"AST"', 5)}""",
+    "dd_potential_score": f"""{pavg('"PTS"', 5)} + {pavg('"TRB"', 5)} + {pavg('"AST"', 5)} - least({pavg('"PTS"', 5)}, {pavg('"TRB"', 5)}, {pavg('"AST"', 5)})""",
+    "total_impact_5g": " + ".join(pavg(f'"{s}"', 5) for s in ("PTS", "TRB", "AST", "STL", "BLK")),
+    "minutes_stability": f"""1 / (coalesce({pstd('"MP"', 5)}, 1) / (coalesce({pavg('"MP"', 5)}, 1) + 0.1) + 1)""",
+    "starter_boost": """CASE WHEN "GS" = '*' THEN 0.15 ELSE 0 END""", "home_advantage": """CASE WHEN "Away" = '@' THEN 0 ELSE 0.03 END""",
+    "energy_factor": _REST_CASE.format(*fixed.REST_ENERGY["double"]), "rest_advantage": _REST_CASE.format(*fixed.REST_ADVANTAGE["double"]),
+    "season_progression_factor": """CASE WHEN month("Date") IN (10, 11) THEN -0.05 WHEN month("Date") IN (12, 1, 2) THEN 0.05 WHEN month("Date") IN (3, 4) THEN 0.02 ELSE 0 END""",
+    "weekend_boost": """CASE WHEN isodow("Date") >= 6 THEN 0.02 ELSE 0 END""",
+    "height_advantage": "(least(greatest((h - 72) / 12 * 0.15, 0), 0.25) + least(greatest((h - 72) / 12 * 0.1, 0), 0.2)) / 2 + 0 * h",
+    "build_factor": "CASE WHEN wt / h > 2.8 THEN 0.1 WHEN wt / h < 2.4 THEN -0.05 ELSE 0 END",
+}
+_DOUBLE_SQL = ask(
+    DOUBLE_LOG + "," + _STREAK + "," + BIO + """, q AS (SELECT b.*, coalesce(lag(run, 1) OVER (PARTITION BY b."Player" ORDER BY ts, b.game_id), 0) AS dd_streak,
+      "Height_Inches" AS h, "Weight" AS wt, coalesce("Date" - lag("Date") OVER (PARTITION BY b."Player" ORDER BY ts, b.game_id), 2) AS days_rest
+      FROM b LEFT JOIN bio ON b."Player" = bio."Player")""",
+    "SELECT game_id, days_rest, dd_streak, CASE WHEN h IS NULL THEN 0 WHEN h < 72 THEN 1 WHEN h < 75 THEN 2 WHEN h < 78 THEN 3 WHEN h < 81 THEN 4 ELSE 5 END AS height_category, "
+    + ", ".join(f'{e} AS "{n}"' for n, e in _DD.items()) + " FROM q",
+    ", ".join(_DD), "game_id, days_rest, dd_streak, height_category",
+)
+
 QUERIES = {
     "team_form": Query(
         team_form,
@@ -653,5 +681,5 @@ QUERIES = {
                           "prediction_confidence": "q * 0.5 + e * 0.5", "urgency_factor": "CASE WHEN 82 - played <= 10 THEN 1.5 ELSE 1 END",
                           "matchup_total_edge": "coalesce(vp, p10) + coalesce(va, a10) - (p10 + a10)"}, "n"),
     ),
-    "features_double_double": Query(double_table),
+    "features_double_double": Query(double_table, _DOUBLE_SQL),
 }

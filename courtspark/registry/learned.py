@@ -12,7 +12,7 @@ from courtspark.functions.scalars import clip, col, fill
 from courtspark.operators import ensembles, evaluation, features, loading, matchups, models, selection
 from courtspark.plans.history import with_history
 from courtspark.registry.entry import Query, ask, tidy
-from courtspark.registry.history import GAMES, ORDER, PLAYER_ORDER, box, scores
+from courtspark.registry.history import GAMES, ORDER, PLAYER_ORDER, avg, box, scores
 from courtspark.registry.rows import _direct, _mean3
 from courtspark.sources.staging import staging_folder
 from courtspark.views import DOUBLE_LOG, MODEL_PREDICTIONS, double_log, model_predictions
@@ -369,7 +369,15 @@ QUERIES = {
             CASE WHEN double_double = 1 THEN count(*) OVER () / (2.0 * sum(double_double) OVER ()) ELSE count(*) OVER () / (2.0 * (count(*) OVER () - sum(double_double) OVER ())) END AS weight FROM double_log""",
             "weight_fixed, weight", "game_id, double_double"),
     ),
-    "scale_features": Query(scale),
+    "scale_features": Query(
+        scale,
+        ask(GAMES + f""", t AS (SELECT game_id, row_number() OVER (ORDER BY "Date", game_id) - 1 AS ix, count(*) OVER () AS n, {avg('"PTS"', 10)} AS a,
+            coalesce("Date" - lag("Date") OVER (PARTITION BY "Team" ORDER BY "Date", game_id), 2)::DOUBLE AS b, coalesce({avg('is_win', 5)}, 0.5) AS c FROM g),
+            u AS (SELECT *, ix < floor(n * 0.8::DOUBLE) AS tr FROM t), f AS (SELECT game_id, tr, coalesce(a, (SELECT median(a) FROM u WHERE tr)) AS a, b, c FROM u)""",
+            "SELECT game_id, CASE WHEN tr THEN 'train' ELSE 'validation' END AS split, " + ", ".join(
+                f"({x} - (SELECT avg({x}) FROM f WHERE tr)) / (SELECT stddev_samp({x}) FROM f WHERE tr) AS {n}_scaled"
+                for x, n in (("a", "pts_avg_10g"), ("b", "days_rest"), ("c", "rate_5g"))) + " FROM f", "pts_avg_10g_scaled, days_rest_scaled, rate_5g_scaled", "game_id", "split"),
+    ),
     "train_forest": Query(regression_report(("forest",))),
     "train_forest_classifier": Query(classifier_report(("forest",))),
     "train_forest_sweep": Query(sweep),

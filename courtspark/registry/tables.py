@@ -11,7 +11,8 @@ from courtspark.functions import shooting, situation
 from courtspark.functions.scalars import col
 from courtspark.operators import cleaning, features, loading, profiles, selection
 from courtspark.registry.entry import Query, ask, tidy
-from courtspark.registry.history import GAMES, ORDER, PLAYER_ORDER, box, scores
+from courtspark.registry.history import ORDER, PLAYER_ORDER, box, scores
+from courtspark.registry.rows import _direct, _mean3
 from courtspark.sources import tables as table_source
 from courtspark.sources.staging import staging_folder
 from courtspark.views import (
@@ -200,7 +201,7 @@ def with_target(spark, sf_dir):
 def by_correlation(spark, sf_dir):
     df = features.total_features(box(spark, sf_dir)).withColumn("total_points", col("PTS") + col("PTS_Opp"))
     names = ["possessions", "direct_scoring_projection", "total_direct_projection", "total_shot_volume", "weighted_shot_volume",
-             "total_expected_shots", "true_shooting_pct", "opp_true_shooting_pct", "pts_avg_10g", "final_projection"]
+             "total_expected_shots", "true_shooting_pct", "opp_true_shooting_pct", "pts_avg_10g"]
     narrow = df.select("total_points", *[col(n) for n in names])
     return tidy(listing(narrow, selection.select_by_correlation(narrow, "total_points", names)))
 
@@ -317,6 +318,23 @@ def _winsor_sql(low, high):
 
 
 _Q1, _Q3 = 'quantile_cont("{0}", 0.25)', 'quantile_cont("{0}", 0.75)'
+_SEL = {
+    "possessions": '"FGA" - "FG" + "FTA" * 0.44 + "FG" * 0.56', "direct_scoring_projection": _direct(""), "total_direct_projection": f"{_direct('')} + {_direct('_Opp')}",
+    "total_shot_volume": '"FGA" + "FGA_Opp" + "FTA" + "FTA_Opp"', "weighted_shot_volume": f"""("FGA" + "FGA_Opp" + "FTA" + "FTA_Opp") * ({_mean3('')} + {_mean3('_Opp')}) / 2""",
+    "total_expected_shots": '"FGA" + "3PA" * 0.4 + "FTA" * 0.44', "true_shooting_pct": '"PTS" / nullif(2 * ("FGA" + 0.44 * "FTA"), 0)',
+    "opp_true_shooting_pct": '"PTS_Opp" / nullif(2 * ("FGA_Opp" + 0.44 * "FTA_Opp"), 0)',
+    "pts_avg_10g": 'avg("PTS") OVER (PARTITION BY "Team" ORDER BY "Date", game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)',
+}
+_SEL_PAIRS = [(a, b) for i, a in enumerate(_SEL) for b in list(_SEL)[i + 1 :]]
+_BY_CORRELATION = ask(
+    TEAM_GAMES + ', x AS (SELECT "PTS" + "PTS_Opp" AS target, ' + ", ".join(f'{e} AS "{n}"' for n, e in _SEL.items()) + " FROM team_games), filled AS (SELECT "
+    + ", ".join(f'coalesce("{n}", (SELECT median("{n}") FROM x)) AS "{n}"' for n in _SEL) + " FROM x), s AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS i, '{n}' AS feature, abs(corr(\"{n}\", target)) AS r FROM x" for i, n in enumerate(_SEL)) + """),
+    k AS (SELECT * FROM s WHERE r >= 0.08 AND feature <> 'total_direct_projection'), m AS ("""
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr(\"{a}\", \"{b}\")) AS c FROM filled" for a, b in _SEL_PAIRS) + """),
+    gone AS (SELECT CASE WHEN ka.r >= kb.r THEN b ELSE a END AS feature FROM m JOIN k ka ON ka.feature = a JOIN k kb ON kb.feature = b WHERE c > 0.95)""",
+    "SELECT (SELECT count(*) FROM x) AS rows, row_number() OVER (ORDER BY i) AS place, feature FROM k WHERE feature NOT IN (SELECT feature FROM gone)", "", "rows, place", "feature",
+)
 _FX = "greatest(\"FGA\", 0)"
 _TR = {
     "FGA_sqrt": f"sqrt({_FX})", "FGA_log2": f"log2({_FX} + 1)", "FGA_log": f"ln({_FX} + 1)", "FGA_log10": f"log10({_FX} + 1)", "FGA_yj": f"2 * sqrt({_FX} + 1) - 2",
@@ -418,7 +436,7 @@ QUERIES = {
         lambda spark, sf_dir: tidy(with_target(spark, sf_dir)),
         ask(TEAM_GAMES, " UNION ALL ".join(f"""SELECT '{n}' AS feature, abs(corr("{n}", "PTS")) AS correlation FROM team_games""" for n in NUMBERS if n != "PTS"), "correlation", "", "feature"),
     ),
-    "select_by_correlation": Query(by_correlation),
+    "select_by_correlation": Query(by_correlation, _BY_CORRELATION),
     "drop_collinear_both": Query(
         collinear,
         ask(TEAM_GAMES + ", c AS (" + " UNION ALL ".join(f"""SELECT {i} AS i, '{a}' AS a, '{b}' AS b, corr("{a}", "{b}") AS r FROM team_games"""
@@ -428,7 +446,19 @@ QUERIES = {
     "select_by_priority": Query(by_priority),
     "select_by_priority_double": Query(by_priority_double),
     "feature_columns": Query(model_columns),
-    "select_by_scores": Query(score_parts),
+    "select_by_scores": Query(
+        score_parts,
+        ask(DOUBLE_LOG + ", v AS (" + " UNION ALL ".join(f"""SELECT '{n}' AS feature, double_double AS y, "{n}" AS x FROM double_log""" for n in ("PTS", "TRB", "AST", "MP")) + """),
+            g AS (SELECT feature, y, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM v GROUP BY 1, 2), a AS (SELECT feature, avg(x) AS grand, count(*) AS n FROM v GROUP BY 1),
+            f AS (SELECT feature, sum(g.n * (m - grand) ** 2) / (sum(g.n * v) / (max(a.n) - 2)) AS f_score FROM g JOIN a USING (feature) GROUP BY 1),
+            e AS (SELECT DISTINCT feature, unnest(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edge FROM v GROUP BY 1),
+            el AS (SELECT feature, list(edge) AS edges FROM e GROUP BY 1),
+            b AS (SELECT feature, y, len(list_filter(edges, lambda t: x > t)) AS bin FROM v JOIN el USING (feature)),
+            j AS (SELECT feature, bin, y, count(*)::DOUBLE AS c, sum(count(*)) OVER (PARTITION BY feature)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY feature, bin)::DOUBLE AS pb,
+              sum(count(*)) OVER (PARTITION BY feature, y)::DOUBLE AS py FROM b GROUP BY 1, 2, 3),
+            mi AS (SELECT feature, sum(c / n * ln(c * n / (pb * py))) AS information FROM j GROUP BY 1)""",
+            "SELECT (SELECT count(*) FROM double_log) AS rows, feature, f_score, information FROM f JOIN mi USING (feature)", "f_score, information", "rows", "feature"),
+    ),
     "betting_features": Query(betting),
     "high_confidence_columns": Query(confident_columns),
     "src_csv_tables": Query(
