@@ -128,7 +128,9 @@ def hybrid(ensemble: Column, rule: Column, method: str = "optimized_70_30") -> C
     return clip(rule * share + ensemble * (1 - share), *fixed.TOTAL_PREDICTION_CLIP)
 
 
-def older_hybrid(members: Mapping[str, Column], direct: Column, recent_total: Column) -> Column:
+def older_hybrid(
+    df: DataFrame, members: Mapping[str, Column], direct: Column, recent_total: Column, name: str = "older"
+) -> DataFrame:
     """85 % rule and 15 % weighted members, pulled to the median of all plausible predictions
     when they disagree, then a tenth of the way to the recent total."""
     shares = {"extra_trees": 0.4, "gradient_boost": 0.4, "ridge": 0.2}
@@ -138,18 +140,21 @@ def older_hybrid(members: Mapping[str, Column], direct: Column, recent_total: Co
         top = top + F.when(ok, members[m] * w).otherwise(0.0)
         bottom = bottom + F.when(ok, w).otherwise(0.0)
     ml = F.when(bottom > 0, top / bottom).otherwise(direct)
-    mixed = direct * 0.85 + ml * 0.15
-    every = F.filter(F.array(direct, ml, *[members[m] for m in shares]), lambda x: x.between(*PLAUSIBLE))
-    n = F.size(every)
-    mean = F.aggregate(every, F.lit(0.0), lambda a, x: a + x)
-    mean = ratio(mean, n)
-    std = F.sqrt(
-        ratio(F.aggregate(every, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)), n)
+    df = df.withColumn("_ml", ml)
+    every = F.filter(
+        F.array(direct, col("_ml"), *[members[m] for m in shares]), lambda x: x.between(*PLAUSIBLE)
+    )
+    df = df.withColumn("_every", F.array_sort(every)).withColumn("_n", F.size("_every"))
+    n, every = col("_n"), col("_every")
+    df = df.withColumn("_mean", ratio(F.aggregate(every, F.lit(0.0), lambda a, x: a + x), n))
+    mean = col("_mean")
+    spread = F.aggregate(every, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    at = lambda k: F.try_element_at(every, k.cast("int"))
+    middle = (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
+    mixed = direct * 0.85 + col("_ml") * 0.15
+    apart = (n >= 3) & (F.sqrt(ratio(spread, n)) > 8)
+    df = df.withColumn("_mixed", F.when(apart, mixed * 0.7 + middle * 0.3).otherwise(mixed))
+    pull = F.coalesce((recent_total - col("_mixed")) * 0.1, F.lit(0.0))
+    return df.withColumn(name, clip(col("_mixed") + pull, *MEMBER_CLIP)).drop(
+        "_ml", "_every", "_n", "_mean", "_mixed"
     )
-    s = F.array_sort(every)
-    middle = (
-        F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, (F.floor(n / 2) + 1).cast("int"))
-    ) / 2
-    steadied = F.when((n >= 3) & (std > 8), mixed * 0.7 + middle * 0.3).otherwise(mixed)
-    pull = F.coalesce((recent_total - steadied) * 0.1, F.lit(0.0))
-    return clip(steadied + pull, *MEMBER_CLIP)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import clip, col, fill, flag, pearson, ratio, with_scalar
 from courtspark.plans.ordering import exact_quantiles, running_totals
+from courtspark.plans.sizes import row_count
 
 # --- fixed values: reported tolerances, ranges, bins, grades --------------------------------
 TOLERANCES = (1.0, 2.0, 2.5, 3.0, 5.0, 7.0, 10.0)
@@ -113,7 +114,7 @@ def histogram(df: DataFrame, x: Column, bins: int, by: Sequence[str] = ()) -> Da
 def cumulative_distribution(df: DataFrame, x: Column, limit: int | None = None) -> DataFrame:
     """Share of rows at or below each distinct value."""
     counted = df.select(x.alias("x")).where(col("x").isNotNull()).groupBy("x").agg(F.count("*").alias("n"))
-    totals = running_totals(counted, [col("x")], {"upto": "n"}, limit)
+    totals = running_totals(counted, [col("x")], {"upto": "n"}, limit, row_count(df))
     size = counted.agg(F.sum("n").alias("_all"))
     return with_scalar(totals, size).select("x", (col("upto") / col("_all")).alias("share"))
 
@@ -200,7 +201,7 @@ def score_counts(df: DataFrame) -> DataFrame:
 def score_curve(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Counts at or above every distinct score, with the totals of both classes."""
     counts = score_counts(df)
-    curve = running_totals(counts, [col("y_proba").desc()], {"tp": "pos", "fp": "neg"}, limit)
+    curve = running_totals(counts, [col("y_proba").desc()], {"tp": "pos", "fp": "neg"}, limit, row_count(df))
     return with_scalar(
         curve, df.agg(F.count(F.when(col("y_true") == 1, 1)).alias("p_all"), F.count(F.when(col("y_true") == 0, 1)).alias("n_all"))
     )

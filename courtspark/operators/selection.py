@@ -184,7 +184,7 @@ def select_by_correlation(
 def drop_collinear_both(df: DataFrame, names: Sequence[str], above: float = 0.8, only_over: int = 15) -> list[str]:
     """Drop every feature that is part of a pair above the limit, when there are many features.
 
-    Pairwise-complete coefficients, as in the reference rule.
+    Coefficients use the rows where both features are known.
     """
     names = list(names)
     if len(names) <= only_over:

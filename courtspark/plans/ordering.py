@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import col, with_scalar
-from courtspark.plans.sizes import fits_one_task
+from courtspark.plans.sizes import fits_one_task, row_count
 from courtspark.sources.staging import stage
 
 _MID, _PART, _AT, _N = "_sorted_id", "_sorted_part", "_sorted_at", "_sorted_n"
@@ -60,8 +60,14 @@ def running_totals(
     limit: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums {new name: summed column} over the whole table."""
+    """Add inclusive running sums {new name: summed column} over the whole table.
+
+    ``rows`` bounds the rows of ``df`` from above, if known; otherwise, or when the bound is too
+    large, ``df`` is written once so that counting it does not work it out twice.
+    """
     fits = rows is not None and fits_one_task(df, limit, rows)
+    if not fits:
+        df = stage(df, "totals")
     if fits or fits_one_task(df, limit):
         upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(col(c)).over(upto).alias(n) for n, c in sums.items()])
@@ -90,6 +96,7 @@ def value_ranks(
 
     ``rows`` bounds the distinct values from above, if known.
     """
+    rows = row_count(df) if rows is None else rows
     counted = df.where(col(column).isNotNull()).groupBy(col(column)).agg(F.count("*").alias("n"))
     ranked = running_totals(counted, [col(column).asc()], {"high": "n"}, limit, rows)
     return ranked.withColumn("low", col("high") - col("n") + 1)
@@ -167,7 +174,7 @@ class _Bracket:
 
 
 def _narrowed_quantiles(df, columns, probs, few) -> dict[tuple[str, float], float | None]:
-    values = df.select(*[col(c).cast("double").alias(c) for c in columns])
+    values = stage(df.select(*[col(c).cast("double").alias(c) for c in columns]), "values")
     ends = values.agg(
         *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.min(col(c)).alias(f"a{i}") for i, c in enumerate(columns)],

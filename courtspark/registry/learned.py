@@ -100,8 +100,8 @@ def hybrid(spark, sf_dir):
     out = ruled.join(actual, "game_id")
     members = {"extra_trees": col("ensemble"), "gradient_boost": col("ensemble") + 12, "ridge": col("ensemble") - 20}
     made = {m: ensembles.hybrid(col("ensemble"), col("rule_total"), m) for m in ensembles.HYBRID_SHARES}
-    made["older"] = ensembles.older_hybrid(members, col("rule_total"), col("recent"))
-    return tidy(out.select("game_id", *[c.alias(n) for n, c in made.items()]))
+    out = ensembles.older_hybrid(out, members, col("rule_total"), col("recent"))
+    return tidy(out.select("game_id", *[c.alias(n) for n, c in made.items()], "older"))
 
 
 # ------------------------------------------------------------------ models

@@ -89,7 +89,7 @@ def test_ensembles(spark):
 def test_older_hybrid_with_nothing_plausible(spark):
     df = spark.createDataFrame([(500.0, None)], "x double, r double")
     members = {m: col("x") for m in ("extra_trees", "gradient_boost", "ridge")}
-    assert df.select(ensembles.older_hybrid(members, col("x"), col("r"))).first()[0] == 265.0
+    assert ensembles.older_hybrid(df, members, col("x"), col("r")).first()["older"] == 265.0
 
 
 def test_matchup_combines_by_name(spark):
