@@ -88,10 +88,13 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def strong_pairs(df: DataFrame, stats: Sequence[str], above: float = 0.7) -> DataFrame:
-    """Pairs with |r| above the limit and r below 1, in both directions."""
+    """Pairs with |r| above the limit and r below 1, in both directions.
+
+    A hair below 1 counts as 1, since the last digit of r depends on the order of the sums.
+    """
     stats = list(stats)[:10]
     pairs = [(a, b) for i, a in enumerate(stats) for b in stats[i + 1 :]]
-    one = correlations(df, pairs).where((F.abs("r") > above) & (col("r") < 1))
+    one = correlations(df, pairs).where((F.abs("r") > above) & (col("r") < 1 - 1e-9))
     both = one.unionByName(one.select(col("b").alias("a"), col("a").alias("b"), "r"))
     return both.orderBy(F.desc("r"), "a", "b")
 

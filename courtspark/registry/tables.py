@@ -369,7 +369,7 @@ QUERIES = {
         ask(PLAYER_GAMES + """, c AS (SELECT "Player", stddev_samp("TRB") / avg("TRB") AS cv FROM player_games GROUP BY 1 HAVING count(*) >= 10 AND avg("TRB") > 0)""",
             """SELECT *, 'most_consistent' AS side FROM (SELECT * FROM c ORDER BY cv, "Player" LIMIT 5) UNION ALL SELECT *, 'least_consistent' FROM (SELECT * FROM c ORDER BY cv DESC, "Player" LIMIT 5)""", "cv", "Player", "side"),
     ),
-    "stat_correlation_pairs": Query(correlation_pairs, ask(TEAM_GAMES + f", c AS ({_CORR})", "SELECT * FROM c WHERE abs(r) > 0.7 AND r < 1", "r", "", "a, b")),
+    "stat_correlation_pairs": Query(correlation_pairs, ask(TEAM_GAMES + f", c AS ({_CORR})", "SELECT * FROM c WHERE abs(r) > 0.7 AND r < 1 - 1e-9", "r", "", "a, b")),
     "longest_streak": Query(streaks, ask(DOUBLE_LOG + "," + _STREAK, "SELECT * FROM streaks", "", "Player, longest_streak, games")),
     "topk_streaks": Query(top_streaks, ask(DOUBLE_LOG + "," + _STREAK, 'SELECT * FROM streaks ORDER BY longest_streak DESC, "Player" LIMIT 10', "", "Player, longest_streak, games")),
     "streak_summary": Query(mean_streak, ask(DOUBLE_LOG + "," + _STREAK, "SELECT avg(longest_streak) AS mean_streak, max(longest_streak) AS max_streak FROM streaks", "mean_streak", "max_streak")),
