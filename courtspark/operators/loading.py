@@ -38,35 +38,30 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def result_columns(name: str = "Result", scores: bool = True) -> dict[str, Column]:
-    """Outcome, scores and overtime from texts such as ``W 133-129 (OT)``."""
-    text = _strip(col(name))
-    fits = F.coalesce(text.rlike(fixed.RESULT_PATTERN), F.lit(False))
-
-    def part(k: int) -> Column:
-        return F.regexp_extract(text, fixed.RESULT_PATTERN, k)
-
-    def number(k: int) -> Column:
-        return F.nullif(part(k), F.lit("")).try_cast("int")
+def parse_results(df: DataFrame, name: str = "Result", scores: bool = True) -> DataFrame:
+    """Outcome, scores and overtime from texts such as ``W 133-129 (OT)``.
 
-    extra = F.when(fits, part(4)).otherwise("")
-    digit = F.nullif(F.regexp_extract(extra, r"^(\d)", 1), F.lit("")).cast("int")
-    out = {"is_win": F.when(fits, (part(1) == "W").cast("int"))}
+    The pattern runs twice per text, to test and to take apart; all columns read the parts. Text
+    that does not match has no outcome and no scores, and no overtime.
+    """
+    text = _strip(col(name))
+    cut = F.split(F.regexp_replace(text, fixed.RESULT_PATTERN, r"$1|$2|$3|$4"), r"\|")
+    out = df.withColumn("_parts", F.when(text.rlike(fixed.RESULT_PATTERN), cut))
+    part = lambda k: F.get(col("_parts"), k)
+    extra = F.coalesce(part(3), F.lit(""))
+    digit = F.nullif(F.regexp_extract(extra, r"^(\d)", 1), F.lit("")).try_cast("int")
+    columns = {"is_win": F.when(col("_parts").isNotNull(), (part(0) == "W").cast("int"))}
     if scores:
-        ours, theirs = number(2), number(3)
-        out |= {
+        ours, theirs = part(1).try_cast("int"), part(2).try_cast("int")
+        columns |= {
             "team_score": ours,
             "opp_score": theirs,
             "total_score": ours + theirs,
             "point_diff": ours - theirs,
         }
-    out["has_overtime"] = flag(extra != "")
-    out["overtime_periods"] = F.when(extra == "", 0).otherwise(F.coalesce(digit, F.lit(1)))
-    return out
-
-
-def parse_results(df: DataFrame, name: str = "Result", scores: bool = True) -> DataFrame:
-    return df.withColumns(result_columns(name, scores))
+    columns["has_overtime"] = flag(extra != "")
+    columns["overtime_periods"] = F.when(extra == "", 0).otherwise(F.coalesce(digit, F.lit(1)))
+    return out.withColumns(columns).drop("_parts")
 
 
 def win_from_prefix(df: DataFrame) -> DataFrame:

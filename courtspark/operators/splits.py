@@ -11,6 +11,8 @@ from courtspark.functions.scalars import col
 from courtspark.plans.ordering import exact_quantiles, row_index
 from courtspark.plans.sizes import row_count
 
+MAX_CLASSES = 1000  # classes whose sizes may reach the driver
+
 
 def by_date_quantile(
     df: DataFrame, share: float = 0.8, date: str = "Date", limit: int | None = None
@@ -67,7 +69,9 @@ def place_in_class(
         "_ix",
         limit,
     )
-    sizes = df.groupBy(label).count().orderBy(label).collect()  # one row per class
+    sizes = df.groupBy(label).count().orderBy(label).limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     place, size, start = F.lit(None).cast("long"), F.lit(None).cast("long"), 0
     for row in sizes:
         hit = col(label).eqNullSafe(F.lit(row[0]))

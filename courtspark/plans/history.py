@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import col
 from courtspark.plans.ordering import row_index
-from courtspark.plans.sizes import TASK_ROWS, keys_fit_one_task
+from courtspark.plans.sizes import TASK_ROWS, keys_fit_one_task, row_count
 
 _IX, _BLOCK, _HOME, _OWN = "_row_ix", "_block", "_home_block", "_own_row"
 
@@ -80,6 +80,7 @@ def with_history(
     return _blocked(df, keys, order, build, reach, running, max(task_rows, reach + 1))
 
 
+CARRY_ROWS = 1_000_000  # carried rows, at most one per block, that may be broadcast
 _AGG = {"sum": F.sum, "count": F.count, "max": F.max}
 
 
@@ -103,13 +104,13 @@ def _blocked(df, keys, order, build, reach, running, block_rows) -> DataFrame:
         ],
     ).where(_OWN)
     if running:
-        out = _add_carry(out, rows.withColumn(_BLOCK, here), keys, running)
+        out = _add_carry(out, rows.withColumn(_BLOCK, here), keys, running, block_rows)
     plain = [col(c) for c in df.columns]
     bounded = [col(n) for n in build(window)]
     return out.select(*plain, *bounded, *[col(n) for n in running])
 
 
-def _add_carry(out, rows, keys, running) -> DataFrame:
+def _add_carry(out, rows, keys, running, block_rows) -> DataFrame:
     """Join the totals of a key's earlier blocks; only blocks that a key enters from before."""
     totals = rows.groupBy(*keys, _BLOCK).agg(
         *[_AGG[kind](x).alias(f"_c_{n}") for n, (kind, x) in running.items()]
@@ -127,6 +128,8 @@ def _add_carry(out, rows, keys, running) -> DataFrame:
             for n, (kind, _) in running.items()
         ],
     ).where(col("_blocks_before") > 0)
+    if row_count(rows) // block_rows <= CARRY_ROWS:
+        carry = F.broadcast(carry)  # a block has at most one key that began before it
     match = col(_BLOCK) == col("_k_block")
     for k in keys:
         match = match & col(k).eqNullSafe(col(f"_k_{k}"))

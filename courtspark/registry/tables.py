@@ -317,6 +317,12 @@ def _winsor_sql(low, high):
     return ask(TEAM_GAMES, f"SELECT game_id, {made} FROM team_games", ", ".join(NUMBERS), "game_id")
 
 
+def _named(table, names):
+    """The names in order, each with the size of the table."""
+    rows = " UNION ALL ".join(f"SELECT {i + 1} AS place, '{n}' AS feature" for i, n in enumerate(names))
+    return ask("", f"SELECT (SELECT count(*) FROM {table}) AS rows, * FROM ({rows})", "", "rows, place", "feature")
+
+
 _Q1, _Q3 = 'quantile_cont("{0}", 0.25)', 'quantile_cont("{0}", 0.75)'
 _SEL = {
     "possessions": '"FGA" - "FG" + "FTA" * 0.44 + "FG" * 0.56', "direct_scoring_projection": _direct(""), "total_direct_projection": f"{_direct('')} + {_direct('_Opp')}",
@@ -443,7 +449,15 @@ QUERIES = {
             for i, a in enumerate(["FGA", "3PA", "FTA", "FG", "3P", "FG%", "FT%", "3P%", "PTS", "PTS_Opp"]) for b in ["FGA", "3PA", "FTA", "FG", "3P", "FG%", "FT%", "3P%", "PTS", "PTS_Opp"] if a != b) + ")",
             "SELECT (SELECT count(*) FROM team_games) AS rows, row_number() OVER (ORDER BY i) AS place, a AS feature FROM (SELECT i, a FROM c GROUP BY 1, 2 HAVING max(abs(r)) <= 0.8)", "", "rows, place", "feature"),
     ),
-    "select_by_priority": Query(by_priority),
+    "select_by_priority": Query(
+        by_priority,
+        _named("orders", [
+            "team_win_rate_5g", "team_win_rate_10g", "weighted_win_rate_5g", "win_momentum_5g", "home_win_rate_10g", "away_win_rate_10g",
+            "pts_hist_avg_5g", "pts_opp_hist_avg_5g", "point_diff_hist_avg_5g", "pts_consistency_5g", "pts_hist_avg_10g", "pts_opp_hist_avg_10g",
+            "point_diff_hist_avg_10g", "pts_consistency_10g", "fg_pct_hist_avg_5g", "3p_pct_hist_avg_5g", "ft_pct_hist_avg_5g", "fg_pct_hist_avg_10g",
+            "3p_pct_hist_avg_10g", "ft_pct_hist_avg_10g", "is_weekend", "is_back_to_back", "home_advantage", "rest_advantage",
+            "last_vs_opp_result", "opponent_recent_form", "opponent_season_record", "revenge_motivation"]),
+    ),
     "select_by_priority_double": Query(by_priority_double),
     "feature_columns": Query(model_columns),
     "select_by_scores": Query(
@@ -459,8 +473,12 @@ QUERIES = {
             mi AS (SELECT feature, sum(c / n * ln(c * n / (pb * py))) AS information FROM j GROUP BY 1)""",
             "SELECT (SELECT count(*) FROM double_log) AS rows, feature, f_score, information FROM f JOIN mi USING (feature)", "f_score, information", "rows", "feature"),
     ),
-    "betting_features": Query(betting),
-    "high_confidence_columns": Query(confident_columns),
+    "betting_features": Query(
+        betting, _named("events", ["PTS_over_20_prob_5", "minutes_load", "PTS_volatility_5", "TRB", "AST"]),
+    ),
+    "high_confidence_columns": Query(
+        confident_columns, _named("events", ["PTS_over_10_prob_5", "PTS_over_10_line_diff"]),
+    ),
     "src_csv_tables": Query(
         csv_tables,
         ask(DOUBLE_LOG + "," + views.PLAYER_BIO.strip() + """, b AS (SELECT "Player", CASE WHEN "Height" LIKE '%''%' THEN split_part("Height", '''', 1)::INT * 12 + replace(split_part("Height", '''', 2), '"', '')::INT END::DOUBLE AS h, "Weight"::DOUBLE AS wt FROM player_bio)""",
