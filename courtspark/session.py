@@ -11,6 +11,8 @@ def local_session(cores: str | int = 8, memory: str = "12g") -> SparkSession:
         .appName("courtspark")
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # keep all local cores busy: small shuffles are not merged into few tasks
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")

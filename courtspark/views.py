@@ -230,7 +230,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = F.array(*[F.lit(t) for t in PRICE_TARGETS])
     lines = F.array(*[F.array(*[F.lit(x) for x in row]) for row in PRICE_LINES])
     kind = (F.col("l_partkey") % 4 + 1).cast("int")
-    return table(spark, sf_dir, "lineitem").select(
+    return _spread(table(spark, sf_dir, "lineitem")).select(
         (F.col("l_orderkey") % 200).alias("event_id"),
         F.element_at(targets, kind).alias("target"),
         F.element_at(F.element_at(lines, kind), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("line"),
@@ -326,7 +326,7 @@ def odds_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("data"),
     )
-    return _spread(quotes(spark, sf_dir)).select(F.to_json(document).alias("value"))
+    return quotes(spark, sf_dir).select(F.to_json(document).alias("value"))
 
 
 def _spread(df: DataFrame) -> DataFrame:
