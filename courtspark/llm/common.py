@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from courtspark.sources.staging import stage
 
-__all__ = ["ascii_lower", "column", "row_hash", "stage", "table"]
+__all__ = ["ascii_lower", "column", "row_hash", "without", "stage", "table"]
 
-#: Beyond this many bytes per text, nothing changes: texts are always taken whole.
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
@@ -33,3 +32,11 @@ def ascii_lower(text: Column) -> Column:
 def row_hash(text: Column) -> Column:
     """Tells apart rows that repeat an id with another text."""
     return F.xxhash64(F.coalesce(text, F.lit("")), F.isnull(text))
+
+
+def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, with all their columns, but for the rows of ``rejected`` (doc_id, row_hash)."""
+    out = rejected.select(F.col("doc_id").alias("__rejected_id"), F.col("row_hash").alias("__rejected_hash")).distinct()
+    out = stage(out, "rejected")
+    same = docs[id_col].cast("long").eqNullSafe(out["__rejected_id"]) & (row_hash(docs[text_col]) == out["__rejected_hash"])
+    return docs.join(out, same, "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from courtspark.llm import decontamination, ngram_join
+from courtspark.llm import decontamination, ngram_join, pieces, quality, toxicity
 from courtspark.llm.common import table
 from courtspark.registry.entry import Query
 
@@ -15,6 +15,18 @@ def op4(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "n_bytes", "ids_crc32", "verified")
+
+
+def op6(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_hash")
+
+
+def op8(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_hash")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -62,5 +74,8 @@ FROM d LEFT JOIN n USING (doc_id)
 
 QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": Query(op1, OP1_SQL),
+    "op2_sentencepiece": Query(op2),
     "op4_ngram_jaccard_join": Query(op4, OP4_SQL),
+    "op6_quality_classifier": Query(op6),
+    "op8_toxicity": Query(op8),
 }
