@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from courtspark.llm import decontamination, ngram_join, pieces, quality, toxicity
+from courtspark.llm import decontamination, embedding_dedup, ngram_join, pieces, quality, token_files, toxicity, url_filter
 from courtspark.llm.common import table
 from courtspark.registry.entry import Query
 
@@ -23,10 +23,24 @@ def op6(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_hash")
 
 
+def op7(spark, sf_dir):
+    return token_files.token_digest(table(spark, sf_dir, "documents"))
+
+
 def op8(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_hash")
 
 
+def op9(spark, sf_dir):
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+def op10(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    labelled = url_filter.labels_of_pages(pages, table(spark, sf_dir, "labels"))
+    return url_filter.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -72,10 +86,29 @@ SELECT d.doc_id, coalesce(n.size, 0)::BIGINT AS n_shingles, (SELECT min(root) FR
 FROM d LEFT JOIN n USING (doc_id)
 """
 
+OP9_SQL = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = len(v)
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98
+), reach AS (
+  SELECT vec_id AS root, vec_id AS node FROM embeddings
+  UNION SELECT root, y FROM reach JOIN links ON x = node
+), named AS (SELECT node AS vec_id, min(root) AS component_id FROM reach GROUP BY node
+), counts AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM named LEFT JOIN counts USING (vec_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": Query(op1, OP1_SQL),
     "op2_sentencepiece": Query(op2),
     "op4_ngram_jaccard_join": Query(op4, OP4_SQL),
     "op6_quality_classifier": Query(op6),
+    "op7_token_files": Query(op7),
     "op8_toxicity": Query(op8),
+    "op9_embedding_dedup": Query(op9, OP9_SQL),
+    "op10_url_filter": Query(op10),
 }

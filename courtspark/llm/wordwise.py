@@ -9,39 +9,58 @@ as they are. The caller says which texts these are.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 
 #: Words and ids that a table holds at most, and words that are put together at once.
-MAX_WORDS, MAX_IDS, TOGETHER = 400_000, 4_000_000, 1_000_000
+MAX_WORDS, MAX_IDS, TOGETHER = 600_000, 6_000_000, 1_000_000
 #: New words that are encoded as one text.
 GROUP = 64
 
 
-def split_groups(words: list[str], encode: Callable, starts: np.ndarray) -> tuple[list, list[bool]]:
-    """Ids of words that are encoded in groups joined by a space, and cut where an id begins a word
-    (``starts``, by id). A group that is not well, or does not fall into its words, goes word by word."""
+class Spelled(NamedTuple):
+    """Words, all their ids in a row, the number of ids of each word, and whether all is well with it."""
+
+    words: list[str]
+    ids: np.ndarray
+    sizes: np.ndarray
+    fine: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str], ids: list, fine: list[bool]) -> Spelled:
+        return cls(words, np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(x) for x in ids], np.int64), np.array(fine, bool))
+
+    @classmethod
+    def join(cls, parts: list[Spelled]) -> Spelled:
+        none = cls([], np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool))
+        words, *rest = zip(none, *parts, strict=True)
+        return cls(list(chain.from_iterable(words)), *map(np.concatenate, rest))
+
+
+def split_groups(words: list[str], encode: Callable, starts: np.ndarray, before: str = "") -> Spelled:
+    """Words encoded in groups joined by a space, and cut where an id begins a word (``starts``, by
+    id). A group that is not well, or does not fall into its words, goes word by word."""
     groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
-    ids, fine = [], []
-    for group, got, ok in zip(groups, *encode([" ".join(g) for g in groups]), strict=True):
-        got = np.asarray(got, np.int32)
-        cuts = np.flatnonzero(starts[got])
-        cuts = cuts if len(cuts) and cuts[0] == 0 else np.r_[0, cuts]
+    parts = []
+    for group, got, ok in zip(groups, *encode([before + " ".join(g) for g in groups]), strict=True):
+        got = np.array(got, np.int32)
+        cut = starts[got]
+        cut[:1] = True
+        cuts = np.flatnonzero(cut)
         if ok and len(cuts) == len(group):
-            ids += np.split(got, cuts[1:])
-            fine += [True] * len(group)
+            parts.append(Spelled(group, got, np.diff(cuts, append=len(got)), np.ones(len(group), bool)))
         else:
-            one, well = encode(group)
-            ids += one
-            fine += well
-    return ids, fine
+            parts.append(Spelled.of(group, *encode([before + w for w in group])))
+    return Spelled.join(parts)
 
 
 class WordTable:
-    """``encode`` gives, for a list of strings, their ids and a flag (all is well) for each."""
+    """``encode`` spells a list of words, in any order."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[list, list[bool]]], before: str = ""):
-        self.encode, self.before = encode, before
+    def __init__(self, encode: Callable[[list[str]], Spelled]):
+        self.encode = encode
         self.clear()
 
     def clear(self) -> None:
@@ -55,13 +74,11 @@ class WordTable:
             if len(self.code) + len(new) > MAX_WORDS or len(self.ids) > MAX_IDS:
                 self.clear()
                 new = list(set(words))
-            ids, fine = self.encode([self.before + w for w in new])
-            length = np.array([len(x) for x in ids], np.int64)
-            start = len(self.ids) + np.cumsum(length) - length
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, *(np.asarray(x, np.int32) for x in ids)])
-            self.start, self.length = np.r_[self.start, start], np.r_[self.length, length]
-            self.fine = np.r_[self.fine, np.asarray(fine, bool)]
+            got = self.encode(new)
+            self.code.update(zip(got.words, range(len(self.code), len(self.code) + len(new)), strict=True))
+            self.start = np.r_[self.start, len(self.ids) + np.cumsum(got.sizes) - got.sizes]
+            self.length, self.fine = np.r_[self.length, got.sizes], np.r_[self.fine, got.fine]
+            self.ids = np.r_[self.ids, got.ids]
         return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
 
     def spell(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +90,10 @@ class WordTable:
         return self.ids[at], length
 
 
-def encode_texts(texts: list[str | None], by_words: Callable[[str], bool], table: WordTable, whole: Callable) -> Iterator[tuple[np.ndarray, bool]]:
-    """Ids and flag of every text, in order; a null text has none."""
-    held: list[tuple[str, ...]] = []
+def encode_texts(texts: list[str | None], by_words: Callable[[str], bool], table: WordTable, whole: Callable, first: str = "") -> Iterator[tuple[np.ndarray, bool]]:
+    """Ids and flag of every text, in order; a null text has none. ``first`` marks a text's first word
+    for the table, where the words after a space have other ids."""
+    held: list[str | list[str]] = []
     waiting = 0
 
     def out():
@@ -94,7 +112,7 @@ def encode_texts(texts: list[str | None], by_words: Callable[[str], bool], table
                 yield np.asarray(got, np.int32), ok
 
     for text in texts:
-        held.append(text.split(" ") if text and by_words(text) else text or "")
+        held.append((first + text).split(" ") if text and by_words(text) else text or "")
         waiting += len(held[-1]) if isinstance(held[-1], list) else 0
         if waiting > TOGETHER:
             yield from out()
