@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from courtspark.llm import decontamination, embedding_dedup, ngram_join, pieces, quality, token_files, toxicity, url_filter
+from pyspark.sql import functions as F
+
+from courtspark.llm import decontamination, embedding_dedup, html_text, licenses, ngram_join, pieces, quality, token_files, toxicity, url_filter
 from courtspark.llm.common import table
 from courtspark.registry.entry import Query
 
@@ -11,6 +13,16 @@ def op1(spark, sf_dir):
     return decontamination.report(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5(spark, sf_dir):
+    """Documents have no path of their own: the source and the language are taken as folders."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt"))))
+    return licenses.scan(docs)
+
+
 def op4(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -105,6 +117,8 @@ FROM named LEFT JOIN counts USING (vec_id)
 QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": Query(op1, OP1_SQL),
     "op2_sentencepiece": Query(op2),
+    "op3_html_extraction": Query(op3),
+    "op5_license_scan": Query(op5),
     "op4_ngram_jaccard_join": Query(op4, OP4_SQL),
     "op6_quality_classifier": Query(op6),
     "op7_token_files": Query(op7),
