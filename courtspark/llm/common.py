@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from courtspark.sources.staging import stage
 
-__all__ = ["ascii_lower", "column", "row_hash", "without", "stage", "table"]
+__all__ = ["ascii_lower", "column", "row_hash", "small_batches", "without", "stage", "table"]
 
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 
@@ -40,3 +40,12 @@ def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_c
     out = stage(out, "rejected")
     same = docs[id_col].cast("long").eqNullSafe(out["__rejected_id"]) & (row_hash(docs[text_col]) == out["__rejected_hash"])
     return docs.join(out, same, "left_anti")
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after lowering the session's rows per Arrow batch: texts can be long, and a batch of the
+    usual 10,000 would fill a worker's memory. A lower setting is kept."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtspark.llm.common import stage
+from courtspark.llm.common import small_batches, stage
 from courtspark.llm.components import components
 
 COSINE = 0.98
@@ -167,7 +167,7 @@ def _groups(nodes: DataFrame, chunk: int) -> DataFrame:
 
 def embedding_components(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, lines: int = LINES, chunk: int = CHUNK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    rows = vectors.select(
+    rows = small_batches(vectors).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector")
     )
     kind = "vec_id long, label string, node string, cell long, vector binary"

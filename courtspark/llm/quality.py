@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtspark.llm.common import row_hash, stage
+from courtspark.llm.common import row_hash, small_batches, stage
 
 STATISTICS = (
     "words", "word_length", "letters", "upper", "symbols", "digits", "marks", "distinct", "repeats",
@@ -174,7 +174,7 @@ def held_out(doc_id, parts: int, part: int):
 
 
 def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> Discriminant:
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).where(~held_out(F.col("doc_id"), 4, 2))
     return fit(texts, known, max_rows)
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtspark.llm.common import row_hash
+from courtspark.llm.common import row_hash, small_batches
 from courtspark.llm.quality import bounded_labels, held_out
 
 THRESHOLD = 0.7
@@ -60,6 +61,7 @@ def slot(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % SLOTS
 
 
+_NAMES = frozenset(chain.from_iterable(GROUPS))
 _PARTNERS = {a: [b for b in group if b != a] for group in GROUPS for a in group[:-1]}
 
 
@@ -76,8 +78,10 @@ def words_of(text: str | None) -> set[str]:
 
 
 def features(words: set[str]) -> set[str]:
-    """The words, and the starts of longer ones, marked with a hyphen."""
-    return words.union(*({w[:k] + "-" for w in words if len(w) > k} for k in STARTS))
+    """The words, and the starts of longer ones, marked with a hyphen; names of groups have no starts,
+    so that a swap changes all that they add to a score."""
+    others = words - _NAMES
+    return words.union(*({w[:k] + "-" for w in others if len(w) > k} for k in STARTS))
 
 
 @dataclass(frozen=True)
@@ -186,7 +190,7 @@ def _scorer(model: Model):
 
 
 def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> Model:
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).where(~held_out(F.col("doc_id"), 3, 1))
     return fit(texts, known, max_rows)
 
