@@ -56,12 +56,13 @@ def modes(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
 
     Counted per value before anything is gathered, since ``mode`` keeps all values in one state.
     """
-    out = {}
-    for c in names:
-        counts = df.where(col(c).isNotNull()).groupBy(col(c).alias("v")).count()
-        row = counts.orderBy(F.desc("count"), "v").first()
-        out[c] = row["v"] if row else "0"
-    return out
+    if not names:
+        return {}
+    texts = F.array(*[F.struct(F.lit(c).alias("name"), col(c).cast("string").alias("v")) for c in names])
+    counts = df.select(F.inline(texts)).where("v IS NOT NULL").groupBy("name", "v").count()
+    best = counts.groupBy("name").agg(F.min_by("v", F.struct(-col("count"), col("v"))).alias("v"))
+    found = {r["name"]: r["v"] for r in best.collect()}  # one row per column
+    return {c: found.get(c, "0") for c in names}
 
 
 def fill_missing(df: DataFrame, fills: Fills) -> DataFrame:

@@ -109,17 +109,26 @@ def latest_prices(prices: DataFrame, keys: Sequence[str], newest: Sequence[str])
     )
 
 
-def props_to_games(games: DataFrame, props: DataFrame, keys: Sequence[str] = ("Player",)) -> DataFrame:
+def props_to_games(
+    games: DataFrame, props: DataFrame, keys: Sequence[str] = ("Player",), as_of: str | None = None, date: str = "Date"
+) -> DataFrame:
     """Attach each player's prices as one map {odds column: price}.
 
     The prices of a player shrink to one entry per odds column before the join, so a game row
-    meets one row and is never multiplied.
+    meets one row and is never multiplied. A missing bookmaker is called "unknown"; prices without
+    a line or a side name no odds column and are left out. With ``as_of`` (a day, as text) only
+    games from that day on get prices; without it all games do, earlier ones too.
     """
+    props = props.where(col("line").isNotNull() & col("side").isNotNull() & col("target").isNotNull())
+    props = props.withColumn("bookmaker", F.coalesce("bookmaker", F.lit("unknown")))
     latest = latest_prices(props, [*keys, "target", "line", "side", "bookmaker"], ["game_time", "price"])
     maps = latest.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(odds_column(), col("price")))).alias("odds")
     )
-    return games.join(maps, list(keys), "left")
+    if as_of is None:
+        return games.join(maps, list(keys), "left")
+    out = games.join(maps, list(keys), "left")
+    return out.withColumn("odds", F.when(col(date) >= F.lit(as_of).cast("date"), col("odds")))
 
 
 def odds_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import col, pearson, ratio
 from courtspark.plans.history import with_history
+from courtspark.plans.sizes import row_count
 
 
 def newest_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
@@ -92,7 +93,7 @@ def strong_pairs(df: DataFrame, stats: Sequence[str], above: float = 0.7) -> Dat
 
     A hair below 1 counts as 1, since the last digit of r depends on the order of the sums.
     """
-    stats = list(stats)[:10]
+    stats = list(stats)
     pairs = [(a, b) for i, a in enumerate(stats) for b in stats[i + 1 :]]
     one = correlations(df, pairs).where((F.abs("r") > above) & (col("r") < 1 - 1e-9))
     both = one.unionByName(one.select(col("b").alias("a"), col("a").alias("b"), "r"))
@@ -111,9 +112,11 @@ def longest_streak(
     A run that ends at a row is its position minus the position of the last zero before it.
     """
     none = lambda w: {}
-    df = with_history(df, [key], order, none, 0, {"_at": ("count", F.lit(1))}, task_rows)
+    df = df.select(key, *[c for c in order if c != key], flag)
+    rows = row_count(df)
+    df = with_history(df, [key], order, none, 0, {"_at": ("count", F.lit(1))}, task_rows, rows)
     df = with_history(
-        df, [key], order, none, 0, {"_miss": ("max", F.when(col(flag) == 0, col("_at") + 1))}, task_rows
+        df, [key], order, none, 0, {"_miss": ("max", F.when(col(flag) == 0, col("_at") + 1))}, task_rows, rows
     )
     run = F.when(col(flag) == 1, col("_at") + 1 - F.coalesce(col("_miss"), F.lit(0))).otherwise(0)
     return df.groupBy(key).agg(

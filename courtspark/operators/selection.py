@@ -102,29 +102,30 @@ def feature_columns(df: DataFrame, target: str, same_game: bool = False, critica
     return names
 
 
-def win_priority(names: Sequence[str]) -> list[str]:
-    """Keyword groups in order, each with its cap, at most 30 in all."""
+def win_priority(names: Sequence[str], top: int | None = MAX_FEATURES, groups=WIN_GROUPS) -> list[str]:
+    """Keyword groups in order, each with its cap, at most ``top`` in all (30 by the given rule)."""
     chosen: list[str] = []
-    for cap, words in WIN_GROUPS:
+    for cap, words in groups:
         hits = [n for n in names if any(w in n for w in words)][:cap]
         chosen += [n for n in hits if n not in chosen]
-    return chosen[:MAX_FEATURES]
+    return chosen[:top]
 
 
-def double_priority(names: Sequence[str]) -> list[str]:
-    """Fixed top list, keyword groups that stop at their caps, critical names kept."""
+def double_priority(names: Sequence[str], top: int | None = MAX_FEATURES, groups=DOUBLE_GROUPS) -> list[str]:
+    """Fixed top list, keyword groups that stop at their caps, critical names kept; at most ``top``
+    names (30 by the given rule)."""
     chosen = [n for n in DOUBLE_TOP if n in names]
-    for cap, words, counted in DOUBLE_GROUPS:
+    for cap, words, counted in groups:
         for n in names:
             if n in chosen or not any(w in n for w in words):
                 continue
             chosen.append(n)
             if sum(any(k in c for k in counted) for c in chosen) >= cap:
                 break
-    chosen = chosen[:MAX_FEATURES]
+    chosen = chosen[:top]
     for n in DOUBLE_CRITICAL:
         if n in names and n not in chosen:
-            if len(chosen) < MAX_FEATURES:
+            if top is None or len(chosen) < top:
                 chosen.append(n)
             else:
                 chosen[-1] = n
@@ -181,18 +182,16 @@ def select_by_correlation(
     return kept
 
 
-def drop_collinear_both(df: DataFrame, names: Sequence[str], above: float = 0.8, only_over: int = 15) -> list[str]:
-    """Drop every feature that is part of a pair above the limit, when there are many features.
+def drop_collinear_both(df: DataFrame, names: Sequence[str], above: float = 0.8, top: int | None = None) -> list[str]:
+    """Drop every feature that is part of a pair above the limit; keep the first ``top`` others, or all.
 
     Coefficients use the rows where both features are known.
     """
     names = list(names)
-    if len(names) <= only_over:
-        return names
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     hits = correlations(df, pairs).where(F.abs("r") > above).collect()
     bad = {n for r in hits for n in (r["a"], r["b"])}
-    return [n for n in names if n not in bad][:MAX_FEATURES]
+    return [n for n in names if n not in bad][:top]
 
 
 # ------------------------------------------------------------------ combined scores

@@ -45,7 +45,7 @@ def by_row_fraction(
     """
     narrow = df.select(*[col(c) for c in order])
     n = row_count(narrow)
-    rows = row_index(narrow, [col(c) for c in order], "row_ix", limit)
+    rows = row_index(narrow, [col(c) for c in order], "row_ix", limit, n)
     cut = rows.where(col("row_ix") == int(n * share)).select(*[col(c) for c in order]).first()
     split = F.when(_before([col(c) for c in order], cut), "train").otherwise("validation")
     return df.withColumn("split", split)

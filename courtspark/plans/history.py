@@ -69,6 +69,7 @@ def with_history(
     """
     running = dict(running or {})
     task_rows = TASK_ROWS if task_rows is None else task_rows
+    rows = row_count(df.select(*keys)) if rows is None else rows
     if keys_fit_one_task(df, keys, task_rows, rows):
         window = Window.partitionBy(*keys).orderBy(*order)
         wall = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -77,15 +78,15 @@ def with_history(
             *[c.alias(n) for n, c in build(window).items()],
             *[_AGG[kind](x).over(wall).alias(n) for n, (kind, x) in running.items()],
         )
-    return _blocked(df, keys, order, build, reach, running, max(task_rows, reach + 1))
+    return _blocked(df, keys, order, build, reach, running, max(task_rows, reach + 1), rows)
 
 
 CARRY_ROWS = 1_000_000  # carried rows, at most one per block, that may be broadcast
 _AGG = {"sum": F.sum, "count": F.count, "max": F.max}
 
 
-def _blocked(df, keys, order, build, reach, running, block_rows) -> DataFrame:
-    rows = row_index(df, [F.col(c) for c in [*keys, *order]], _IX, limit=block_rows)
+def _blocked(df, keys, order, build, reach, running, block_rows, n_rows) -> DataFrame:
+    rows = row_index(df, [F.col(c) for c in [*keys, *order]], _IX, limit=block_rows, rows=n_rows)
     here = F.expr(f"{_IX} div {block_rows}")
     near_end = (col(_IX) % block_rows) >= block_rows - reach
     spread = rows.withColumn(_HOME, here).withColumn(
@@ -104,13 +105,13 @@ def _blocked(df, keys, order, build, reach, running, block_rows) -> DataFrame:
         ],
     ).where(_OWN)
     if running:
-        out = _add_carry(out, rows.withColumn(_BLOCK, here), keys, running, block_rows)
+        out = _add_carry(out, rows.withColumn(_BLOCK, here), keys, running, n_rows // block_rows)
     plain = [col(c) for c in df.columns]
     bounded = [col(n) for n in build(window)]
     return out.select(*plain, *bounded, *[col(n) for n in running])
 
 
-def _add_carry(out, rows, keys, running, block_rows) -> DataFrame:
+def _add_carry(out, rows, keys, running, blocks) -> DataFrame:
     """Join the totals of a key's earlier blocks; only blocks that a key enters from before."""
     totals = rows.groupBy(*keys, _BLOCK).agg(
         *[_AGG[kind](x).alias(f"_c_{n}") for n, (kind, x) in running.items()]
@@ -128,7 +129,7 @@ def _add_carry(out, rows, keys, running, block_rows) -> DataFrame:
             for n, (kind, _) in running.items()
         ],
     ).where(col("_blocks_before") > 0)
-    if row_count(rows) // block_rows <= CARRY_ROWS:
+    if blocks <= CARRY_ROWS:
         carry = F.broadcast(carry)  # a block has at most one key that began before it
     match = col(_BLOCK) == col("_k_block")
     for k in keys:

@@ -39,10 +39,12 @@ def _offsets(parts: DataFrame, sums: Sequence[str]) -> DataFrame:
 
 
 def row_index(
-    df: DataFrame, order: Sequence[Column], name: str = "row_ix", limit: int | None = None
+    df: DataFrame, order: Sequence[Column], name: str = "row_ix", limit: int | None = None, rows: int | None = None
 ) -> DataFrame:
-    """Add the 0-based position of every row in ``order``. The order must be total."""
-    if fits_one_task(df, limit):
+    """Add the 0-based position of every row in ``order``. The order must be total.
+
+    ``rows`` is the number of rows of ``df``, if known."""
+    if fits_one_task(df, limit, rows):
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     rows = _sorted_table(df, order)
     offsets = _offsets(rows.groupBy(_PART).agg(F.count("*").alias(_N)), [_N])

@@ -10,29 +10,15 @@ from pyspark.sql import functions as F
 # Rows that one task may sort for a single key or for a whole small table.
 TASK_ROWS = 2_000_000
 
-_seen: dict[tuple, int] = {}
-
-
-def _once(df: DataFrame, what: str, job) -> int:
-    """Run a sizing job once per plan; a stale answer can cost time but not correctness."""
-    key = (df.sparkSession.sparkContext.applicationId, what, df.semanticHash())
-    if key not in _seen:
-        _seen[key] = job()
-    return _seen[key]
-
 
 def row_count(df: DataFrame) -> int:
-    return _once(df, "rows", df.count)
+    """Counted anew at every call: the data behind a plan can change within a session."""
+    return df.count()
 
 
 def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the most frequent key, by a map-side combined count over the key columns only."""
-    counts = df.groupBy(*keys).count()
-
-    def job() -> int:
-        return counts.agg(F.max("count")).first()[0] or 0
-
-    return _once(counts, "largest", job)
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
 def fits_one_task(df: DataFrame, limit: int | None = None, rows: int | None = None) -> bool:

@@ -179,11 +179,11 @@ def game_props(spark, sf_dir):
 
 
 def merge(spark, sf_dir):
-    """Prices joined to games of the same event and day."""
-    long = prices(spark, sf_dir).select(F.col("event_id").alias("Player"), F.month("snapshot").alias("month"),
+    """Prices joined to games of the same player and day."""
+    long = prices(spark, sf_dir).select(F.col("event_id").alias("Player"), col("snapshot").cast("date").alias("Date"),
         "target", "line", "side", "bookmaker", "price", F.struct("snapshot", "quote_id").alias("game_time"))
-    games = player_games(spark, sf_dir).select("game_id", "Player", (F.dayofmonth("Date") % 12 + 1).alias("month"))
-    df = markets.odds_columns(markets.props_to_games(games, long, ["Player", "month"]), SHOWN)
+    games = player_games(spark, sf_dir).select("game_id", "Player", col("Date").cast("date").alias("Date"))
+    df = markets.odds_columns(markets.props_to_games(games, long, ["Player", "Date"]), SHOWN)
     return tidy(df.select("game_id", F.coalesce(F.size("odds"), F.lit(0)).alias("quotes"), *[col(c) for c in SHOWN]))
 
 
@@ -214,7 +214,7 @@ def fresh(spark, sf_dir):
 def odds_files(spark, sf_dir):
     """Prices written as CSV and as JSON, read back by extension."""
     folder = f"{staging_folder(spark)}/odds-{uuid.uuid4().hex}"
-    df = prices(spark, sf_dir)
+    df = prices(spark, sf_dir)  # one record per line; documents over several lines are in the tests
     df.where(col("side") == "over").write.option("header", True).csv(f"{folder}.csv")
     df.where(col("side") == "under").write.json(f"{folder}.json")
     both = odds_source.read_odds_file(spark, f"{folder}.csv").unionByName(odds_source.read_odds_file(spark, f"{folder}.json"))
@@ -401,9 +401,9 @@ QUERIES = {
     ),
     "odds_merge": Query(
         merge,
-        ask(PRICES + "," + PLAYER_GAMES + f""", q AS (SELECT event_id, month(snapshot) AS m, {_NAME} AS name, max_by(price, (snapshot, quote_id)) AS price FROM prices GROUP BY 1, 2, 3),
+        ask(PRICES + "," + PLAYER_GAMES + f""", q AS (SELECT event_id, snapshot::DATE AS m, {_NAME} AS name, max_by(price, (snapshot, quote_id)) AS price FROM prices GROUP BY 1, 2, 3),
             w AS (SELECT event_id, m, count(*) AS quotes, {', '.join(f'''max(price) FILTER (name = '{c}') AS "{c}"''' for c in SHOWN)} FROM q GROUP BY 1, 2)""",
-            f"""SELECT game_id, coalesce(quotes, 0) AS quotes, {', '.join(f'"{c}"' for c in SHOWN)} FROM player_games LEFT JOIN w ON "Player" = event_id AND m = day("Date") % 12 + 1""",
+            f"""SELECT game_id, coalesce(quotes, 0) AS quotes, {', '.join(f'"{c}"' for c in SHOWN)} FROM player_games LEFT JOIN w ON "Player" = event_id AND m = "Date"::DATE""",
             ", ".join(SHOWN), "game_id, quotes"),
     ),
     "odds_wide": Query(

@@ -208,7 +208,7 @@ def by_correlation(spark, sf_dir):
 
 def collinear(spark, sf_dir):
     df = team_games(spark, sf_dir)
-    names = selection.drop_collinear_both(df, ["FGA", "3PA", "FTA", "FG", "3P", "FG%", "FT%", "3P%", "PTS", "PTS_Opp"], only_over=5)
+    names = selection.drop_collinear_both(df, ["FGA", "3PA", "FTA", "FG", "3P", "FG%", "FT%", "3P%", "PTS", "PTS_Opp"])
     return tidy(listing(df, names))
 
 

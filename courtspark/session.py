@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from courtspark.sources.staging import LOCAL_FOLDER
+
 
 def local_session(cores: str | int = 8, memory: str = "12g") -> SparkSession:
     spark = (
@@ -15,6 +17,7 @@ def local_session(cores: str | int = 8, memory: str = "12g") -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", LOCAL_FOLDER)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +19,51 @@ SNAPSHOT_SCHEMA = (
 ODDS_COLUMNS = ("event_id", "target", "line", "side", "bookmaker", "price", "snapshot")
 
 
+def _json_form(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether a JSON file holds snapshot documents, and whether a document goes over several lines.
+
+    Told from the first line that is not empty; a line that is no JSON object begins a longer document.
+    """
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    if first is None:
+        return False, False
+    try:
+        names = set(json.loads(first["value"]))
+        several = not names or not all(isinstance(n, str) for n in names)
+    except (ValueError, TypeError):
+        names, several = set(), True
+    if several:
+        names = set(spark.read.option("multiLine", True).json(path).columns)
+    return "data" in names, several
+
+
+def read_odds_document(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshot documents of a JSON file, one per line or one per file over several lines.
+
+    ``operators.markets.explode_props`` flattens them. A malformed document is an error."""
+    nested, several = _json_form(spark, path)
+    if not nested:
+        raise ValueError(f"{path} holds no snapshot document: it has no field 'data'")
+    reader = spark.read.schema(SNAPSHOT_SCHEMA).option("mode", "FAILFAST")
+    return reader.option("multiLine", several).json(path)
+
+
 def read_odds_file(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Long odds from CSV or JSON, told apart by the extension unless ``kind`` is given."""
+    """Long odds from CSV or JSON, told apart by the extension unless ``kind`` is given.
+
+    JSON may have one record per line, or one array or record over several lines; a malformed record
+    is an error. Snapshot documents are nested and are told to ``read_odds_document``."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
         raw = spark.read.option("header", True).csv(path)
     elif kind == "json":
-        raw = spark.read.schema(", ".join(f"`{c}` string" for c in ODDS_COLUMNS)).json(path)
+        nested, several = _json_form(spark, path)
+        if nested:
+            raise ValueError(f"{path} holds snapshot documents: use read_odds_document and explode_props")
+        if several:
+            raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("primitivesAsString", True).json(path)
+        else:
+            raw = spark.read.schema(", ".join(f"`{c}` string" for c in ODDS_COLUMNS)).option("mode", "FAILFAST").json(path)
     else:
         raise ValueError(f"unknown odds format {kind!r}: use csv or json")
     check_required_columns(raw, ODDS_COLUMNS, "odds")

@@ -1,29 +1,28 @@
 """Tables written once into the shared folder of the cluster.
 
 A written table cuts lineage and survives lost executors. The folder is the one named by
-``spark.checkpoint.dir``; only a local session without that setting gets a temporary folder.
+``spark.checkpoint.dir``. A session within one process may leave it unset; on a cluster it is
+required.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
+# Used where nothing is set and driver and executors are one process.
+LOCAL_FOLDER = "file:///tmp/checkpoints"
 
 
 def staging_folder(spark: SparkSession) -> str:
-    global _local_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="courtspark-")
-    return _local_folder
+    return LOCAL_FOLDER
 
 
 def stage(df: DataFrame, label: str = "table") -> DataFrame:

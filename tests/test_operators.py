@@ -13,7 +13,7 @@ from courtspark.functions import shooting, situation
 from courtspark.functions.scalars import col
 from courtspark.operators import cleaning, evaluation, lines, loading, markets, profiles, selection, splits, thresholds
 from courtspark.sources import odds as odds_source
-from courtspark.sources.staging import staging_folder
+from courtspark.sources.staging import LOCAL_FOLDER, staging_folder
 from tests.conftest import rows
 
 
@@ -305,4 +305,63 @@ def test_staging_folder_comes_from_the_session():
     assert staging_folder(session("hdfs://shared/ckpt/", "yarn")) == "hdfs://shared/ckpt"
     with pytest.raises(RuntimeError):
         staging_folder(session(None, "yarn"))
-    assert "courtspark-" in staging_folder(session(None, "local[8]"))
+    with pytest.raises(RuntimeError):
+        staging_folder(session(None, "local-cluster[3,2,3000]"))
+    assert staging_folder(session(None, "local[8]")) == LOCAL_FOLDER
+
+
+def test_split_counts_again_after_the_data_changed(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    table = lambda a, b: spark.range(a, b).select(col("id").alias("game_id"))
+    table(0, 100).write.parquet(path)
+    first = splits.by_row_fraction(spark.read.parquet(path), ["game_id"])
+    assert first.where("split = 'train'").count() == 80
+    table(100, 1000).write.mode("append").parquet(path)
+    again = splits.by_row_fraction(spark.read.parquet(path), ["game_id"])
+    assert again.where("split = 'train'").count() == 800 and again.where("split <> 'train'").count() == 200
+
+
+def test_props_without_a_bookmaker_line_or_side(spark):
+    kind = "Player string, target string, line double, side string, bookmaker string, price double, game_time timestamp"
+    at = pd.Timestamp("2024-01-01").to_pydatetime()
+    data = [("a", "PTS", 10.0, "over", None, 1.8, at), ("a", "PTS", None, "over", "x", 1.9, at), ("a", "PTS", 5.5, None, "x", 2.0, at), ("a", "PTS", 5.5, "under", "x", 2.1, at)]
+    games = spark.createDataFrame([("a", "2024-01-02"), ("a", "2023-05-01"), ("b", "2024-01-02")], "Player string, Date string").withColumn("Date", col("Date").cast("date"))
+    got = rows(markets.props_to_games(games, spark.createDataFrame(data, kind)), "Player", "Date")
+    assert [r["odds"] for r in got] == [{"PTS_over_10_odds_unknown": 1.8, "PTS_under_5.5_odds_x": 2.1}] * 2 + [None]
+    got = rows(markets.props_to_games(games, spark.createDataFrame(data, kind), as_of="2024-01-01"), "Player", "Date")
+    assert [r["odds"] is not None for r in got] == [False, True, False]
+
+
+RECORD = '{"event_id": 1, "target": "PTS", "line": 10.5, "side": "Over", "bookmaker": "x", "price": 1.9, "snapshot": "2024-01-02"}'
+DOCUMENT = """{
+  "success": true,
+  "last_update": "2024-01-02T03:04:05",
+  "data": [{"commence_time": "2024-01-03T00:00:00", "home_team": "H", "away_team": "A", "bookmakers": [
+    {"key": "bm", "markets": [{"key": "player_points", "outcomes": [{"name": "P Over", "team": "H", "point": 10.5, "price": 1.9}]}]}]}]
+}"""
+
+
+def test_odds_json_in_every_form(spark, tmp_path):
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    forms = {"lines.json": f"{RECORD}\n{RECORD}\n", "array.json": f"[\n{RECORD},\n{RECORD}\n]", "pretty.json": RECORD.replace(", ", ",\n ").replace("{", "{\n")}
+    for name, text in forms.items():
+        got = odds_source.read_odds_file(spark, put(name, text)).collect()
+        assert len(got) == (1 if name == "pretty.json" else 2) and all((r.event_id, r.line, r.side, r.price) == (1, 10.5, "over", 1.9) for r in got)
+    nested = put("nested.json", DOCUMENT)
+    with pytest.raises(ValueError, match="snapshot documents"):
+        odds_source.read_odds_file(spark, nested)
+    for path in (nested, put("one.json", DOCUMENT.replace("\n", " ") + "\n")):
+        long = markets.long_props(markets.explode_props(odds_source.read_odds_document(spark, path))).collect()
+        assert [(r.player, r.target, r.side, r.line, r.bookmaker) for r in long] == [("P", "PTS", "over", 10.5, "bm")]
+    with pytest.raises(ValueError, match="no snapshot"):
+        odds_source.read_odds_document(spark, put("flat.json", RECORD))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        odds_source.read_odds_file(spark, put("broken.json", RECORD + "\n{broken\n")).collect()
+
+
+def test_modes_in_one_pass(spark):
+    df = spark.createDataFrame([("x", "b", None), ("x", "a", None), ("y", "b", None), (None, "a", None)], "p string, q string, r string")
+    assert cleaning.modes(df, ["p", "q", "r"]) == {"p": "x", "q": "a", "r": "0"} and cleaning.modes(df, []) == {}
