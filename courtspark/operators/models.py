@@ -9,6 +9,7 @@ import json
 import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -19,6 +20,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from courtspark.functions.scalars import col, with_scalar
 from courtspark.operators import evaluation
@@ -53,6 +55,8 @@ META_POSITIVE_WEIGHT = 15.0
 SEARCH_SPACE = {"maxIter": (20, 30, 40), "maxDepth": (3, 4, 5), "stepSize": (0.02, 0.03, 0.05), "subsamplingRate": (0.7, 0.8)}
 SWEEP_TREES = tuple(range(50, 201, 25))
 SEED = 42
+#: Fits that are submitted to Spark at a time; each is a distributed job of its own.
+FITS_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -111,9 +115,10 @@ def scaled_columns(df: DataFrame, features: Sequence[str], column: str = "scaled
 
 
 def _settings(level: str, trees: int | None) -> dict:
+    """Settings of a level; ``trees`` replaces the sizes of forests and boosting."""
     s = dict(LEVELS[level])
     if trees is not None:
-        s |= {"forest_trees": min(trees, s["forest_trees"]), "boost_trees": min(trees, s["boost_trees"])}
+        s |= {"forest_trees": trees, "boost_trees": trees}
     return s
 
 
@@ -167,13 +172,15 @@ def early_stopped_boosting(train: DataFrame, validation: DataFrame, level: str =
 
 def forest_sweep(train: DataFrame, validation: DataFrame, sizes: Sequence[int] = SWEEP_TREES, level: str = "win"):
     """Forests of growing size; the smallest with the best validation AUC."""
-    best, chosen, tried = -1.0, None, []
-    for n in sizes:
-        s = LEVELS[level]
-        model = RandomForestClassifier(
+    best, chosen, tried, s = -1.0, None, [], LEVELS[level]
+    forests = [
+        RandomForestClassifier(
             featuresCol="features", labelCol="y", numTrees=n, maxDepth=s["forest_depth"],
             minInstancesPerNode=s["forest_leaf"], seed=SEED,
-        ).fit(train)
+        )
+        for n in sizes
+    ]
+    for n, model in zip(sizes, _together([lambda f=f: f.fit(train) for f in forests]), strict=True):
         scored = predict_probability(model, validation, "forest")
         auc = evaluation.auc(scored).first()["auc_roc"]
         tried.append((n, auc))
@@ -212,19 +219,25 @@ def predict_probability(model, df: DataFrame, name: str, key: str = "game_id") -
     )
 
 
+def _together(jobs: Sequence, at_once: int = FITS_AT_ONCE) -> list:
+    """Results of independent fits, several submitted to Spark at a time."""
+    with ThreadPool(max(1, min(at_once, len(jobs)))) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(j) for j in jobs])
+
+
 def fit_all(prepared: Prepared, estimators: Mapping[str, object]) -> dict[str, object]:
-    return {name: e.fit(prepared.train) for name, e in estimators.items()}
+    fitted = _together([lambda e=e: e.fit(prepared.train) for e in estimators.values()])
+    return dict(zip(estimators, fitted, strict=True))
 
 
 def predict_all(models: Mapping[str, object], prepared: Prepared, probability: bool = False) -> DataFrame:
     """Long predictions of all models for both parts of the split."""
-    one = predict_probability if probability else predict_value
     whole = prepared.train.unionByName(prepared.validation)
-    parts = [one(m, whole, name) for name, m in models.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    wide = _chain(models, whole, probability)
+    value = "y_proba" if probability else "y_pred"
+    items = F.array(*[F.struct(F.lit(n).alias("model"), col(f"base_{n}").alias(value)) for n in models])
+    truth = col("y").cast("int") if probability else col("y")
+    return wide.select(col("game_id").alias("id"), "split", truth.alias("y_true"), F.inline(items)).select("id", "model", "split", "y_true", value)
 
 
 def importances(models: Mapping[str, object], features: Sequence[str], df: DataFrame) -> DataFrame:
@@ -257,10 +270,11 @@ def out_of_fold(
 ) -> DataFrame:
     """Base predictions of every training row from models that have not seen it."""
     folded = train.withColumn("_fold", F.pmod(F.xxhash64(col(key)), F.lit(folds)))
+    pairs = [(k, n) for k in range(folds) for n in estimators]
+    fitted = dict(zip(pairs, _together([lambda k=k, n=n: estimators[n].fit(folded.where(col("_fold") != k)) for k, n in pairs]), strict=True))
     parts = []
     for k in range(folds):
-        fitted = {n: e.fit(folded.where(col("_fold") != k)) for n, e in estimators.items()}
-        parts.append(_chain(fitted, folded.where(col("_fold") == k), probability))
+        parts.append(_chain({n: fitted[k, n] for n in estimators}, folded.where(col("_fold") == k), probability))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -298,7 +312,7 @@ def random_params(n: int = 15, seed: int = SEED, space: Mapping[str, Sequence] =
     return [{k: rng.choice(v) for k, v in space.items()} for _ in range(n)]
 
 
-def random_search(train: DataFrame, n: int = 15, folds: int = 5, parallelism: int = 4, key: str = "game_id", space=SEARCH_SPACE):
+def random_search(train: DataFrame, n: int = 15, folds: int = 5, parallelism: int = FITS_AT_ONCE, key: str = "game_id", space=SEARCH_SPACE):
     """Cross-validated boosting over random settings, by mean absolute error."""
     boost = GBTRegressor(featuresCol="features", labelCol="y", seed=SEED)
     grid = [{boost.getParam(k): v for k, v in p.items()} for p in random_params(n, space=space)]
@@ -371,22 +385,42 @@ def learning_curve(
     """Train and validation R2 for nested shares of the training rows, mean over folds."""
     draw = F.pmod(F.xxhash64(col(key), F.lit(SEED)), F.lit(10_000)) / 10_000
     folded = df.withColumns({"_fold": F.pmod(F.xxhash64(col(key)), F.lit(folds)), "_draw": draw})
-    parts = []
-    for size in sizes:
-        for k in range(folds):
-            train = folded.where((col("_fold") != k) & (col("_draw") < size))
-            model = estimator.fit(train)
-            for role, part in (("train", train), ("validation", folded.where(col("_fold") == k))):
-                e = model.transform(part).select(col("y").alias("y_true"), col("prediction").alias("y_pred"))
-                parts.append(
-                    evaluation.regression_metrics(e).select(F.lit(size).alias("size"), F.lit(role).alias("role"), "n", "r2")
-                )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    jobs = [(i, k) for i in range(len(sizes)) for k in range(folds)]
+    fit = lambda i, k: estimator.fit(folded.where((col("_fold") != k) & (col("_draw") < sizes[i])))
+    fitted = dict(zip(jobs, _together([lambda i=i, k=k: fit(i, k) for i, k in jobs]), strict=True))
+    out = None
+    for k in range(folds):  # the models of all sizes score a fold's rows in one scan
+        wide = _chain({str(i): fitted[i, k] for i in range(len(sizes))}, folded, False)
+        items = F.array(*[F.struct(F.lit(float(x)).alias("size"), col(f"base_{i}").alias("y_pred")) for i, x in enumerate(sizes)])
+        role = F.when(col("_fold") == k, "validation").otherwise("train")
+        long = wide.select(role.alias("role"), col("y").alias("y_true"), "_draw", F.inline(items))
+        long = long.where((col("role") == "validation") | (col("_draw") < col("size")))
+        part = evaluation.regression_metrics(long, ["size", "role"]).select("size", "role", "n", "r2")
+        out = part if out is None else out.unionByName(part)
     return out.groupBy("size", "role").agg(F.avg("n").alias("rows"), F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"))
 
 
+def cross_validate(table: DataFrame, estimators: Mapping[str, object], folds: int, probability: bool = False) -> DataFrame:
+    """A fit per fold and model. ``table`` has y, features and ``parts``: one (fold, role) struct for
+    every part a row belongs to, role "train" or "validation"; fold from 1 to ``folds``. Gives
+    (fold, role, model, metrics of the predictions) from one scan per fold."""
+    mine = lambda k, role: F.exists("parts", lambda p: (p["fold"] == k) & (p["role"] == role))
+    jobs = [(k, n) for k in range(1, folds + 1) for n in estimators]
+    fits = _together([lambda k=k, n=n: estimators[n].fit(table.where(mine(k, "train"))) for k, n in jobs])
+    fitted = dict(zip(jobs, fits, strict=True))
+    value, out = "y_proba" if probability else "y_pred", None
+    for k in range(1, folds + 1):
+        rows = table.withColumn("role", F.when(mine(k, "validation"), "validation").when(mine(k, "train"), "train")).where("role IS NOT NULL")
+        wide = _chain({n: fitted[k, n] for n in estimators}, rows, probability)
+        items = F.array(*[F.struct(F.lit(n).alias("model"), col(f"base_{n}").alias(value)) for n in estimators])
+        truth = col("y").cast("int") if probability else col("y")
+        long = wide.select(F.lit(k).alias("fold"), "role", truth.alias("y_true"), F.inline(items))
+        metrics = evaluation.grouped_classification if probability else evaluation.regression_metrics
+        part = metrics(long, ["fold", "role", "model"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ------------------------------------------------------------------ saving
 
 

@@ -127,6 +127,16 @@ def series_bounds(n: int, folds: int = 7) -> list[tuple[int, int]]:
     return [(n - size * (folds - i), n - size * (folds - i - 1)) for i in range(folds)]
 
 
+def with_parts(df: DataFrame, order: Sequence[str], bounds: Sequence[tuple[int, int]], limit: int | None = None) -> DataFrame:
+    """Adds ``parts``: the (fold, role) of every train and validation part that a row belongs to."""
+    rows = row_index(df, [F.col(c) for c in order], "_row_ix", limit)
+    parts = []
+    for i, (end, stop) in enumerate(bounds):
+        role = F.when(col("_row_ix") < end, "train").when(col("_row_ix") < stop, "validation")
+        parts.append(F.when(role.isNotNull(), F.struct(F.lit(i + 1).alias("fold"), role.alias("role"))))
+    return rows.withColumn("parts", F.array_compact(F.array(*parts))).drop("_row_ix")
+
+
 def fold_report(
     df: DataFrame, order: Sequence[str], bounds: Sequence[tuple[int, int]], limit: int | None = None
 ) -> DataFrame:

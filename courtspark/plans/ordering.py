@@ -129,12 +129,14 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation, as numbers on the driver.
 
-    Up to ``limit`` rows the built-in ``percentile`` is used; its state grows with the distinct
-    values. Beyond that, brackets around all quantiles are narrowed together by approximate
-    quantiles and exact counts, with nothing shuffled but one row per task, until few distinct
-    values are left inside.
+    Up to ``limit`` values (rows times columns) the built-in ``percentile`` is used; its state grows
+    with the distinct values of all columns. Beyond that, brackets around all quantiles are narrowed
+    together by approximate quantiles and exact counts, with nothing shuffled but one row per task,
+    until few distinct values are left inside; their ranks are found in Spark, and only the values
+    at the wanted ranks reach the driver.
     """
-    if fits_one_task(df, limit, rows):
+    rows = row_count(df) if rows is None else rows
+    if fits_one_task(df, limit, rows * len(columns)):
         row = df.agg(
             *[
                 F.percentile(col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
@@ -150,7 +152,7 @@ def exact_quantiles(
     return {c: [found[c, p] for p in probs] for c in columns}
 
 
-BRACKET_ROWS = 100_000  # distinct values of one bracket that may reach the driver
+BRACKET_ROWS = 100_000  # rows of one bracket that one task may sort
 _ACCURACY, _ROUNDS = 1000, 8
 
 
@@ -247,29 +249,33 @@ def _value_at(ranks: DataFrame, column: str, rank: int) -> float:
 
 
 def _finish(values: DataFrame, brackets: Mapping) -> dict[tuple[str, float], float]:
-    """Read the few distinct values of all remaining brackets at once."""
+    """Values at the wanted ranks of all remaining brackets, from one pass; at most two per bracket."""
     out = {k: b.low for k, b in brackets.items() if b.low == b.high}
     left = {k: b for k, b in brackets.items() if k not in out}
     if not left:
         return out
     items = F.array(
         *[
-            F.struct(F.lit(i).alias("b"), F.when(b.hit(b.low, b.high), col(b.column)).alias("x"))
+            F.struct(
+                F.lit(i).alias("b"),
+                F.when(b.hit(b.low, b.high), col(b.column)).alias("x"),
+                F.lit(b.rank - b.below).alias("first"),
+                F.lit(b.last_rank - b.below).alias("last"),
+            )
             for i, b in enumerate(left.values())
         ]
     )
-    counted = values.select(F.inline(items)).where(col("x").isNotNull()).groupBy("b", "x").count()
+    counted = values.select(F.inline(items)).where(col("x").isNotNull()).groupBy("b", "first", "last", "x").count()
+    upto = F.sum("count").over(Window.partitionBy("b").orderBy("x"))  # at most BRACKET_ROWS values
+    ranked = counted.withColumn("high", upto).withColumn("low", col("high") - col("count") + 1)
+    wanted = ranked.where("first BETWEEN low AND high OR last BETWEEN low AND high")
     tables: dict[int, list] = {}
-    for r in sorted(counted.collect()):  # at most BRACKET_ROWS values per bracket
-        tables.setdefault(r["b"], []).append((r["x"], r["count"]))
+    for r in wanted.collect():
+        tables.setdefault(r["b"], []).append((r["low"], r["high"], r["x"]))
     for i, (key, b) in enumerate(left.items()):
 
         def at(rank: int, table=tables[i]) -> float:
-            for x, n in table:
-                rank -= n
-                if rank <= 0:
-                    return x
-            raise ValueError("rank outside the bracket")
+            return next(x for low, high, x in table if low <= rank <= high)
 
         out[key] = _pick(b, at)
     return out

@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 from courtspark import fixed
 from courtspark.functions import rolling
 from courtspark.functions.scalars import clip, col, fill
-from courtspark.operators import ensembles, evaluation, features, loading, matchups, models, selection
+from courtspark.operators import ensembles, evaluation, features, loading, matchups, models, selection, splits
 from courtspark.plans.history import with_history
 from courtspark.registry.entry import Query, ask, tidy
 from courtspark.registry.history import GAMES, ORDER, PLAYER_ORDER, avg, box, scores
 from courtspark.registry.rows import _direct, _mean3
-from courtspark.sources.staging import staging_folder
+from courtspark.sources.staging import stage, staging_folder
 from courtspark.views import DOUBLE_LOG, MODEL_PREDICTIONS, double_log, model_predictions
 
-TREES = 12  # forests and boosting in the registered queries stay small; the settings are in LEVELS
 WEIGHTS = {"forest": 0.35, "boosting": 0.30, "ridge": 0.25, "net": 0.10}
 
 
@@ -136,7 +135,7 @@ def scale(spark, sf_dir):
 def regression_report(names, target="PTS"):
     def run(spark, sf_dir):
         p = prepared(spark, sf_dir, target)
-        chosen = {n: e for n, e in models.regressors("points", TREES, p.train.count()).items() if n in names}
+        chosen = {n: e for n, e in models.regressors("points", None, p.train.count()).items() if n in names}
         return tidy(evaluation.regression_metrics(models.predict_all(models.fit_all(p, chosen), p), ["model", "split"]))
 
     return run
@@ -145,7 +144,7 @@ def regression_report(names, target="PTS"):
 def classifier_report(names):
     def run(spark, sf_dir):
         p = prepared(spark, sf_dir, "is_win", shuffled=True)
-        chosen = {n: e for n, e in models.classifiers("win", TREES).items() if n in names}
+        chosen = {n: e for n, e in models.classifiers("win").items() if n in names}
         scored = models.predict_all(models.fit_all(p, chosen), p, probability=True)
         return tidy(evaluation.grouped_classification(scored, ["model", "split"]))
 
@@ -154,14 +153,14 @@ def classifier_report(names):
 
 def early(spark, sf_dir):
     p = prepared(spark, sf_dir, "is_win", shuffled=True)
-    model, trees = models.early_stopped_boosting(p.train, p.validation, trees=TREES)
+    model, trees = models.early_stopped_boosting(p.train, p.validation)
     scored = models.predict_probability(model, p.validation, "boosting")
     return tidy(evaluation.grouped_classification(scored, ["model"]).withColumn("trees", F.lit(trees)))
 
 
 def sweep(spark, sf_dir):
     p = prepared(spark, sf_dir, "is_win", shuffled=True)
-    _, tried = models.forest_sweep(p.train, p.validation, (5, 10, 15))
+    _, tried = models.forest_sweep(p.train, p.validation)
     items = F.array(*[F.struct(F.lit(n).alias("trees"), F.lit(a).alias("auc")) for n, a in tried])
     return tidy(p.validation.agg(F.count("*").alias("rows")).select("rows", F.inline(items)))
 
@@ -174,45 +173,70 @@ def weights(spark, sf_dir):
 
 def stacking(spark, sf_dir):
     p = prepared(spark, sf_dir)
-    bases = {n: e for n, e in models.regressors("points", 6, p.train.count()).items() if n in ("forest", "ridge")}
-    meta, fitted = models.fit_stack(p, bases, folds=3)
+    bases = {n: e for n, e in models.regressors("points", None, p.train.count()).items() if n in ("forest", "ridge")}
+    meta, fitted = models.fit_stack(p, bases)
     return tidy(evaluation.regression_metrics(models.predict_stack(meta, fitted, p.validation), ["model"]))
 
 
 def stacking_win(spark, sf_dir):
     p = prepared(spark, sf_dir, "is_win", shuffled=True)
-    bases = {n: e for n, e in models.classifiers("win", 6).items() if n in ("forest", "logistic")}
-    meta, fitted = models.fit_stack(p, bases, folds=3, probability=True)
+    bases = {n: e for n, e in models.classifiers("win").items() if n in ("forest", "logistic")}
+    meta, fitted = models.fit_stack(p, bases, probability=True)
     return tidy(evaluation.grouped_classification(models.predict_stack(meta, fitted, p.validation, probability=True), ["model"]))
 
 
 def search(spark, sf_dir):
     p = prepared(spark, sf_dir)
-    space = {"maxIter": (3, 5), "maxDepth": (2, 3), "stepSize": (0.05, 0.1)}
-    _, tried = models.random_search(p.train, n=3, folds=2, space=space)
+    _, tried = models.random_search(p.train)
     items = F.array(*[F.struct(F.lit(i + 1).alias("trial"), F.lit(str(sorted(s.items()))).alias("settings"), F.lit(m).alias("mae")) for i, (s, m) in enumerate(tried)])
     return tidy(p.train.agg(F.count("*").alias("rows")).select("rows", F.inline(items)))
 
 
 def permuted(spark, sf_dir):
     p = prepared(spark, sf_dir)
-    model = models.regressors("points", TREES)["forest"].fit(p.train)
-    return tidy(models.permutation_importance(model, p.validation, p.features, repeats=2))
+    model = models.regressors("points")["forest"].fit(p.train)
+    return tidy(models.permutation_importance(model, p.validation, p.features))
 
 
 def curve(spark, sf_dir):
     p = prepared(spark, sf_dir)
     ridge = models.regressors("points", None, p.train.count())["ridge"]
-    return tidy(models.learning_curve(p.train, ridge, (0.1, 0.5, 1.0), folds=2))
+    return tidy(models.learning_curve(p.train, ridge))
+
+
+def cross_validated(bounds, target="PTS"):
+    """Ridge fitted and scored in every fold of an ordered table."""
+
+    def run(spark, sf_dir):
+        p = prepared(spark, sf_dir, target)
+        whole = p.train.unionByName(p.validation)
+        n = whole.count()
+        folds = bounds(n)
+        ridge = {"ridge": models.regressors("points", None, n)["ridge"]}
+        return tidy(models.cross_validate(splits.with_parts(whole, ORDER, folds), ridge, len(folds)))
+
+    return run
+
+
+def cross_validated_classes(spark, sf_dir):
+    """Logistic regression fitted and scored in five stratified folds."""
+    p = prepared(spark, sf_dir, "is_win", shuffled=True)
+    whole = p.train.unionByName(p.validation)
+    folded = stage(splits.stratified_folds(whole, "y", "game_id").drop("features"), "folds")
+    table = models.assemble(folded, p.features, p.fills)
+    role = lambda k: F.when(col("fold") == k, "validation").otherwise("train")
+    parts = F.array(*[F.struct(F.lit(k + 1).alias("fold"), role(k).alias("role")) for k in range(5)])
+    logistic = {"logistic": models.classifiers("win")["logistic"]}
+    return tidy(models.cross_validate(table.withColumn("parts", parts), logistic, 5, probability=True))
 
 
 def save_load(spark, sf_dir):
     """A saved and reloaded pipeline predicts the same values."""
     df = model_table(spark, sf_dir).withColumn("y", col("PTS"))
     doubles = df.select("game_id", "y", *[col(f).cast("double").alias(f) for f in INPUTS])
-    model = models.fit_pipeline(doubles, INPUTS, models.regressors("points", TREES)["ridge"])
+    model = models.fit_pipeline(doubles, INPUTS, models.regressors("points")["ridge"])
     path = f"{staging_folder(spark)}/model-{uuid.uuid4().hex}"
-    models.save_model(model, path, doubles, INPUTS, {"trees": TREES})
+    models.save_model(model, path, doubles, INPUTS, {"trees": models.LEVELS["points"]["forest_trees"]})
     again, bundle = models.load_model(spark, path)
     one = model.transform(doubles).select("game_id", col("prediction").alias("a"))
     two = again.transform(doubles).select("game_id", col("prediction").alias("b"))
@@ -222,7 +246,7 @@ def save_load(spark, sf_dir):
 
 def evaluate(spark, sf_dir):
     p = prepared(spark, sf_dir, "is_win", shuffled=True)
-    model = models.classifiers("win", TREES)["logistic"].fit(p.train)
+    model = models.classifiers("win")["logistic"].fit(p.train)
     scored = models.predict_probability(model, p.validation, "logistic")
     return tidy(evaluation.classification_metrics(scored))
 
@@ -230,7 +254,7 @@ def evaluate(spark, sf_dir):
 def summary(spark, sf_dir):
     """Per model: accuracy and AUC on both parts, gap, rows and inputs."""
     p = prepared(spark, sf_dir, "is_win", shuffled=True)
-    fitted = models.fit_all(p, {n: e for n, e in models.classifiers("win", TREES).items() if n != "boosting"})
+    fitted = models.fit_all(p, {n: e for n, e in models.classifiers("win").items()})
     scored = models.predict_all(fitted, p, probability=True)
     gap = evaluation.accuracy_gap(scored)
     sizes = scored.groupBy("model").agg(F.count(F.when(col("split") == "train", 1)).alias("train_rows"), F.count(F.when(col("split") != "train", 1)).alias("validation_rows"))
@@ -239,7 +263,7 @@ def summary(spark, sf_dir):
 
 def model_importance(spark, sf_dir):
     p = prepared(spark, sf_dir)
-    fitted = models.fit_all(p, {n: e for n, e in models.regressors("points", TREES).items() if n in ("forest", "boosting")})
+    fitted = models.fit_all(p, {n: e for n, e in models.regressors("points").items() if n in ("forest", "boosting")})
     return tidy(models.importances(fitted, p.features, p.train))
 
 
@@ -256,15 +280,15 @@ def train_targets(spark, sf_dir):
     parts = []
     for target, df, label, choose, order, binary in flows:
         names = selection.feature_columns(df, target)
-        names = choose(names) if choose else names[:30]
+        names = choose(names) if choose else selection.select_by_correlation(df, label, names)
         p = models.prepare(df, names, label, order)
         if binary:
             weighted_train = models.class_weights(p.train, "y", "balanced")
-            model = models.classifiers(target, TREES, "weight")["forest"].fit(weighted_train)
+            model = models.classifiers(target, None, "weight")["forest"].fit(weighted_train)
             scored = models.predict_probability(model, p.validation, "forest")
             m = evaluation.grouped_classification(scored, ["model"]).select("n", F.lit("f1_score").alias("metric"), col("f1_score").alias("value"))
         else:
-            model = models.regressors("points", TREES)["forest"].fit(p.train)
+            model = models.regressors("points")["forest"].fit(p.train)
             m = evaluation.regression_metrics(models.predict_value(model, p.validation, "forest"), ["model"]).select("n", F.lit("mae").alias("metric"), col("mae").alias("value"))
         parts.append(m.withColumns({"target": F.lit(target), "inputs": F.lit(len(names))}))
     out = parts[0]
@@ -281,13 +305,15 @@ def score_games(spark, sf_dir):
     """Fixtures scored by two models on matchup features, mixed with the rule, with confidence."""
     df = total_base_games(spark, sf_dir)
     base = ["PTS", "PTS_Opp", "FG%", "FGA", "total_expected_shots"]
-    mine = with_history(df, ["Team"], ORDER, lambda w: {f"h_{i}": rolling.rolled(w, col(c), 3) for i, c in enumerate(base)}, 3)
     inputs = [f"h_{i}" for i in range(len(base))]
-    p = models.prepare(mine.withColumn("total", col("PTS") + col("PTS_Opp")), inputs, "total", ORDER)
-    fitted = models.fit_all(p, {n: e for n, e in models.regressors("points", TREES, p.train.count()).items() if n in ("forest", "ridge")})
+    named = dict(zip(base, inputs, strict=True))
+    past = matchups.matchup_history(df, base, ORDER).withColumnsRenamed(named)
+    past = past.join(df.select("game_id", "Date", (col("PTS") + col("PTS_Opp")).alias("total")), "game_id")
+    p = models.prepare(past, inputs, "total", ORDER)
+    fitted = models.fit_all(p, {n: e for n, e in models.regressors("points", None, p.train.count()).items() if n in ("forest", "ridge")})
     games = fixtures(df)
-    rows = matchups.matchup_rows(games, df, base, ORDER).withColumnsRenamed(dict(zip(base, inputs, strict=True)))
-    rows = rows.withColumns({"y": F.lit(0.0), "split": F.lit("new"), "h_0": col("h_0") / 2, "h_1": col("h_1") / 2, "h_4": col("h_4") / 2})
+    rows = matchups.matchup_rows(games, df, base, ORDER).withColumnsRenamed(named)
+    rows = rows.withColumns({"y": F.lit(0.0), "split": F.lit("new")})
     vectors = models.assemble(rows, inputs, p.fills)
     parts = [models.predict_value(m, vectors, n) for n, m in fitted.items()]
     long = parts[0].unionByName(parts[1])
@@ -331,7 +357,7 @@ QUERIES = {
     "weighted_ensemble": Query(
         weighted,
         ask(_MAIN, """SELECT id, least(greatest(sum(y_pred * w) / sum(w), 200), 250) AS weighted, least(greatest(avg(y_pred) FILTER (t.model IN ('forest', 'boosting', 'ridge')), 200), 250) AS best_models,
-            least(greatest(median(y_pred), 200), 250) AS median FROM totals t LEFT JOIN ok USING (model) GROUP BY 1""".replace("sum(y_pred * w) / sum(w)", "sum(y_pred * w) / sum(w)"), "weighted, best_models, median", "id"),
+            least(greatest(median(y_pred), 200), 250) AS median FROM totals t LEFT JOIN ok USING (model) GROUP BY 1""", "weighted, best_models, median", "id"),
     ),
     "metric_weights": Query(metric_weights, ask(_MW, "SELECT * FROM wts", "mae, accuracy, accuracy_strict, weight", "", "model")),
     "metric_weighted_total": Query(
@@ -389,6 +415,9 @@ QUERIES = {
     "random_search": Query(search),
     "permutation_importance": Query(permuted),
     "learning_curve": Query(curve),
+    "cv_fit_expanding": Query(cross_validated(splits.expanding_bounds)),
+    "cv_fit_time_series": Query(cross_validated(splits.series_bounds)),
+    "cv_fit_stratified": Query(cross_validated_classes),
     "model_save_load": Query(save_load, ask("", "SELECT count(*) AS rows, count(*) AS same, 8 AS features FROM orders", "", "rows, same, features")),
     "evaluate_model": Query(evaluate),
     "training_summary": Query(summary),

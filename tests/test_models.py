@@ -98,3 +98,44 @@ def test_matchup_combines_by_name(spark):
     got = {r["team2"]: r for r in matchups.matchup_rows(fixtures, games, ["PTS", "FG%"]).collect()}
     assert got["B"]["PTS"] == pytest.approx(105 + 90) and got["B"]["FG%"] == pytest.approx((0.45 + 0.6) / 2)
     assert got["Z"]["PTS"] == pytest.approx(105)
+
+
+def test_a_fit_in_every_fold(table):
+    from courtspark.operators import splits
+
+    p = models.prepare(table, NAMES, "target")
+    whole = p.train.unionByName(p.validation)
+    bounds = splits.series_bounds(1200, 4)
+    chosen = {"ridge": models.regressors("points", 8, 1200)["ridge"]}
+    got = models.cross_validate(splits.with_parts(whole, ["Date", "game_id"], bounds), chosen, 4).collect()
+    assert {(r["fold"], r["role"]): r["n"] for r in got} == {(k + 1, role): n for k, (a, b) in enumerate(bounds) for role, n in (("train", a), ("validation", b - a))}
+    assert all(r["r2"] > 0.9 for r in got)
+    # the second fold is the fit on all rows before its bound
+    end, stop = bounds[1]
+    model = chosen["ridge"].fit(whole.where(col("game_id") < end))
+    scored = model.transform(whole.where((col("game_id") >= end) & (col("game_id") < stop)))
+    mae = scored.agg(F.avg(F.abs(col("prediction") - col("y")))).first()[0]
+    assert next(r["mae"] for r in got if r["fold"] == 2 and r["role"] == "validation") == pytest.approx(mae)
+
+
+def test_learning_curve_sizes(prepared):
+    ridge = models.regressors("points", 8, 960)["ridge"]
+    got = {(r["size"], r["role"]): r for r in models.learning_curve(prepared.train, ridge, (0.2, 1.0), folds=3).collect()}
+    assert set(got) == {(s, r) for s in (0.2, 1.0) for r in ("train", "validation")}
+    assert got[1.0, "train"]["rows"] == pytest.approx(640) and got[1.0, "validation"]["rows"] == pytest.approx(320)
+    assert 60 < got[0.2, "train"]["rows"] < 200 and got[1.0, "validation"]["r2_mean"] > 0.9
+
+
+def test_matchups_of_past_games_look_back_only(spark):
+    data = []
+    for i, (t, o, home, pts, pct) in enumerate([("a", "b", 1, 10, 0.5), ("b", "a", 0, 20, 0.4), ("a", "c", 0, 30, 0.3), ("c", "a", 1, 40, 0.2), ("a", "b", 1, 50, 0.1), ("a", "b", 0, 70, 0.9), ("b", "c", 1, 90, 0.8)]):
+        data.append((i, f"2024-01-{i // 2 + 1:02d}", t, o, home, float(pts), pct))
+    df = spark.createDataFrame(data, "game_id int, Date string, Team string, Opp string, is_home int, PTS double, `FG%` double")
+    got = {r["game_id"]: r for r in matchups.matchup_history(df, ["PTS", "FG%", "is_home"], n=2).collect()}
+    for g, _, team, opp, home, *_rest in data:
+        def mean(side, k, g=g):
+            mine = [r[k] for r in data if r[0] < g and r[2] == side][-2:]
+            return sum(mine) / len(mine) if mine else 0.0
+
+        assert got[g]["PTS"] == pytest.approx(mean(team, 5) + mean(opp, 5))
+        assert got[g]["FG%"] == pytest.approx((mean(team, 6) + mean(opp, 6)) / 2) and got[g]["is_home"] == home
