@@ -149,7 +149,7 @@ def confident_lines(confidence: DataFrame, at_least: float = 0.96) -> DataFrame:
 
 
 def line_by_opponent(
-    df: DataFrame, target: str, lines: Sequence[float] | None = None, at_least: int = 3
+    df: DataFrame, target: str | Sequence[str], lines: Sequence[float] | None = None, at_least: int = 3
 ) -> DataFrame:
     shares = line_shares(df, line_pairs(target, lines), ["Opp"]).where(col("samples") >= at_least)
     p = col("overs") / col("samples")

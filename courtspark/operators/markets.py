@@ -378,17 +378,18 @@ def line_movement(
     entity: str = "event_id",
     newest: Sequence[str] = ("snapshot", "quote_id"),
     lookback_events: int | None = None,
-    side: str = "over",
+    side: str | None = None,
 ) -> DataFrame:
-    """First and last price per entity, line and bookmaker, ordered by snapshot time."""
-    quoted = prices.where(col("side") == side)
+    """First and last price per entity, line, side and bookmaker, ordered by snapshot time; of both
+    sides unless one is named."""
+    quoted = prices if side is None else prices.where(col("side") == side)
     if lookback_events is not None:
         rows = quoted.groupBy(entity, newest[0]).agg(F.lit(1).alias("_x")).drop("_x")
         latest = rows.orderBy(F.desc(newest[0]), F.desc(entity)).limit(lookback_events)
         quoted = quoted.join(latest, [entity, newest[0]], "left_semi")
     when = F.struct(*[col(c) for c in newest])
     moved = (
-        quoted.groupBy(entity, *LINE, "bookmaker")
+        quoted.groupBy(entity, *LINE, "side", "bookmaker")
         .agg(
             F.count("*").alias("quotes"),
             F.min_by("price", when).alias("initial_odds"),
@@ -408,7 +409,8 @@ def line_movement(
 
 
 def movement_by_result(movements: DataFrame, at_least: float = 0.05) -> DataFrame:
-    """Mean movements of overs and unders per line, and the side the difference points to."""
+    """Mean movements per line and side of the price, by the side that won, and the side that the
+    difference points to."""
     aggs = []
     for r in ("over", "under"):
         x = lambda c, r=r: F.when(col("result") == r, c)
@@ -423,7 +425,7 @@ def movement_by_result(movements: DataFrame, at_least: float = 0.05) -> DataFram
     diff = col("over_avg_change") - col("under_avg_change")
     return (
         movements.where(col("result").isNotNull())
-        .groupBy(*LINE)
+        .groupBy(*LINE, "side")
         .agg(*aggs)
         .withColumns(
             {

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtspark import fixed, views
@@ -22,8 +24,8 @@ TARGETS = ("PTS", "TRB", "AST", "3P")
 
 def flags(spark, sf_dir):
     df = player_games(spark, sf_dir)
-    out = [lines.over_line_flags(df.select("game_id", t), t).select("game_id", F.lit(t).alias("target"), "line", "over") for t in ("PTS", "3P")]
-    return tidy(out[0].unionByName(out[1]))
+    out = [lines.over_line_flags(df.select("game_id", t), t).select("game_id", F.lit(t).alias("target"), "line", "over") for t in TARGETS]
+    return tidy(reduce(DataFrame.unionByName, out))
 
 
 def nearest(spark, sf_dir):
@@ -47,13 +49,13 @@ def adjusted(spark, sf_dir):
 
 
 def windows(spark, sf_dir):
-    df = lines.recent_windows(player_games(spark, sf_dir), lines.line_pairs("PTS"), ORDER)
-    return tidy(df.drop("target"))
+    df = lines.recent_windows(player_games(spark, sf_dir), lines.line_pairs(TARGETS), ORDER)
+    return tidy(df)
 
 
 def by_opponent(spark, sf_dir):
-    df = lines.line_by_opponent(player_games(spark, sf_dir), "PTS")
-    return tidy(df.select("Opp", "line", "samples", "consistency"))
+    df = lines.line_by_opponent(player_games(spark, sf_dir), TARGETS)
+    return tidy(df.select("Opp", "target", "line", "samples", "consistency"))
 
 
 def per_player(spark, sf_dir):
@@ -126,12 +128,15 @@ def movement_results(spark, sf_dir):
 
 
 def pipeline(spark, sf_dir):
-    """The chain for points: confident lines, their best edge, and the verdict."""
-    parts = markets.market_pipeline(player_games(spark, sf_dir), prices(spark, sf_dir), "PTS", CONFIDENT, ORDER, lookback_days=None)
-    best = markets.best_per_line(parts["edges"]).select("line", "best_bookmaker", "best_odds", "best_edge", "expected_roi")
-    out = parts["strategy"].select("target", "line", "prediction", "adjusted_confidence", "edge", "verdict")
-    books = parts["bookmakers"].select("line", "juice")
-    return tidy(out.join(best, "line", "left").join(books, "line", "left"))
+    """The chain for every target: confident lines, their best edge, and the verdict."""
+    made = []
+    for target in TARGETS:
+        parts = markets.market_pipeline(player_games(spark, sf_dir), prices(spark, sf_dir), target, CONFIDENT, ORDER, lookback_days=None)
+        best = markets.best_per_line(parts["edges"]).select("line", "best_bookmaker", "best_odds", "best_edge", "expected_roi")
+        out = parts["strategy"].select("target", "line", "prediction", "adjusted_confidence", "edge", "verdict")
+        books = parts["bookmakers"].select("line", "juice")
+        made.append(out.join(best, "line", "left").join(books, "line", "left"))
+    return tidy(reduce(DataFrame.unionByName, made))
 
 
 def stats(spark, sf_dir):
@@ -275,8 +280,8 @@ books AS (SELECT target, line, count(*) FILTER (side = 'over') AS over_bookmaker
   first(bookmaker ORDER BY mean DESC, bookmaker) FILTER (side = 'under') AS best_under_bookmaker, coalesce(max(mean) FILTER (side = 'under'), 0) AS best_under_odds,
   avg(1 / mean) FILTER (side = 'over') + avg(1 / mean) FILTER (side = 'under') AS juice FROM stats GROUP BY 1, 2)"""
 _LATEST = PRICES + """, lat AS (SELECT event_id, target, line, side, bookmaker, max_by(price, (snapshot, quote_id)) AS price FROM prices GROUP BY 1, 2, 3, 4, 5)"""
-_MOVE = PRICES + "," + EVENT_RESULTS + """, mv AS (SELECT event_id, target, line, bookmaker, count(*) AS quotes, min_by(price, (snapshot, quote_id)) AS initial_odds,
-  max_by(price, (snapshot, quote_id)) AS final_odds, max(snapshot) - min(snapshot) AS days_tracked FROM prices WHERE side = 'over' GROUP BY 1, 2, 3, 4
+_MOVE = PRICES + "," + EVENT_RESULTS + """, mv AS (SELECT event_id, target, line, side, bookmaker, count(*) AS quotes, min_by(price, (snapshot, quote_id)) AS initial_odds,
+  max_by(price, (snapshot, quote_id)) AS final_odds, max(snapshot) - min(snapshot) AS days_tracked FROM prices GROUP BY 1, 2, 3, 4, 5
   HAVING count(*) > 1 AND min(price) < max(price)),
 mr AS (SELECT mv.*, (final_odds - initial_odds) / initial_odds AS pct_change, CASE WHEN actual > line THEN 'over' WHEN actual <= line THEN 'under' END AS result
   FROM mv LEFT JOIN results USING (event_id))"""
@@ -301,7 +306,7 @@ QUERIES = {
     "over_line_flags": Query(
         flags,
         ask(PLAYER_GAMES, f"""SELECT game_id, target, line, coalesce(({_VALUE} > line)::INT, 0) AS over FROM player_games,
-            (VALUES {', '.join(f"('{t}', {x}::DOUBLE)" for t in ('PTS', '3P') for x in fixed.TARGET_LINES[t])}) AS t(target, line)""", "line", "game_id, over", "target"),
+            (VALUES {', '.join(f"('{t}', {x}::DOUBLE)" for t in TARGETS for x in fixed.TARGET_LINES[t])}) AS t(target, line)""", "line", "game_id, over", "target"),
     ),
     "line_by_nearest": Query(
         nearest,
@@ -311,11 +316,12 @@ QUERIES = {
     ),
     "line_confidence": Query(confidence, ask(CONF, "SELECT * FROM conf", "line, over_share, under_share, confidence, volatility", "samples", "target, prediction")),
     "line_adjusted_confidence": Query(adjusted, ask(CONF, "SELECT * FROM chosen", "line, adjusted_confidence", "", "target, prediction")),
-    "line_recent_windows": Query(windows, ask(CONF, "SELECT * FROM win WHERE target = 'PTS'", "line, window_3, window_5, window_10, window_20")),
+    "line_recent_windows": Query(windows, ask(CONF, "SELECT * FROM win", "line, window_3, window_5, window_10, window_20", "", "target")),
     "line_by_opponent": Query(
         by_opponent,
-        ask(PLAYER_GAMES + f""", l AS (SELECT unnest({_PTS}) AS line)""", """SELECT "Opp", line, count(*) AS samples, greatest(avg(("PTS" > line)::INT), 1 - avg(("PTS" > line)::INT)) AS consistency
-            FROM player_games, l GROUP BY 1, 2 HAVING count(*) >= 3""", "line, consistency", "samples", "Opp"),
+        ask(PLAYER_GAMES + f""", l AS (SELECT * FROM (VALUES {_LINES}) AS t(target, line)), o AS (SELECT "Opp", target, line, coalesce(({_VALUE} > line)::INT, 0) AS over FROM player_games, l)""",
+            """SELECT "Opp", target, line, count(*) AS samples, greatest(avg(over), 1 - avg(over)) AS consistency FROM o GROUP BY 1, 2, 3 HAVING count(*) >= 3""",
+            "line, consistency", "samples", "Opp, target"),
     ),
     "player_vs_lines": Query(
         per_player, ask(_PLAYER_SQL, "SELECT * FROM ul", "avg_value, std_value, min_value, max_value, line, over_rate, confidence", "Player, num_games", "prediction"),
@@ -359,20 +365,20 @@ QUERIES = {
             "SELECT * FROM pk WHERE place <= 10", "line, over_odds, under_odds, inverse_sum, profit, over_weight, under_weight", "event_id, place", "target, over_bookmaker, under_bookmaker"),
     ),
     "line_movement": Query(
-        movement, ask(_MOVE, "SELECT * FROM mr", "line, initial_odds, final_odds, pct_change", "event_id, quotes, days_tracked", "target, bookmaker, result"),
+        movement, ask(_MOVE, "SELECT * FROM mr", "line, initial_odds, final_odds, pct_change", "event_id, quotes, days_tracked", "target, side, bookmaker, result"),
     ),
     "movement_by_result": Query(
         movement_results,
-        ask(_MOVE + f", g AS (SELECT target, line, {_MR} FROM mr WHERE result IS NOT NULL GROUP BY 1, 2), d AS (SELECT *, over_avg_change - under_avg_change AS movement_diff FROM g)",
+        ask(_MOVE + f", g AS (SELECT target, line, side, {_MR} FROM mr WHERE result IS NOT NULL GROUP BY 1, 2, 3), d AS (SELECT *, over_avg_change - under_avg_change AS movement_diff FROM g)",
             """SELECT *, coalesce((abs(movement_diff) >= 0.01)::INT, 0) AS significant, CASE WHEN abs(movement_diff) >= 0.01 THEN CASE WHEN movement_diff > 0 THEN 'over' ELSE 'under' END END AS movement_indicates FROM d""",
             "line, movement_diff, " + ", ".join(f"{r}_{x}" for r in ("over", "under") for x in ("avg_change", "avg_initial", "avg_final")),
-            "significant, " + ", ".join(f"{r}_{x}" for r in ("over", "under") for x in ("count", "positive", "negative")), "target, movement_indicates"),
+            "significant, " + ", ".join(f"{r}_{x}" for r in ("over", "under") for x in ("count", "positive", "negative")), "target, side, movement_indicates"),
     ),
     "market_pipeline": Query(
         pipeline,
         ask(MARKET + ", " + _STATS[len(PRICES) + 2:],
             """SELECT s.target, s.line, s.prediction, s.adjusted_confidence, s.edge, s.verdict, best_bookmaker, best_odds, best_edge, expected_roi, juice
-            FROM strat s LEFT JOIN bestl b ON s.target = b.target AND s.line = b.line LEFT JOIN books k ON s.target = k.target AND s.line = k.line WHERE s.target = 'PTS'""",
+            FROM strat s LEFT JOIN bestl b ON s.target = b.target AND s.line = b.line LEFT JOIN books k ON s.target = k.target AND s.line = k.line""",
             "line, adjusted_confidence, edge, best_odds, best_edge, expected_roi, juice", "", "target, prediction, verdict, best_bookmaker"),
     ),
     "bookmaker_stats": Query(stats, ask(_STATS, "SELECT * FROM stats", "line, mean, min, max, std, implied_prob", "count", "target, side, bookmaker")),
