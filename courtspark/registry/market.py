@@ -59,13 +59,15 @@ def by_opponent(spark, sf_dir):
 
 
 def per_player(spark, sf_dir):
-    df = lines.player_vs_lines(player_games(spark, sf_dir), "PTS", at_least=0.8)
-    return tidy(df)
+    df = player_games(spark, sf_dir)
+    made = [lines.player_vs_lines(df, t, at_least=0.8).withColumn("target", F.lit(t)) for t in TARGETS]
+    return tidy(reduce(DataFrame.unionByName, made))
 
 
 def per_player_summary(spark, sf_dir):
     df = player_games(spark, sf_dir)
-    return tidy(lines.player_line_summary(df, lines.player_vs_lines(df, "PTS", at_least=0.8)))
+    made = [lines.player_line_summary(df, lines.player_vs_lines(df, t, at_least=0.8)).withColumn("target", F.lit(t)) for t in TARGETS]
+    return tidy(reduce(DataFrame.unionByName, made))
 
 
 def semijoin(spark, sf_dir):
@@ -287,13 +289,25 @@ mr AS (SELECT mv.*, (final_odds - initial_odds) / initial_odds AS pct_change, CA
   FROM mv LEFT JOIN results USING (event_id))"""
 _WORD = "CASE target WHEN 'PTS' THEN 'points' WHEN 'TRB' THEN 'rebounds' WHEN 'AST' THEN 'assists' ELSE 'threes' END"
 _NAME = "target || '_' || side || '_' || line::BIGINT || '_odds_' || bookmaker"
-_PLAYER_SQL = PLAYER_GAMES + f""",
-pl AS (SELECT "Player", count(*) AS num_games, avg("PTS") AS avg_value, stddev_samp("PTS") AS std_value, min("PTS") AS min_value, max("PTS") AS max_value,
-  {', '.join(f'avg(("PTS" > {x})::INT) AS r{x}' for x in fixed.TARGET_LINES['PTS'])} FROM player_games
-  WHERE "Date" >= (SELECT max("Date") FROM player_games) - INTERVAL 60 DAY GROUP BY 1),
-ul AS (SELECT "Player", num_games, avg_value, std_value, min_value, max_value, line, over_rate, greatest(over_rate, 1 - over_rate) AS confidence,
-  CASE WHEN over_rate >= 0.5 THEN 'over' ELSE 'under' END AS prediction FROM (
-  {' UNION ALL '.join(f'SELECT *, {x}::DOUBLE AS line, r{x} AS over_rate FROM pl' for x in fixed.TARGET_LINES['PTS'])}) WHERE num_games >= 10 AND greatest(over_rate, 1 - over_rate) >= 0.8)"""
+
+
+def _player_ctes(t: str) -> str:
+    """pl: players of the last 60 days with the share above every line; ul: their sure lines."""
+    k, lines_ = TARGETS.index(t), fixed.TARGET_LINES[t]
+    shares = ", ".join(f'avg(("{t}" > {x})::INT) AS r{i}' for i, x in enumerate(lines_))
+    rows = " UNION ALL ".join(f"SELECT *, {x}::DOUBLE AS line, r{i} AS over_rate FROM pl{k}" for i, x in enumerate(lines_))
+    return f"""
+pl{k} AS (SELECT '{t}' AS target, "Player", count(*) AS num_games, avg("{t}") AS avg_value, stddev_samp("{t}") AS std_value,
+  min("{t}") AS min_value, max("{t}") AS max_value, {shares} FROM player_games
+  WHERE "Date" >= (SELECT max("Date") FROM player_games) - INTERVAL 60 DAY GROUP BY 2),
+ul{k} AS (SELECT target, "Player", num_games, avg_value, std_value, min_value, max_value, line, over_rate,
+  greatest(over_rate, 1 - over_rate) AS confidence, CASE WHEN over_rate >= 0.5 THEN 'over' ELSE 'under' END AS prediction
+  FROM ({rows}) WHERE num_games >= 10 AND greatest(over_rate, 1 - over_rate) >= 0.8)"""
+
+
+_PLAYER_SQL = PLAYER_GAMES + "," + ",".join(_player_ctes(t) for t in TARGETS) + """,
+ul AS (""" + " UNION ALL ".join(f"SELECT * FROM ul{k}" for k in range(len(TARGETS))) + """),
+pl AS (""" + " UNION ALL ".join(f'SELECT target, "Player" FROM pl{k}' for k in range(len(TARGETS))) + ")"
 _PTS = [float(x) for x in fixed.TARGET_LINES["PTS"]]
 _EDGE_D = "line, market_odds, market_probability, confidence, edge, expected_value, expected_roi"
 _MR = ", ".join(
@@ -324,12 +338,13 @@ QUERIES = {
             "line, consistency", "samples", "Opp, target"),
     ),
     "player_vs_lines": Query(
-        per_player, ask(_PLAYER_SQL, "SELECT * FROM ul", "avg_value, std_value, min_value, max_value, line, over_rate, confidence", "Player, num_games", "prediction"),
+        per_player, ask(_PLAYER_SQL, "SELECT * FROM ul", "avg_value, std_value, min_value, max_value, line, over_rate, confidence", "Player, num_games", "target, prediction"),
     ),
     "player_line_summary": Query(
         per_player_summary,
-        ask(_PLAYER_SQL, """SELECT (SELECT count(*) FROM pl) AS players_analyzed, count(DISTINCT "Player") AS players_with_high_confidence, count(*) AS total_high_confidence_lines FROM ul""",
-            "", "players_analyzed, players_with_high_confidence, total_high_confidence_lines"),
+        ask(_PLAYER_SQL, """SELECT p.target, players_analyzed, count(DISTINCT ul."Player") AS players_with_high_confidence, count(ul."Player") AS total_high_confidence_lines
+            FROM (SELECT target, count(*) AS players_analyzed FROM pl GROUP BY 1) p LEFT JOIN ul ON ul.target = p.target GROUP BY 1, 2""",
+            "", "players_analyzed, players_with_high_confidence, total_high_confidence_lines", "target"),
     ),
     "lines_semijoin": Query(
         semijoin,
