@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtspark.llm.common import row_hash
+from courtspark.llm.common import row_hash, small_batches
 from courtspark.llm.wordwise import WordTable, encode_texts, split_groups
 
 MARK = "▁"
@@ -145,6 +145,7 @@ class Codec:
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bytes = np.array([kind == BYTE for *_, kind in self.model.pieces])
         self.starts = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
+        self.table = WordTable(lambda words: split_groups(words, self.encode, self.starts))
         self.plain = not self.model.charsmap and not self.model.trim_spaces
 
     def _normal(self, text: str) -> str:
@@ -179,15 +180,11 @@ def _encode(path: str | None):
     def run(batches):
         codec = _codec(path or default_model())
 
-        def words(texts: list[str]):
-            return split_groups(texts, codec.encode, codec.starts)
-
         def whole(text: str):
             ids, fine = codec.encode([text])
             return ids[0], fine[0]
 
-        table = WordTable(words)
-        apart = codec.model.words_part
+        table, apart = codec.table, codec.model.words_part
 
         def by_words(text: str) -> bool:
             return apart and "  " not in text and text[0] != " " and text[-1] != " " and MARK not in text
@@ -219,7 +216,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     """One row per document: doc_id, row_hash, ids, n_tokens, n_bytes (ids of single bytes),
     ids_crc32 (of the ids as little-endian 32-bit numbers) and verified (parity and round trip).
     ``model`` is the path of a model file that every executor can open; the default is the public one."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row_hash", row_hash(F.col("text")))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row_hash", row_hash(F.col("text")))
     kind = "doc_id long, row_hash long, ids array<int>, n_tokens long, n_bytes long, ids_crc32 long, verified boolean"
     return texts.mapInArrow(_encode(model), kind)
 
@@ -236,5 +233,5 @@ def _decode(path: str | None):
 
 def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
     """doc_id and text; null ids give the empty text."""
-    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    rows = small_batches(encoded).select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return rows.mapInArrow(_decode(model), "doc_id long, text string")

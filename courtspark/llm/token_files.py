@@ -20,6 +20,7 @@ that repeat an id follow each other by the hash of their text.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from courtspark.llm.common import row_hash, stage
+from courtspark.llm.common import row_hash, small_batches, stage
 from courtspark.llm.wordwise import Spelled, WordTable, encode_texts, split_groups
 from courtspark.sources.staging import staging_folder
 
@@ -138,25 +139,24 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
-_BESIDE = [x for c in _SPACES if c.isascii() for x in (f"{c} ", f" {c}")]
-_BESIDE_WIDE = [x for c in _SPACES if not c.isascii() for x in (f"{c} ", f" {c}")]
-_FIRST = "\x00"
+#: Stands before the first word of a text; no text that Spark holds has this character.
+_FIRST = "\ud800"
 
 
-def by_words(text: str) -> bool:
-    """Every space stands alone between two characters that are no white space, so that the
-    pre-tokeniser cuts before it; and no special token can occur."""
-    if text[0] == " " or text[-1] == " " or _FIRST in text or "<|" in text or any(x in text for x in _BESIDE):
-        return False
-    return text.isascii() or not any(x in text for x in _BESIDE_WIDE)
+_ODD = re.compile(r"\s\s|<\|")
+
+
+def _parts(word: str) -> bool:
+    """The spaces beside this word stand alone between two characters that are no white space, so that
+    the pre-tokeniser cuts before them; and no special token can begin in it."""
+    return word != "" and not _ODD.search(f" {word} ")
 
 
 class Encoder:
     """Ids of texts with a byte-level tokenizer of the tokenizers library."""
 
-    def __init__(self, path: str | None):
-        self.tokenizer = _tokenizer(path or default_tokenizer())
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
         pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.starts = np.array([p.startswith("Ġ") for p in pieces])
         self.table = WordTable(self._words)
@@ -165,15 +165,25 @@ class Encoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], [True] * len(texts)
 
     def _words(self, words: list[str]) -> Spelled:
-        first = [w for w in words if w.startswith(_FIRST)]
-        later = [w for w in words if not w.startswith(_FIRST)]
-        return Spelled.join([Spelled.of(first, *self._encode([w[1:] for w in first])), split_groups(later, self._encode, self.starts, " ")])
+        first = [w for w in words if w[:1] == _FIRST]
+        later = [w for w in words if w[:1] != _FIRST] if first else words
+        safe, odd = later, []
+        if _ODD.search(f" {' '.join(later)} "):
+            safe, odd = [w for w in later if _parts(w)], [w for w in later if not _parts(w)]
+        starts = Spelled.of(first, self._encode([w[1:] for w in first])[0], [_parts(w[1:]) for w in first])
+        return Spelled.join([starts, Spelled.of(odd, [[]] * len(odd), [False] * len(odd)), split_groups(safe, self._encode, self.starts, " ")])
 
     def _whole(self, text: str):
         return self._encode([text])[0][0], True
 
     def texts(self, texts: list[str | None]):
-        return (ids for ids, _ in encode_texts(texts, by_words, self.table, self._whole, _FIRST))
+        return (ids for ids, _ in encode_texts(texts, None, self.table, self._whole, _FIRST))
+
+
+@lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    """Kept by the worker, with its words, from task to task."""
+    return Encoder(path)
 
 
 _FILE = "part long, seq long, start long, n_ids long, doc_ids array<bigint>, sizes array<bigint>, file binary"
@@ -183,15 +193,14 @@ def _files(path: str | None, end: int, per_file: int):
     """One row per file; start counts the ids of the task's files before it."""
 
     def run(batches):
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
-        held, names, waiting, seq, start = [], [], 0, 0, 0
+        encoder, part = _encoder(path or default_tokenizer()), TaskContext.get().partitionId()
+        held, names, sizes, waiting, seq, start, last = [], [], [], 0, 0, 0, np.array([end], np.int64)
 
         def out():
-            nonlocal held, names, waiting, seq, start
-            sizes = [len(x) for x in held]
+            nonlocal held, names, sizes, waiting, seq, start
             ids = np.concatenate(held)
             row = {"part": part, "seq": seq, "start": start, "n_ids": len(ids), "doc_ids": names, "sizes": sizes, "file": write_file(ids)}
-            held, names, waiting, seq, start = [], [], 0, seq + 1, start + len(ids)
+            held, names, sizes, waiting, seq, start = [], [], [], 0, seq + 1, start + len(ids)
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         i64 = pa.int64()
@@ -199,9 +208,10 @@ def _files(path: str | None, end: int, per_file: int):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for doc, got in zip(ids, encoder.texts(batch.column("text").to_pylist()), strict=True):
-                held.append(np.r_[got, end].astype(np.uint32))
+                held += (got, last)
+                sizes.append(len(got) + 1)
                 names.append(doc)
-                waiting += len(held[-1])
+                waiting += len(got) + 1
                 if waiting >= per_file:
                     yield out()
         if held:
@@ -212,7 +222,7 @@ def _files(path: str | None, end: int, per_file: int):
 
 def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END, per_file: int = IDS_PER_FILE) -> None:
     """Writes the token set of ``docs`` in ascending order of the id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", row_hash(F.col("text")))
     rows.mapInArrow(_files(tokenizer, end, per_file), _FILE).write.parquet(folder)
 
@@ -222,13 +232,13 @@ def _digest(batches):
         docs, starts, sizes, sums = [], [], [], []
         for row in range(batch.num_rows):
             file = TokenFile(batch.column("file")[row].as_buffer())
-            base, at = batch.column("start")[row].as_py(), 0
+            base, n = batch.column("start")[row].as_py(), np.array(batch.column("sizes")[row].as_py(), np.int64)
+            ends = np.cumsum(n)
+            ids = memoryview(file.read(0, len(file)).astype("<u4")).cast("B")
             docs += batch.column("doc_ids")[row].as_py()
-            for n in batch.column("sizes")[row].as_py():
-                starts.append(base + at)
-                sizes.append(n)
-                sums.append(zlib.crc32(file.read(at, at + n).astype("<u4").tobytes()))
-                at += n
+            starts += (base + ends - n).tolist()
+            sizes += n.tolist()
+            sums += [zlib.crc32(ids[4 * (b - k) : 4 * b]) for k, b in zip(n.tolist(), ends.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, sizes, sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 

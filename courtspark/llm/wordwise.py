@@ -56,6 +56,19 @@ def split_groups(words: list[str], encode: Callable, starts: np.ndarray, before:
     return Spelled.join(parts)
 
 
+class _Codes(dict):
+    """A number for every word; new words are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
 class WordTable:
     """``encode`` spells a list of words, in any order."""
 
@@ -64,22 +77,24 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = _Codes()
         self.ids = np.zeros(0, np.int32)
         self.start, self.length, self.fine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def codes(self, words: list[str]) -> np.ndarray:
-        new = list(set(words).difference(self.code))
+        if len(self.code) > MAX_WORDS or len(self.ids) > MAX_IDS:
+            self.clear()
+        number = self.code.__getitem__
+        codes = np.fromiter(map(number, words), np.int64, len(words))
+        new, self.code.new = self.code.new, []
         if new:
-            if len(self.code) + len(new) > MAX_WORDS or len(self.ids) > MAX_IDS:
-                self.clear()
-                new = list(set(words))
             got = self.encode(new)
-            self.code.update(zip(got.words, range(len(self.code), len(self.code) + len(new)), strict=True))
-            self.start = np.r_[self.start, len(self.ids) + np.cumsum(got.sizes) - got.sizes]
-            self.length, self.fine = np.r_[self.length, got.sizes], np.r_[self.fine, got.fine]
+            at = np.fromiter(map(number, got.words), np.int64, len(new))
+            self.start, self.length, self.fine = (np.r_[x, np.zeros(len(new), x.dtype)] for x in (self.start, self.length, self.fine))
+            self.start[at] = len(self.ids) + np.cumsum(got.sizes) - got.sizes
+            self.length[at], self.fine[at] = got.sizes, got.fine
             self.ids = np.r_[self.ids, got.ids]
-        return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        return codes
 
     def spell(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and the number of ids of each word."""
@@ -90,8 +105,9 @@ class WordTable:
         return self.ids[at], length
 
 
-def encode_texts(texts: list[str | None], by_words: Callable[[str], bool], table: WordTable, whole: Callable, first: str = "") -> Iterator[tuple[np.ndarray, bool]]:
-    """Ids and flag of every text, in order; a null text has none. ``first`` marks a text's first word
+def encode_texts(texts: list[str | None], by_words: Callable[[str], bool] | None, table: WordTable, whole: Callable, first: str = "") -> Iterator[tuple[np.ndarray, bool]]:
+    """Ids and flag of every text, in order; a null text has none. Without ``by_words`` a text goes by
+    words if all is well with each of them, and else as a whole. ``first`` marks a text's first word
     for the table, where the words after a space have other ids."""
     held: list[str | list[str]] = []
     waiting = 0
@@ -104,15 +120,20 @@ def encode_texts(texts: list[str | None], by_words: Callable[[str], bool], table
         ends = np.r_[0, np.cumsum(length)]
         at = 0
         for x in held:
-            if isinstance(x, list):
-                yield ids[ends[at] : ends[at + len(x)]], bool(fine[at : at + len(x)].all())
-                at += len(x)
-            else:
+            if not isinstance(x, list):
                 got, ok = whole(x)
                 yield np.asarray(got, np.int32), ok
+                continue
+            ok = bool(fine[at : at + len(x)].all())
+            if ok or by_words:
+                yield ids[ends[at] : ends[at + len(x)]], ok
+            else:
+                got, ok = whole(" ".join(x)[len(first) :])
+                yield np.asarray(got, np.int32), ok
+            at += len(x)
 
     for text in texts:
-        held.append((first + text).split(" ") if text and by_words(text) else text or "")
+        held.append((first + text).split(" ") if text and (by_words is None or by_words(text)) else text or "")
         waiting += len(held[-1]) if isinstance(held[-1], list) else 0
         if waiting > TOGETHER:
             yield from out()
