@@ -18,9 +18,10 @@ Tokens that are common in the corpus are counted over all documents; only those
 of all tokens are kept, so their number is bounded. They only order the keys.
 
 *Links to components.* Documents with equal sets are one node. In a key's group each node is first
-compared with one pivot; after links have formed components, what is left is compared exactly:
-every pair of nodes of a group that are not yet in one component. Comparison intersects the whole
-token sets. Groups of common keys are dealt out by node, so that no key fills a task.
+compared with one pivot; after links have formed components, what is left is every pair of nodes of a
+group that are not yet in one component. Their *parities* rule out most of them: bit i of a set's
+parity says whether an odd number of its tokens falls on i, so two parities differ in no more bits
+than the sets in tokens. The rest is compared exactly, by intersecting the whole token sets. Groups of common keys are dealt out by node, so that no key fills a task.
 
 Defined cases: a null, empty or wordless text has size 0 and is linked with nothing; repeated rows
 are copies of each other; ``component_id`` of rows without any ``doc_id`` in reach is null. Other
@@ -34,7 +35,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtspark.llm.common import row_hash, stage
@@ -52,6 +53,8 @@ KEYS_PER_GROUP = 1_000_000
 SPLIT = 16
 #: Bits of the filter that finds the texts to read again; a full filter only lets more pass.
 FILTER_BITS = 1 << 26
+#: Largest parity of a set; for larger sets it only rules out less.
+PARITY_BITS = 8192
 _FLUSH = 4_000_000
 _CACHE = 1 << 19
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -208,7 +211,7 @@ def _meetings(table: pa.Table) -> pa.Table:
     blobs = table.column("keys").to_pylist()
     keys = np.frombuffer(b"".join(blobs), np.uint64)
     reps = np.array([len(b) // 8 for b in blobs])
-    sig, size = (np.repeat(np.asarray(table.column(c)), reps) for c in ("sig", "n"))
+    sig, size = (np.repeat(np.asarray(table.column(c), np.int64), reps) for c in ("sig", "n"))
     order = np.lexsort((size, sig, keys))
     keys, sig, size = keys[order], sig[order], size[order]
     if len(keys):
@@ -216,7 +219,13 @@ def _meetings(table: pa.Table) -> pa.Table:
         keys, sig, size = keys[fresh], sig[fresh], size[fresh]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         count = np.diff(np.r_[first, len(keys)])
-        keep = np.repeat((count > 1) | (keys[first] & np.uint64(1)).astype(bool), count)
+        split = (keys[first] & np.uint64(1)).astype(bool)
+        # of keys that the same sets have, one is enough
+        who = np.bitwise_xor.reduceat(_mix(_mix(sig.view(np.uint64)) + size.astype(np.uint64)), first)
+        _, one = np.unique(np.stack([who, count.astype(np.uint64)], 1), axis=0, return_index=True)
+        once = np.zeros(len(first), bool)
+        once[one] = True
+        keep = np.repeat(((count > 1) & once) | split, count)
         at = np.repeat(first, count)[keep]
         pivot, pivot_n = sig[at], size[at]
         keys, sig, size = keys[keep], sig[keep], size[keep]
@@ -238,6 +247,13 @@ def _size_fits(percent: int):
     return f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n)"
 
 
+def _marks_fit(percent: int) -> Column:
+    """The parities of a and b differ in no more bits than similar sets can."""
+    more = "if(size(x.mark) > size(y.mark), x.half, x.mark)", "if(size(y.mark) > size(x.mark), y.half, y.mark)"
+    apart = f"aggregate(zip_with({more[0]}, {more[1]}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    return F.expr(f"({apart}) * {100 + percent} <= (x.node.n + y.node.n) * {100 - percent}")
+
+
 def _bits(reps: DataFrame, bits: int) -> np.ndarray:
     """A filter of fixed size over the rows of ``reps``."""
     at = F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(bits))
@@ -248,6 +264,14 @@ def _bits(reps: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bit i says whether an odd number of tokens falls on i. Every token in which two sets differ
+    flips one bit, so their parities differ in no more bits than the sets in tokens."""
+    bits = min(max(64, 2 << len(tokens).bit_length()), PARITY_BITS)
+    odd = np.bincount((_mix(tokens ^ _B) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(bits: np.ndarray, n: int):
     def run(batches):
         words = _Words()
@@ -256,10 +280,11 @@ def _sets(bits: np.ndarray, n: int):
             pick = np.flatnonzero((bits[at // 64] >> (at % 64)) & 1)
             texts = batch.column("text").take(pa.array(pick))
             got = [shingles(t.as_py(), words, n) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([signature(t) for t in got], pa.int64()), pa.array([len(t) for t in got], pa.int64()), pa.array([t.tobytes() for t in got], pa.binary())],
-                names=["sig", "n", "tokens"],
-            )
+            marks = [parity(t) for t in got]
+            halves = [m[: len(m) // 2] ^ m[len(m) // 2 :] if len(m) > 1 else m for m in marks]
+            columns = [pa.array([signature(t) for t in got], pa.int64()), pa.array([len(t) for t in got], pa.int64()), pa.array([t.tobytes() for t in got], pa.binary())]
+            columns += [pa.array(x, pa.list_(pa.int64())) for x in (marks, halves)]
+            yield pa.RecordBatch.from_arrays(columns, names=["sig", "n", "tokens", "mark", "half"])
 
     return run
 
@@ -314,12 +339,14 @@ def jaccard_components(
 
     nodes = sized.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_hash")).alias("rep"))
     nodes = stage(nodes.select(_node("sig", "n").alias("node"), "least", "rep.doc_id", "rep.row_hash"), "nodes")
-    shared = met.groupBy("key").agg((F.min("node") != F.max("node")).alias("more")).where("more").select("key")
+    # keys of one set are dropped, and all but one of the keys that the same sets have
+    who = [F.count("*").alias("sets"), F.bit_xor(F.xxhash64("node")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("who_else")]
+    shared = met.groupBy("key").agg(*who).where("sets > 1").groupBy("sets", "who", "who_else").agg(F.min("key").alias("key")).select("key")
     met = stage(met.join(shared, "key").select("key", "node"), "met")
     wanted = met.select("node").distinct().join(nodes, "node").select("doc_id", "row_hash")
     bits = _bits(wanted, FILTER_BITS)
     at = F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(FILTER_BITS))
-    sets = texts.select(at.alias("at"), "text").mapInArrow(_sets(bits, n), "sig long, n long, tokens binary")
+    sets = texts.select(at.alias("at"), "text").mapInArrow(_sets(bits, n), "sig long, n long, tokens binary, mark array<bigint>, half array<bigint>")
     sets = stage(sets.dropDuplicates(["sig", "n"]), "sets")
 
     links = _linked(pairs, sets, percent)
@@ -330,10 +357,11 @@ def jaccard_components(
         mixed = left.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more").select("key")
         left = stage(left.join(mixed, "key"), "left")
         if last:  # every pair of a key that is not yet in one component
-            o = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-            cross = left.join(o, "key").where("component < other")
-            pairs = cross.select(F.col("node").alias("a"), "b").where(_size_fits(percent))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            left = stage(left.join(sets.select(_node("sig", "n").alias("node"), "mark", "half"), "node"), "left")
+            x, y = left.alias("x"), left.alias("y")
+            fits = f"{percent} * greatest(x.node.n, y.node.n) <= 100 * least(x.node.n, y.node.n)"
+            cross = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(f"x.component < y.component AND {fits}") & _marks_fit(percent))
+            pairs = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         else:  # the least node of each component of a key meets one node of every other component's nodes
             lead = left.groupBy("key").agg(F.max("node").alias("pivot"), F.max_by("component", "node").alias("other"))
             far = left.join(lead, "key").where("component <> other")
