@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtspark.llm.common import row_hash, stage
+from courtspark.llm.common import row_hash, small_batches, stage
 from courtspark.llm.components import components
 
 WORDS = 5
@@ -48,15 +48,15 @@ LOAD = 2.5
 #: A token counts as common above this share of all tokens: at most 1 / COMMON tokens are kept.
 COMMON = 1e-6
 #: Keys that are taken into memory together.
-KEYS_PER_GROUP = 1_000_000
+KEYS_PER_GROUP, LEAST_GROUPS = 1_000_000, 64
 #: Groups of keys made of common tokens only are split into so many parts.
 SPLIT = 16
 #: Bits of the filter that finds the texts to read again; a full filter only lets more pass.
 FILTER_BITS = 1 << 26
 #: Largest parity of a set; for larger sets it only rules out less.
 PARITY_BITS = 8192
-_FLUSH = 4_000_000
-_CACHE = 1 << 19
+_FLUSH = 2_000_000
+_CACHE = 1 << 17
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -317,7 +317,7 @@ def jaccard_components(
     load: float = LOAD,
 ) -> DataFrame:
     """One row per document: doc_id, row_hash, n_shingles, component_id."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row_hash", row_hash(F.col("text")))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row_hash", row_hash(F.col("text")))
     six = "doc_id long, row_hash long, sig long, n long, token long, times long"
     first = stage(texts.mapInArrow(_sizes(n), six), "sizes")
     sized = first.where("token IS NULL").select("doc_id", "row_hash", "sig", "n")
@@ -325,7 +325,7 @@ def jaccard_components(
     often = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= max(4.0, COMMON * total))
     common = np.sort(np.array([r[0] for r in often.select("token").collect()], np.int64).view(np.uint64))  # at most 1 / COMMON
 
-    groups = max(1, -(-total * 2 // 5 // KEYS_PER_GROUP))
+    groups = max(LEAST_GROUPS, -(-total * 2 // 5 // KEYS_PER_GROUP))
     keyed = texts.mapInArrow(_keys(common, groups, n, percent, load), "part long, sig long, n long, keys binary")
     met = keyed.groupBy("part").applyInArrow(_meetings, "key long, sig long, n long, pivot long, pivot_n long")
     met = stage(met.select("key", _node("sig", "n").alias("node"), _node("pivot", "pivot_n").alias("pivot")), "met")
