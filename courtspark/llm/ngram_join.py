@@ -18,8 +18,9 @@ Tokens that are common in the corpus are counted over all documents; only those
 of all tokens are kept, so their number is bounded. They only order the keys.
 
 *Links to components.* Documents with equal sets are one node. In a key's group each node is first
-compared with one pivot; after links have formed components, what is left is every pair of nodes of a
-group that are not yet in one component. Their *parities* rule out most of them: bit i of a set's
+compared with one pivot, and in two more rounds with another one; links form components, so that
+groups of near copies fall together. What is left is every pair of nodes of a group that are not yet in
+one component. Their *parities* rule out most of them: bit i of a set's
 parity says whether an odd number of its tokens falls on i, so two parities differ in no more bits
 than the sets in tokens. The rest is compared exactly, by intersecting the whole token sets. Groups of common keys are dealt out by node, so that no key fills a task.
 
@@ -84,9 +85,12 @@ def shingles(text: str | None, words: _Words, n: int = WORDS) -> np.ndarray:
     w = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
-    for j in range(k):
-        h = _mix((h ^ w[j : len(w) - k + 1 + j]) * _A + np.uint64(j))
-    return np.unique(h)
+    for j in range(k):  # a sum of word hashes with another odd factor for each place
+        h *= _A
+        h += w[j : len(w) - k + 1 + j]
+    h = _mix(h)
+    h.sort()
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def signature(tokens: np.ndarray) -> int:
@@ -111,11 +115,12 @@ def segment_keys(tokens: np.ndarray, common: np.ndarray, percent: int = PERCENT,
         return tokens
     band, need, out = size.bit_length() - 1, _needed(size, percent), []
     is_common = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens if len(common) else np.zeros(size, bool)
+    parts = _mix(tokens ^ _C)
     for b in range(band, (size * 100 // percent).bit_length()):
         m = max(1, int(np.ceil((2 << b) / load)))
-        seg = _mix(tokens * _A + np.uint64(b + 1)) % np.uint64(m)
-        order = np.argsort(seg, kind="stable")
-        seg, part, usual = seg[order], _mix(tokens[order] ^ _C), is_common[order]
+        seg = (_mix(tokens * _A + np.uint64(b + 1)) % np.uint64(m)).astype(np.uint16 if m <= 1 << 16 else np.uint64)
+        order = np.argsort(seg, kind="stable")  # short numbers are sorted by radix
+        seg, part, usual = seg[order].astype(np.uint64), parts[order], is_common[order]
         first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
         count = np.diff(np.r_[first, size])
         total, rare = np.add.reduceat(part, first), np.add.reduceat((~usual).astype(np.int64), first)
@@ -222,7 +227,7 @@ def _meetings(table: pa.Table) -> pa.Table:
         split = (keys[first] & np.uint64(1)).astype(bool)
         # of keys that the same sets have, one is enough
         who = np.bitwise_xor.reduceat(_mix(_mix(sig.view(np.uint64)) + size.astype(np.uint64)), first)
-        _, one = np.unique(np.stack([who, count.astype(np.uint64)], 1), axis=0, return_index=True)
+        _, one = np.unique(who ^ _mix(count.astype(np.uint64)), return_index=True)
         once = np.zeros(len(first), bool)
         once[one] = True
         keep = np.repeat(((count > 1) & once) | split, count)
@@ -307,6 +312,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stage(rows.mapInArrow(_verify(percent), kind), "links")
 
 
+def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of what is already known and of new links."""
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if comp is not None:
+        edges = edges.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return stage(components(edges), "components")
+
+
 def jaccard_components(
     docs: DataFrame,
     *,
@@ -349,25 +362,22 @@ def jaccard_components(
     sets = texts.select(at.alias("at"), "text").mapInArrow(_sets(bits, n), "sig long, n long, tokens binary, mark array<bigint>, half array<bigint>")
     sets = stage(sets.dropDuplicates(["sig", "n"]), "sets")
 
-    links = _linked(pairs, sets, percent)
-    for last in (False, True):
-        comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        comp = stage(comp, "components")
+    marks = sets.select(_node("sig", "n").alias("node"), "mark", "half")
+    fits = F.expr(f"{percent} * greatest(x.node.n, y.node.n) <= 100 * least(x.node.n, y.node.n)") & _marks_fit(percent)
+    comp = _merged(None, _linked(pairs, sets, percent))
+    for seed in (1, 2, None):
         left = met.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         mixed = left.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more").select("key")
-        left = stage(left.join(mixed, "key"), "left")
-        if last:  # every pair of a key that is not yet in one component
-            left = stage(left.join(sets.select(_node("sig", "n").alias("node"), "mark", "half"), "node"), "left")
-            x, y = left.alias("x"), left.alias("y")
-            fits = f"{percent} * greatest(x.node.n, y.node.n) <= 100 * least(x.node.n, y.node.n)"
-            cross = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(f"x.component < y.component AND {fits}") & _marks_fit(percent))
-            pairs = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        else:  # the least node of each component of a key meets one node of every other component's nodes
-            lead = left.groupBy("key").agg(F.max("node").alias("pivot"), F.max_by("component", "node").alias("other"))
-            far = left.join(lead, "key").where("component <> other")
-            pairs = _pairs("node", "pivot", far.groupBy("node", "other").agg(F.min("pivot").alias("pivot"))).where(_size_fits(percent)).distinct()
-        links = stage(links.unionByName(_linked(stage(pairs, "pairs"), sets, percent)), "links")
-    comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        left = stage(left.join(mixed, "key").join(marks, "node"), "left")
+        if seed:  # every node of a key meets one node, another one in each round
+            pick = F.min_by(F.struct("node", "component", "mark", "half"), F.xxhash64(F.lit(seed), "node"))
+            other = left.groupBy("key").agg(pick.alias("p")).select("key", "p.*")
+            apart = F.col("x.component") != F.col("y.component")
+        else:  # every pair of a key that is not yet in one component
+            other, apart = left, F.col("x.component") < F.col("y.component")
+        cross = left.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & fits)
+        pairs = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        comp = _merged(comp, _linked(stage(pairs, "pairs"), sets, percent))
     named = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = stage(named, "named")
     small = named.groupBy("component").agg(F.min("least").alias("component_id"))
