@@ -18,7 +18,7 @@ Tokens that are common in the corpus are counted over all documents; only those
 of all tokens are kept, so their number is bounded. They only order the keys.
 
 *Links to components.* Documents with equal sets are one node. In a key's group each node is first
-compared with one pivot, and in two more rounds with another one; links form components, so that
+compared with one pivot, and in a few more rounds with another one; links form components, so that
 groups of near copies fall together. What is left is every pair of nodes of a group that are not yet in
 one component. Their *parities* rule out most of them: bit i of a set's
 parity says whether an odd number of its tokens falls on i, so two parities differ in no more bits
@@ -52,6 +52,8 @@ COMMON = 1e-6
 KEYS_PER_GROUP, LEAST_GROUPS = 1_000_000, 64
 #: Groups of keys made of common tokens only are split into so many parts.
 SPLIT = 16
+#: Rounds in which every node of a key meets one other node before the exact pairs.
+ROUNDS = 3
 #: Bits of the filter that finds the texts to read again; a full filter only lets more pass.
 FILTER_BITS = 1 << 26
 #: Largest parity of a set; for larger sets it only rules out less.
@@ -365,7 +367,7 @@ def jaccard_components(
     marks = sets.select(_node("sig", "n").alias("node"), "mark", "half")
     fits = F.expr(f"{percent} * greatest(x.node.n, y.node.n) <= 100 * least(x.node.n, y.node.n)") & _marks_fit(percent)
     comp = _merged(None, _linked(pairs, sets, percent))
-    for seed in (1, 2, None):
+    for seed in (*range(1, ROUNDS + 1), None):
         left = met.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         mixed = left.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more").select("key")
         left = stage(left.join(mixed, "key").join(marks, "node"), "left")
