@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine of lines to licence templates, then inheritance by directory.
 
 Every line of every text is compared with the templates as a sparse vector of word counts times
-inverse line frequency, taken over all lines. A line can reach the threshold with a template only if
+inverse line frequency, taken over all lines and all words. A line can reach the threshold with a template only if
 it holds one of the template's *anchor* words: without them the rest of the template's weight is too
 small (Cauchy-Schwarz). Lines without an anchor are dropped by a set test in the scan; for the others
 the products with the template weights are summed up by line and template.
@@ -89,12 +89,12 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     texts = texts.withColumn("row_hash", F.xxhash64(row_hash(F.col("text")), "path"))
     lines = texts.select("doc_id", "row_hash", "path", F.posexplode(F.split("text", "\n")).alias("line", "content")).withColumn("words", words_of(F.col("content")))
     vocabulary = sorted({w for *_, counts in _template_words(templates) for w in counts})
-    known = F.array(*map(F.lit, vocabulary))
-    times = lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", known))).alias("word")).groupBy("word").count()
-    got = {r["word"]: r["count"] for r in times.collect()}  # at most one row per template word
+    # lines that hold a word, for every word; "" stands for all lines
+    times = lines.select(F.explode(F.array_append(F.array_distinct("words"), F.lit(""))).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
+    times = stage(times, "times")
+    got = {r["word"]: r["times"] for r in times.where(F.col("word").isin("", *vocabulary)).collect()}  # at most one row per template word
     total = got.get("", 0)
     idf = {w: math.log((1 + total) / (1 + got.get(w, 0))) + 1e-6 for w in vocabulary}
-    other = math.log(1 + total) + 1e-6
     rows, anchors = _weights(templates, idf, threshold)
     weights = spark.createDataFrame(rows, "license string, template string, word string, weight double")
 
@@ -102,9 +102,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     key = ["doc_id", "row_hash", "path", "line"]
     n_words = F.size("words")
     counted = near.select(*key, n_words.alias("n_words"), F.explode("words").alias("word"))
-    share = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    counted = counted.groupBy(*key, "n_words", "word").count().withColumn("idf", F.coalesce(F.try_element_at(share, "word"), F.lit(other)))
-    counted = stage(counted.withColumn("value", F.col("count") * F.col("idf")), "counted")
+    counted = stage(counted.groupBy(*key, "n_words", "word").count(), "counted")
+    used = times.join(counted.select("word").distinct(), "word").withColumn("idf", F.log(F.lit(1.0 + total) / (F.col("times") + 1)) + 1e-6)
+    used = stage(used.select("word", "idf"), "used")
+    counted = stage(counted.join(used, "word").withColumn("value", F.col("count") * F.col("idf")), "valued")
     norm = counted.groupBy(*key, "n_words").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     dots = counted.join(F.broadcast(weights), "word").groupBy(*key, "template", "license").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
 

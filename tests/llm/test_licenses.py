@@ -51,3 +51,18 @@ def test_against_brute_force(spark):
     again = L.scan(df.union(df))
     assert again.count() == 2 * len(ROWS) and again.where("doc_id = 1 AND license = 'Apache-2.0'").count() == 2
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_common_other_words_cost_little(spark):
+    """Words outside the templates weigh by their own line frequency, whatever the size of the corpus."""
+    notice, filler = "Licensed under CC BY-NC 4.0 widely across regions", ["widely across regions and rivers"] * 400 + ["plain words"] * 400
+    for times in (1, 5):
+        rows = [(0, None, notice)] + [(i, None, t) for i, t in enumerate(filler * times, 1)]
+        lines = [x for *_, x in rows]
+        split = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        df = Counter(w for x in lines for w in set(split(x)))
+        weight = lambda w: math.log((1 + len(lines)) / (1 + df[w])) + 1e-6
+        a, b = ({w: n * weight(w) for w, n in Counter(split(x)).items()} for x in (notice, "Licensed under CC BY-NC 4.0"))
+        want = sum(a[w] * x for w, x in b.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        got = L.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).where("doc_id = 0").first()
+        assert got.license == "CC-BY-NC-4.0" and abs(got.score - want) < 1e-9
