@@ -8,9 +8,10 @@ reads all rows that its predecessor kept, and all but the last keep the columns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from courtspark.llm import decontamination, ngram_join, pieces, quality, toxicity
-from courtspark.llm.common import stage, table, without
+from courtspark.llm.common import column, stage, table, without
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +23,14 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id stay unless their group has a numbered document."""
-    groups = ngram_join.jaccard_components(docs)
-    return without(docs, groups.where("component_id IS NOT NULL AND NOT doc_id <=> component_id"))
+    """One row of every group stays: the one with the smallest id, rows without an id last; of rows that
+    repeat an id, the first one of the staged table. Texts without words stay."""
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = ngram_join.jaccard_components(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    ids = rows.select("__row", F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    first = F.min(F.struct("unnamed", "doc_id", "__row")).alias("first")
+    kept = stage(groups.join(ids, "__row").groupBy("component_id").agg(first).select("first.__row"), "kept")
+    return rows.join(kept, "__row", "left_semi").select(*[column(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,12 @@ def test_stages(spark, tmp_path):
     codec = pieces._codec(pieces.default_model())
     text = {x[0]: x[1] for x in rows}
     assert all(codec.decode([x.ids])[0] == (text[x.doc_id] or "") for x in got)
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = ("".join(f"{w}{i} " for i in range(60)) for w in ("stone", "river", "house"))
+    rows = [(5, a), (5, a), (5, a + "more"), (9, a), (None, b), (None, b), (None, b + "end"), (None, c), (7, c), (7, c), (8, ""), (8, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    got = sorted(((x.doc_id, (x.text or "")[:5]) for x in left), key=str)
+    assert got == sorted([(5, "stone"), (None, "river"), (7, "house"), (8, ""), (8, ""), (None, "")], key=str)
