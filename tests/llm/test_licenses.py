@@ -55,7 +55,7 @@ def test_against_brute_force(spark):
 
 def test_common_other_words_cost_little(spark):
     """Words outside the templates weigh by their own line frequency, whatever the size of the corpus."""
-    notice, filler = "Licensed under CC BY-NC 4.0 widely across regions", ["widely across regions and rivers"] * 400 + ["plain words"] * 400
+    notice, filler = "Licensed widely under across CC BY-NC regions 4.0", ["widely across regions and rivers"] * 400 + ["plain words"] * 400
     for times in (1, 5):
         rows = [(0, None, notice)] + [(i, None, t) for i, t in enumerate(filler * times, 1)]
         lines = [x for *_, x in rows]
@@ -66,3 +66,23 @@ def test_common_other_words_cost_little(spark):
         want = sum(a[w] * x for w, x in b.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
         got = L.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).where("doc_id = 0").first()
         assert got.license == "CC-BY-NC-4.0" and abs(got.score - want) < 1e-9
+
+
+def test_headers_files_and_notices_in_paragraphs(spark):
+    texts = dict(L.TEXTS)
+    gpl2 = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.
+import os"""
+    rows = [
+        ("a/x.py", gpl2, "GPL-2.0"),
+        ("b/LICENSE", "Copyright (c) 2020 Acme\n" + texts["BSD-3-Clause"], "BSD-3-Clause"),
+        ("c/LICENSE", texts["MIT"], "MIT"),
+        ("d/LICENSE", texts["GPL-3.0"], "GPL-3.0"),
+        ("e/y.txt", "Copyright 2024 Acme. Released under the MIT License. Then come other words about rivers and quiet stone houses.", "MIT"),
+        ("f/z.txt", "rivers and quiet stone houses", None),
+    ] + [(None, f"morning walk number {i} past the garden and the river", None) for i in range(200)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in L.scan(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [x for *_, x in rows]
