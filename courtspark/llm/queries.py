@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtspark.llm import decontamination, embedding_dedup, html_text, licenses, ngram_join, pieces, quality, token_files, toxicity, url_filter
+from courtspark.llm import (
+    decontamination, embedding_dedup, hard_negatives, html_text, language, licenses, ngram_join, pieces, quality, ranked_search, token_files, toxicity, url_filter,
+)
 from courtspark.llm.common import table
 from courtspark.registry.entry import Query
 
@@ -53,6 +55,18 @@ def op10(spark, sf_dir):
     return url_filter.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark, sf_dir):
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents")).drop("parts")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -114,6 +128,44 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = c
 FROM named LEFT JOIN counts USING (vec_id)
 """
 
+OP11_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), i AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), totals AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS every FROM d WHERE len(w) > 0
+), asked AS (SELECT DISTINCT q, unnest(w) AS t FROM i
+), tf AS (
+  SELECT k, t, count(*)::BIGINT AS tf FROM (SELECT k, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY k, t
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, totals GROUP BY t, docs
+), parts AS (
+  SELECT k, t, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(w)::BIGINT * docs) // every))) AS part
+  FROM tf JOIN weights USING (t) JOIN d USING (k), totals
+), scores AS (SELECT q, k, sum(part)::BIGINT AS score FROM asked JOIN parts USING (t) GROUP BY q, k HAVING sum(part) > 0
+), ranked AS (SELECT q, k, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores JOIN d USING (k))
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked JOIN d USING (k) JOIN i USING (q) WHERE rank <= 50
+"""
+
+OP12_SQL = """
+WITH ok AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(v, lambda x: floor(256 * x)) AS v
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = len(v)
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM ok a JOIN ok b ON len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), negatives AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": Query(op1, OP1_SQL),
     "op2_sentencepiece": Query(op2),
@@ -125,4 +177,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": Query(op8),
     "op9_embedding_dedup": Query(op9, OP9_SQL),
     "op10_url_filter": Query(op10),
+    "op11_ranked_search": Query(op11, OP11_SQL),
+    "op12_hard_negatives": Query(op12, OP12_SQL),
+    "op13_language_id": Query(op13),
 }
