@@ -22,7 +22,7 @@ HEADLINES = (
     "explode_props", "props_to_games", "winsorize_quantile", "transform_set", "impute_median_chain",
     "split_by_row_fraction", "regression_metrics", "classification_metrics", "roc_curve",
     "optimize_threshold_dd", "evaluate_thresholds", "weighted_ensemble", "rule_predictor", "train_forest",
-    "train_linear", "train_gbt", "score_games", "cv_fit_time_series",
+    "train_linear", "train_gbt", "train_total_bundle", "score_games", "cv_fit_time_series",
 )
 
 

@@ -75,7 +75,7 @@ def assemble(df: DataFrame, features: Sequence[str], fills: Mapping[str, float])
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(filled)
 
 
-def prepare(
+def split_rows(
     df: DataFrame,
     features: Sequence[str],
     target: str,
@@ -83,14 +83,27 @@ def prepare(
     share: float = 0.8,
     key: str = "game_id",
     shuffled: bool = False,
-) -> Prepared:
-    """Split in time order (or per class), fit the fills on train only, write once."""
+) -> DataFrame:
+    """Key, order, ``y``, the features as doubles and ``split`` in time order (or per class), written once."""
     check_trainable(df, list(features), target)
     known = df.where(col(target).isNotNull()).select(
         *dict.fromkeys([key, *order]), col(target).cast("double").alias("y"), *[col(f).cast("double").alias(f) for f in features if f not in (key, *order)]
     )
     split = stratified(known, "y", key, share) if shuffled else by_row_fraction(known, order, share)
-    whole = stage(split, "prepared")
+    return stage(split, "prepared")
+
+
+def prepare(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    order: Sequence[str] = ("Date", "game_id"),
+    share: float = 0.8,
+    key: str = "game_id",
+    shuffled: bool = False,
+) -> Prepared:
+    """Split in time order (or per class), fit the fills on train only, write once."""
+    whole = split_rows(df, features, target, order, share, key, shuffled)
     fills = fills_by_median(whole.where(col("split") == "train"), list(features))
     vectors = assemble(whole, features, fills)
     return Prepared(

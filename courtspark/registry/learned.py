@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,10 +11,10 @@ from pyspark.sql import functions as F
 from courtspark import fixed
 from courtspark.functions import rolling
 from courtspark.functions.scalars import clip, col, fill
-from courtspark.operators import ensembles, evaluation, features, loading, matchups, models, selection, splits
+from courtspark.operators import bundles, ensembles, evaluation, features, fitted, matchups, models, selection, splits
 from courtspark.plans.history import with_history
 from courtspark.registry.entry import Query, ask, tidy
-from courtspark.registry.history import GAMES, ORDER, PLAYER_ORDER, avg, box, scores
+from courtspark.registry.history import GAMES, ORDER, PLAYER_ORDER, avg, box, over, scores
 from courtspark.registry.rows import _direct, _mean3
 from courtspark.sources.staging import stage, staging_folder
 from courtspark.views import DOUBLE_LOG, MODEL_PREDICTIONS, double_log, model_predictions
@@ -267,57 +269,117 @@ def model_importance(spark, sf_dir):
     return tidy(models.importances(fitted, p.features, p.train))
 
 
-def train_targets(spark, sf_dir):
-    """The four flows, each on its own feature table: metrics on the later part of the log."""
+FLOWS = ("win", "points", "total", "double")
+
+
+def flow_table(spark, sf_dir, target):
+    """Feature table, label, selection rule and order of one of the four flows."""
+    if target == "double":
+        players = double_log(spark, sf_dir).withColumns({"is_home": rolling_home(), "is_started": F.when(col("GS") == "*", 1).otherwise(0)})
+        return features.double_features(players, PLAYER_ORDER), "double_double", "double", PLAYER_ORDER
     games = box(spark, sf_dir)
-    players = double_log(spark, sf_dir).withColumns({"is_home": rolling_home(), "is_started": F.when(col("GS") == "*", 1).otherwise(0)})
-    flows = [
-        ("win", features.win_features(games), "is_win", selection.win_priority, ORDER, True),
-        ("points", features.points_features(games), "PTS", None, ORDER, False),
-        ("total", features.total_features(games).withColumn("total_points", col("PTS") + col("PTS_Opp")), "total_points", None, ORDER, False),
-        ("double", features.double_features(players, PLAYER_ORDER), "double_double", selection.double_priority, PLAYER_ORDER, True),
-    ]
+    if target == "win":
+        return features.win_features(games), "is_win", "win", ORDER
+    if target == "points":
+        return features.points_features(games), "PTS", "correlation", ORDER
+    return features.total_features(games).withColumn("total_points", col("PTS") + col("PTS_Opp")), "total_points", "correlation", ORDER
+
+
+def train_flow(spark, sf_dir, target):
+    """Split rows, the fitted feature stages with a forest behind them, and its predictions of all rows."""
+    df, label, rule, order = flow_table(spark, sf_dir, target)
+    names = selection.feature_columns(df, target)
+    rows = models.split_rows(df, names, label, order)
+    train = rows.where(col("split") == "train")
+    stages = fitted.fit_features(train, names, "y", rule=rule, winsor="iqr" if rule == "correlation" else None)
+    vectors = stages.transform(train).select("y", "features")
+    if rule == "correlation":
+        forest = models.regressors("points")["forest"].fit(vectors)
+    else:
+        forest = models.classifiers(target, None, "weight")["forest"].fit(models.class_weights(vectors, "y", "balanced"))
+    return rows, bundles.Bundle(stages, {"forest": forest}, label)
+
+
+def train_targets(spark, sf_dir):
+    """The four flows, each on its own feature table: inputs chosen from training rows, metrics on the later part
+    of the log, from the saved and reloaded bundle."""
     parts = []
-    for target, df, label, choose, order, binary in flows:
-        names = selection.feature_columns(df, target)
-        names = choose(names) if choose else selection.select_by_correlation(df, label, names)
-        p = models.prepare(df, names, label, order)
-        if binary:
-            weighted_train = models.class_weights(p.train, "y", "balanced")
-            model = models.classifiers(target, None, "weight")["forest"].fit(weighted_train)
-            scored = models.predict_probability(model, p.validation, "forest")
-            m = evaluation.grouped_classification(scored, ["model"]).select("n", F.lit("f1_score").alias("metric"), col("f1_score").alias("value"))
+    for target in FLOWS:
+        rows, bundle = train_flow(spark, sf_dir, target)
+        path = f"{staging_folder(spark)}/bundle-{target}-{uuid.uuid4().hex}"
+        bundles.save_bundle(spark, path, bundle)
+        bundle = bundles.load_bundle(spark, path)
+        later = bundle.features.transform(rows.where(col("split") != "train"))
+        if target in ("win", "double"):
+            m = evaluation.grouped_classification(models.predict_probability(bundle.models["forest"], later, "forest"), ["model"])
+            m = m.select("n", F.lit("f1_score").alias("metric"), col("f1_score").alias("value"))
         else:
-            model = models.regressors("points")["forest"].fit(p.train)
-            m = evaluation.regression_metrics(models.predict_value(model, p.validation, "forest"), ["model"]).select("n", F.lit("mae").alias("metric"), col("mae").alias("value"))
-        parts.append(m.withColumns({"target": F.lit(target), "inputs": F.lit(len(names))}))
+            m = evaluation.regression_metrics(models.predict_value(bundle.models["forest"], later, "forest"), ["model"])
+            m = m.select("n", F.lit("mae").alias("metric"), col("mae").alias("value"))
+        parts.append(m.withColumns({"target": F.lit(target), "inputs": F.lit(len(bundle.names))}))
     out = parts[0]
     for q in parts[1:]:
         out = out.unionByName(q)
     return tidy(out)
 
 
+def train_selection(spark, sf_dir):
+    """Inputs that a fitted selector keeps: learned from the training rows, the strongest if none is strong."""
+    train = models.split_rows(model_table(spark, sf_dir), INPUTS, "PTS", ORDER).where("split = 'train'")
+    out = None
+    for limit in (0.08, 0.0):
+        chosen = fitted.FeatureSelector(features=INPUTS, label="y", atLeast=limit, fallback=3).fit(train).value("features")
+        found = selection.correlate_with_target(train, "y", chosen, None).withColumn("at_least", F.lit(limit))
+        out = found if out is None else out.unionByName(found)
+    return tidy(out)
+
+
 def rolling_home():
     return F.when(col("Away") == "@", 0).otherwise(1)
 
 
-def score_games(spark, sf_dir):
-    """Fixtures scored by two models on matchup features, mixed with the rule, with confidence."""
-    df = total_base_games(spark, sf_dir)
-    base = ["PTS", "PTS_Opp", "FG%", "FGA", "total_expected_shots"]
-    inputs = [f"h_{i}" for i in range(len(base))]
-    named = dict(zip(base, inputs, strict=True))
-    past = matchups.matchup_history(df, base, ORDER).withColumnsRenamed(named)
+TOTAL_BASE = ["PTS", "PTS_Opp", "FG%", "FGA", "total_expected_shots"]
+TOTAL_INPUTS = [f"h_{i}" for i in range(len(TOTAL_BASE))]
+
+
+def train_total(df):
+    """Bundle of a forest and a ridge for total points, from what was known of both sides before each past game."""
+    past = matchups.matchup_history(df, TOTAL_BASE, ORDER).withColumnsRenamed(dict(zip(TOTAL_BASE, TOTAL_INPUTS, strict=True)))
     past = past.join(df.select("game_id", "Date", (col("PTS") + col("PTS_Opp")).alias("total")), "game_id")
-    p = models.prepare(past, inputs, "total", ORDER)
-    fitted = models.fit_all(p, {n: e for n, e in models.regressors("points", None, p.train.count()).items() if n in ("forest", "ridge")})
+    rows = models.split_rows(past, TOTAL_INPUTS, "total", ORDER).where("split = 'train'")
+    stages = fitted.fit_features(rows, TOTAL_INPUTS, "y", atLeast=0.0, above=1.0, strict=True)
+    vectors = stage(stages.transform(rows).select("game_id", "y", "features"), "vectors")
+    estimators = {n: e for n, e in models.regressors("points", None, vectors.count()).items() if n in ("forest", "ridge")}
+    return bundles.Bundle(stages, {n: e.fit(vectors) for n, e in estimators.items()}, "total", notes={"weights": {"forest": 0.7, "ridge": 0.3}})
+
+
+def total_bundle(spark, sf_dir, df):
+    """The bundle of these tables: loaded if it was saved, else trained and saved. Its place is named by the
+    files read, their rows and the settings."""
+    tables = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")]
+    about = [[sorted(t.inputFiles()), t.count()] for t in tables] + [models.LEVELS["points"], TOTAL_BASE]
+    path = f"{staging_folder(spark)}/bundles/total-{hashlib.md5(json.dumps(about).encode()).hexdigest()}"
+    found = bundles.load_bundle(spark, path)
+    if found is None:
+        bundles.save_bundle(spark, path, train_total(df))
+        found = bundles.load_bundle(spark, path)
+    return found, path
+
+
+def train_total_bundle(spark, sf_dir):
+    """Versions of the saved bundle that ``score_games`` reads."""
+    _, path = total_bundle(spark, sf_dir, stage(total_base_games(spark, sf_dir), "base"))
+    return bundles.versions(spark, path).select("version", "target", "models", "features")
+
+
+def score_games(spark, sf_dir):
+    """Fixtures scored by the models of a saved bundle, mixed with the rule, with confidence."""
+    df = stage(total_base_games(spark, sf_dir), "base")
+    bundle, _ = total_bundle(spark, sf_dir, df)
     games = fixtures(df)
-    rows = matchups.matchup_rows(games, df, base, ORDER).withColumnsRenamed(named)
-    rows = rows.withColumns({"y": F.lit(0.0), "split": F.lit("new")})
-    vectors = models.assemble(rows, inputs, p.fills)
-    parts = [models.predict_value(m, vectors, n) for n, m in fitted.items()]
-    long = parts[0].unionByName(parts[1])
-    ensemble = ensembles.weighted_ensemble(long, {"forest": 0.7, "ridge": 0.3})
+    rows = matchups.matchup_rows(games, df, TOTAL_BASE, ORDER).withColumnsRenamed(dict(zip(TOTAL_BASE, TOTAL_INPUTS, strict=True)))
+    long = bundle.score(rows)
+    ensemble = ensembles.weighted_ensemble(long, bundle.notes["weights"])
     ruled = matchups.rule_predictor(games, df, ORDER).select(col("game_id").alias("id"), "rule_total")
     out = ensemble.join(ruled, "id").join(ensembles.ensemble_confidence(long).select("id", "confidence"), "id")
     return tidy(out.select("id", "y_pred", "rule_total", ensembles.hybrid(col("y_pred"), col("rule_total")).alias("total_points"), "confidence"))
@@ -352,6 +414,11 @@ z1 AS (SELECT *, (CASE WHEN en BETWEEN 180 AND 280 THEN en * 0.4 ELSE 0 END + CA
 z2 AS (SELECT *, rule_total * 0.85 + ml * 0.15 AS mx, list_filter([rule_total, ml, en, en + 12, en - 20], lambda v: v BETWEEN 180 AND 280) AS l FROM z1),
 z3 AS (SELECT *, CASE WHEN len(l) >= 3 AND list_stddev_pop(l) > 8 THEN mx * 0.7 + list_median(l) * 0.3 ELSE mx END AS sx FROM z2)"""
 
+_INPUT_SQL = GAMES + f""", inputs AS (SELECT game_id, "PTS" AS y, row_number() OVER (ORDER BY "Date", game_id) - 1 AS ix, count(*) OVER () AS n,
+  coalesce({avg('is_win', 5)}, 0.5) AS rate_5g, coalesce({avg('is_win', 10)}, 0.5) AS rate_10g, {avg('"PTS"', 5)} AS pts_avg_5g, {avg('"PTS"', 10)} AS pts_avg_10g, {avg('"PTS_Opp"', 10)} AS allowed_avg_10g,
+  coalesce("Date" - lag("Date") OVER (PARTITION BY "Team" ORDER BY "Date", game_id), 2)::DOUBLE AS days_rest, is_home::DOUBLE AS is_home,
+  CASE WHEN count("PTS") {over(5)} >= 2 THEN stddev_samp("PTS") {over(5)} END AS pts_std_5g FROM g)"""
+
 QUERIES = {
     "voting_average": Query(voting, ask(TOTALS, "SELECT id, avg(y_pred) AS y_pred FROM totals GROUP BY 1", "y_pred", "id")),
     "weighted_ensemble": Query(
@@ -423,5 +490,14 @@ QUERIES = {
     "training_summary": Query(summary),
     "model_importance": Query(model_importance),
     "train_targets": Query(train_targets),
+    "train_selection": Query(
+        train_selection,
+        ask(_INPUT_SQL + """, known AS (SELECT * FROM inputs WHERE ix < floor(n * 0.8::DOUBLE)), r AS (""" + " UNION ALL ".join(
+            f"SELECT '{n}' AS feature, abs(corr({n}, y)) AS correlation FROM known" for n in INPUTS) + """), passed AS (SELECT count(*) AS k FROM r WHERE correlation >= 0.08),
+            chosen AS (SELECT *, row_number() OVER (ORDER BY correlation DESC, feature) AS place FROM r)""",
+            """SELECT feature, correlation, 0.08 AS at_least FROM chosen, passed WHERE CASE WHEN k = 0 THEN place <= 3 ELSE correlation >= 0.08 END
+            UNION ALL SELECT feature, correlation, 0.0 AS at_least FROM chosen""", "correlation, at_least", "", "feature"),
+    ),
+    "train_total_bundle": Query(train_total_bundle),
     "score_games": Query(score_games),
 }
