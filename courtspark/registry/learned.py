@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from courtspark import fixed
 from courtspark.functions import rolling
 from courtspark.functions.scalars import clip, col, fill
-from courtspark.operators import bundles, ensembles, evaluation, features, fitted, matchups, models, selection, splits
+from courtspark.operators import bundles, ensembles, evaluation, features, fitted, matchups, models, moments, selection, splits
 from courtspark.plans.history import with_history
 from courtspark.registry.entry import Query, ask, tidy
 from courtspark.registry.history import GAMES, ORDER, PLAYER_ORDER, avg, box, over, scores
@@ -200,22 +200,28 @@ def permuted(spark, sf_dir):
     return tidy(models.permutation_importance(model, p.validation, p.features))
 
 
+def known_inputs(spark, sf_dir, target="PTS"):
+    return models.split_rows(model_table(spark, sf_dir), INPUTS, target, ORDER)
+
+
+LINEAR = {"ridge": moments.Moments.ridge, "elastic": moments.Moments.elastic}
+
+
+def linear(name):
+    """A linear model from the sums of the training rows."""
+    return lambda spark, sf_dir: tidy(moments.holdout(known_inputs(spark, sf_dir), INPUTS, {name: LINEAR[name]}))
+
+
 def curve(spark, sf_dir):
-    p = prepared(spark, sf_dir)
-    ridge = models.regressors("points", None, p.train.count())["ridge"]
-    return tidy(models.learning_curve(p.train, ridge))
+    return tidy(moments.learning_curve(known_inputs(spark, sf_dir).where("split = 'train'"), INPUTS))
 
 
 def cross_validated(bounds, target="PTS"):
-    """Ridge fitted and scored in every fold of an ordered table."""
+    """Ridge fitted and scored in every fold of an ordered table: one scan for all fits, one for all scores."""
 
     def run(spark, sf_dir):
-        p = prepared(spark, sf_dir, target)
-        whole = p.train.unionByName(p.validation)
-        n = whole.count()
-        folds = bounds(n)
-        ridge = {"ridge": models.regressors("points", None, n)["ridge"]}
-        return tidy(models.cross_validate(splits.with_parts(whole, ORDER, folds), ridge, len(folds)))
+        rows = known_inputs(spark, sf_dir, target)
+        return tidy(moments.cross_validate(rows, INPUTS, ORDER, bounds(rows.count()), {"ridge": LINEAR["ridge"]}))
 
     return run
 
@@ -419,6 +425,32 @@ _INPUT_SQL = GAMES + f""", inputs AS (SELECT game_id, "PTS" AS y, row_number() O
   coalesce("Date" - lag("Date") OVER (PARTITION BY "Team" ORDER BY "Date", game_id), 2)::DOUBLE AS days_rest, is_home::DOUBLE AS is_home,
   CASE WHEN count("PTS") {over(5)} >= 2 THEN stddev_samp("PTS") {over(5)} END AS pts_std_5g FROM g)"""
 
+_METRICS = """count(y) AS n, avg(abs(y_pred - y)) AS mae, avg((y_pred - y) ** 2) AS mse, sqrt(avg((y_pred - y) ** 2)) AS rmse, 1 - sum((y_pred - y) ** 2) / (var_pop(y) * count(y)) AS r2,
+  avg(y_pred - y) AS mean_error, stddev_pop(y_pred - y) AS std_error, sqrt(avg((y_pred - y) ** 2)) / avg(y) AS cv_rmse, corr(y, y_pred) AS pearson"""
+_METRIC_NAMES = "mae, mse, rmse, r2, mean_error, std_error, cv_rmse, pearson"
+
+
+def _ordered(bounds):
+    """Rows of every fold that trains on rows before ``lo`` and is validated on those before ``hi``."""
+    return f"SELECT fit, CASE WHEN ix < lo THEN 'train' ELSE 'validation' END AS role, i.* FROM inputs i, (WITH size AS (SELECT max(n) AS n FROM inputs) {bounds}) WHERE ix < hi AND lo < hi"
+
+
+def _ridge(members, alpha=50):
+    """CTEs that end in predicted (fit, role, y, y_pred): a ridge per fit from its rows with role train, solved by elimination."""
+    p = len(INPUTS)
+    every = lambda text, sep=", ": sep.join(text.format(n=n, i=i + 1) for i, n in enumerate(INPUTS))
+    matrix = ", ".join("[" + ", ".join([*(f"avg(z{i} * z{j})" + (f" + {alpha}::DOUBLE / count(*)" if i == j else "") for j in range(1, p + 1)), f"avg(z{i} * (y - my))"]) + "]" for i in range(1, p + 1))
+    return "RECURSIVE " + _INPUT_SQL + f""", members AS ({members}),
+  fills AS (SELECT fit, {every('avg({n}) AS a{i}')} FROM members WHERE role = 'train' GROUP BY fit),
+  whole AS (SELECT fit, role, y, {every('coalesce({n}, a{i}, 0)::DOUBLE AS x{i}')} FROM members JOIN fills USING (fit)),
+  shape AS (SELECT fit, avg(y) AS my, {every('avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}')} FROM whole WHERE role = 'train' GROUP BY fit),
+  standard AS (SELECT fit, role, y, my, {every('CASE WHEN s{i} > 1e-9 THEN (x{i} - m{i}) / s{i} ELSE 0 END AS z{i}')} FROM whole JOIN shape USING (fit)),
+  steps AS (SELECT fit, 0 AS k, [{matrix}] AS m FROM standard WHERE role = 'train' GROUP BY fit
+    UNION ALL SELECT fit, k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / m[k + 1][k + 1])
+      ELSE list_transform(row, lambda v, j: v - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM steps WHERE k < {p}),
+  predicted AS (SELECT fit, role, y, my + {every(f'z{{i}} * m[{{i}}][{p + 1}]', ' + ')} AS y_pred FROM standard JOIN (SELECT fit, m FROM steps WHERE k = {p}) USING (fit))"""
+
+
 QUERIES = {
     "voting_average": Query(voting, ask(TOTALS, "SELECT id, avg(y_pred) AS y_pred FROM totals GROUP BY 1", "y_pred", "id")),
     "weighted_ensemble": Query(
@@ -475,15 +507,35 @@ QUERIES = {
     "train_forest_classifier": Query(classifier_report(("forest",))),
     "train_forest_sweep": Query(sweep),
     "train_gbt": Query(early),
-    "train_linear": Query(regression_report(("ridge", "elastic"))),
+    "train_linear": Query(
+        linear("ridge"),
+        ask(_ridge("SELECT 0 AS fit, CASE WHEN ix < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS role, i.* FROM inputs i"),
+            f"SELECT 'ridge' AS model, role AS split, {_METRICS} FROM predicted GROUP BY role", _METRIC_NAMES, "n", "model, split"),
+    ),
+    "train_elastic": Query(linear("elastic")),
     "train_logistic": Query(classifier_report(("logistic",))),
     "stacking": Query(stacking),
     "stacking_classifier": Query(stacking_win),
     "random_search": Query(search),
     "permutation_importance": Query(permuted),
-    "learning_curve": Query(curve),
-    "cv_fit_expanding": Query(cross_validated(splits.expanding_bounds)),
-    "cv_fit_time_series": Query(cross_validated(splits.series_bounds)),
+    "learning_curve": Query(
+        curve,
+        ask(_ridge("""SELECT k * 10 + s AS fit, CASE WHEN d1 % 5 = k THEN 'validation' ELSE 'train' END AS role, i.*
+              FROM (SELECT *, ('0x' || substr(h, 1, 7))::BIGINT AS d1, ('0x' || substr(h, 9, 7))::BIGINT AS d9 FROM (SELECT *, md5('42-' || game_id) AS h FROM inputs WHERE ix < floor(n * 0.8::DOUBLE))) i,
+              range(5) AS a(k), range(10) AS b(s) WHERE d1 % 5 = k OR d9 < floor((s + 1) / 10::DOUBLE * 268435456)"""),
+            """SELECT size, role, avg(n) AS rows, avg(r2) AS r2_mean, stddev_pop(r2) AS r2_std FROM (SELECT (fit % 10 + 1) / 10 AS size, role, count(*) AS n, """
+            """1 - sum((y_pred - y) ** 2) / (var_pop(y) * count(*)) AS r2 FROM predicted GROUP BY fit, role) GROUP BY size, role""", "size, rows, r2_mean, r2_std", "", "role"),
+    ),
+    "cv_fit_expanding": Query(
+        cross_validated(splits.expanding_bounds),
+        ask(_ridge(_ordered("SELECT k AS fit, (floor(n * 0.6::DOUBLE) + floor((n - floor(n * 0.6::DOUBLE)) * k / 5))::BIGINT AS lo, least((floor(n * 0.6::DOUBLE) + floor((n - floor(n * 0.6::DOUBLE)) * k / 5))::BIGINT + floor(n * 0.2::DOUBLE)::BIGINT, n) AS hi FROM size, range(1, 6) AS r(k)")),
+            f"SELECT fit AS fold, role, 'ridge' AS model, {_METRICS} FROM predicted GROUP BY fit, role", _METRIC_NAMES, "fold, n", "role, model"),
+    ),
+    "cv_fit_time_series": Query(
+        cross_validated(splits.series_bounds),
+        ask(_ridge(_ordered("SELECT k + 1 AS fit, n - n // 8 * (7 - k) AS lo, n - n // 8 * (6 - k) AS hi FROM size, range(7) AS r(k)")),
+            f"SELECT fit AS fold, role, 'ridge' AS model, {_METRICS} FROM predicted GROUP BY fit, role", _METRIC_NAMES, "fold, n", "role, model"),
+    ),
     "cv_fit_stratified": Query(cross_validated_classes),
     "model_save_load": Query(save_load, ask("", "SELECT count(*) AS rows, count(*) AS same, 8 AS features FROM orders", "", "rows, same, features")),
     "evaluate_model": Query(evaluate),
