@@ -79,17 +79,20 @@ def targets_of(prop_type: Column) -> Column:
 
 
 def long_props(props: DataFrame) -> DataFrame:
-    """(player, target, line, side, bookmaker, price, game_time) with known prices only."""
+    """(player, target, line, side, bookmaker, price, game_time) with known prices only.
+
+    The outer form keeps Spark from testing all synonyms in a filter first and then once more.
+    """
     side = F.when(col("over_price").isNotNull(), "over").when(col("under_price").isNotNull(), "under")
     return props.select(
         "player",
-        F.explode(targets_of(col("prop_type"))).alias("target"),
+        F.explode_outer(targets_of(col("prop_type"))).alias("target"),
         "line",
         side.alias("side"),
         "bookmaker",
         F.coalesce("over_price", "under_price").alias("price"),
         "game_time",
-    ).where(col("line").isNotNull() & col("price").isNotNull())
+    ).where(col("line").isNotNull() & col("price").isNotNull() & col("target").isNotNull())
 
 
 def _line_text(line: Column) -> Column:

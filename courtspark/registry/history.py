@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from courtspark import fixed
@@ -10,9 +12,11 @@ from courtspark.functions.scalars import col, fill
 from courtspark.operators import features, loading
 from courtspark.operators.profiles import last_n_mean, latest_row
 from courtspark.plans.history import with_history
+from courtspark.plans.increment import History
 from courtspark.plans.ordering import average_rank_share
 from courtspark.registry.entry import Query, ask, tidy
 from courtspark.registry.rows import BIO, RESTED, _direct, _mean3, _weighted, _rest_sql, _PCT, _pairs_sql, _DIRECTED, _UNDIRECTED, _ALT
+from courtspark.sources.staging import stage, staging_folder
 from courtspark.views import (
     DOUBLE_LOG, PLAYER_GAMES, TEAM_GAMES, double_log, player_bio, team_games, team_scores,
 )
@@ -45,6 +49,35 @@ def hist(view, keys, order, build, reach=10, running=None, after=None):
     return run
 
 
+CUTS = ("1997-06-01", "1998-01-01", "1998-05-01", "9999-01-01")
+
+
+def increments(view, keys, build, reach, running, after=None):
+    """History of the rows from the first cut on, made in lots: each lot reads the written state and its own rows."""
+
+    def run(spark, sf_dir):
+        df = stage(view(spark, sf_dir), "log")
+        history = History(f"{staging_folder(spark)}/history-{uuid.uuid4().hex}", keys, ORDER, build, reach, running and running())
+        history.start(df.where(col("Date") < F.lit(CUTS[0]).cast("date")))
+        out = None
+        for a, b in zip(CUTS, CUTS[1:], strict=False):
+            lot = history.extend(df.where((col("Date") >= F.lit(a).cast("date")) & (col("Date") < F.lit(b).cast("date"))))
+            out = lot if out is None else out.unionByName(lot)
+        if after is not None:
+            out = after(out)
+        return tidy(out.select("game_id", *[c for c in out.columns if c not in df.columns]))
+
+    return run
+
+
+def b_increment(w):
+    return b_hist_roll(w) | b_win_rates(w) | {"days_rest": rolling.days_rest(w)}
+
+
+def pair_running():
+    return features.running_mean("vs_opp_pts_history", col("PTS")) | {"best_vs_opp": ("max", col("PTS"))}
+
+
 # --- SQL pieces ---------------------------------------------------------------------------
 GAMES = TEAM_GAMES + """, g AS (SELECT *, ("PTS" > "PTS_Opp")::INT AS is_win, CASE WHEN "Away" = '@' THEN 0 ELSE 1 END AS is_home FROM team_games)"""
 
@@ -82,6 +115,12 @@ def twin(ctes, exprs, source, longs="game_id", rest=""):
     return ask(ctes, f"SELECT game_id, {body} FROM {source}", ", ".join(exprs), longs, rest)
 
 
+def _from_cut(exprs, longs=None):
+    body = ", ".join(f'{e} AS "{n}"' for n, e in {**exprs, **(longs or {})}.items())
+    ctes = GAMES + f""", every AS (SELECT game_id, "Date", {body} FROM g)"""
+    return ask(ctes, f"""SELECT * FROM every WHERE "Date" >= DATE '{CUTS[0]}'""", ", ".join(exprs), ", ".join(["game_id", *(longs or {})]))
+
+
 def shifted(source, key, order, flag):
     return f"""s AS (SELECT *, coalesce(lag({flag}) OVER (PARTITION BY {key} ORDER BY {order}), 0)::DOUBLE AS s FROM {source})"""
 
@@ -469,6 +508,22 @@ QUERIES = {
                      "pts_sum_5": at_least(3, '"PTS"', f'sum("PTS") {over(5)}', 5), "pts_var_5": f'var_samp("PTS") {over(5)}',
                      "pts_expanding": avg('"PTS"', None)}, "g"),
     ),
+    "hist_increment": Query(
+        increments(scores, ["Team"], b_increment, 10, lambda: features.running_mean("pts_expanding", col("PTS")),
+                   lambda df: features.expanding_mean(df, "pts_expanding")),
+        _from_cut({"pts_mean_5": avg('"PTS"', 5), "pts_std_5": std('"PTS"', 5),
+                   "pts_sum_5": at_least(3, '"PTS"', f'sum("PTS") {over(5)}', 5), "pts_var_5": f'var_samp("PTS") {over(5)}',
+                   "pts_expanding": avg('"PTS"', None), "team_win_rate_5g": f"coalesce({avg('is_win', 5)}, 0.5)", "team_win_rate_10g": f"coalesce({avg('is_win', 10)}, 0.5)",
+                   "home_win_rate_10g": f"least(coalesce({avg('is_win', 10)}, 0.5) + 0.05, 1)",
+                   "away_win_rate_10g": f"greatest(coalesce({avg('is_win', 10)}, 0.5) - 0.05, 0)",
+                   "team_recent_wins": f"coalesce(sum(is_win) {over(3)}, 1.5)", "team_confidence_factor": f"(coalesce({avg('is_win', 5)}, 0.5) - 0.5) * 4",
+                   "confidence_factor": f"({avg('is_win', 5)} - 0.5) * 2"},
+                  {"days_rest": """coalesce("Date" - lag("Date") OVER (PARTITION BY "Team" ORDER BY "Date", game_id), 2)"""}),
+    ),
+    "pair_increment": Query(
+        increments(scores, ["Team", "Opp"], lambda w: {}, 0, pair_running, lambda df: features.expanding_mean(df, "vs_opp_pts_history")),
+        _from_cut({"vs_opp_pts_history": avg('"PTS"', None, '"Team", "Opp"'), "best_vs_opp": 'max("PTS") ' + over(None, '"Team", "Opp"')}),
+    ),
     "roll_then_shift": Query(
         hist(box, ["Team"], ORDER, b_roll_then_shift),
         twin(GAMES, {f"{k}_avg_{n}g": avg(e, n) for n in (3, 5, 7, 10) for k, e in _ROLLED.items()}, "g"),

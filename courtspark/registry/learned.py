@@ -384,7 +384,7 @@ def score_games(spark, sf_dir):
     bundle, _ = total_bundle(spark, sf_dir, df)
     games = fixtures(df)
     rows = matchups.matchup_rows(games, df, TOTAL_BASE, ORDER).withColumnsRenamed(dict(zip(TOTAL_BASE, TOTAL_INPUTS, strict=True)))
-    long = bundle.score(rows)
+    long = stage(bundle.score(rows), "scored")  # read by the means, the mix and the confidence
     ensemble = ensembles.weighted_ensemble(long, bundle.notes["weights"])
     ruled = matchups.rule_predictor(games, df, ORDER).select(col("game_id").alias("id"), "rule_total")
     out = ensemble.join(ruled, "id").join(ensembles.ensemble_confidence(long).select("id", "confidence"), "id")
