@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from courtspark import fixed
 from courtspark.functions.scalars import col, fill, flag, ratio, with_scalar
@@ -24,17 +25,19 @@ def explode_props(
     player: str | None = None,
     team: str | None = None,
     prop: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Player markets of snapshot documents, one row per outcome.
 
-    ``prop`` is points, rebounds, assists or threes; an unknown one matches nothing.
+    ``prop`` is points, rebounds, assists or threes; an unknown one matches nothing. ``keep`` names columns
+    of the documents that go along. Points and prices may be doubles or variants.
     """
     # The outer form keeps Spark from testing the parsed document again in a filter; a document
     # without games has no bookmakers and drops out in the next step.
-    games = snapshots.select(F.explode_outer("data").alias("g"))
+    games = snapshots.select(*keep, F.explode_outer("data").alias("g"))
     about = [F.col(f"g.{c}").alias(c) for c in ("commence_time", "home_team", "away_team")]
-    books = games.select(*about, F.explode("g.bookmakers").alias("b"))
-    about = ["commence_time", "home_team", "away_team"]
+    books = games.select(*keep, *about, F.explode("g.bookmakers").alias("b"))
+    about = [*keep, "commence_time", "home_team", "away_team"]
     markets = books.select(*about, F.col("b.key").alias("book"), F.explode("b.markets").alias("m"))
     wanted = F.lower("m.key").contains("player")
     if prop is not None:
@@ -49,14 +52,16 @@ def explode_props(
         outcomes = outcomes.where(F.lower("o.team").contains(team.lower()))
     name = F.coalesce(F.col("o.name"), F.lit(""))
     lowered = F.lower(name)
+    point, price = (_number(F.col(f"o.{c}"), outcomes.schema["o"].dataType[c].dataType) for c in ("point", "price"))
     return outcomes.select(
+        *keep,
         name.alias("outcome"),
         F.regexp_replace(name, r"(?i)\s*(over|under)$", "").alias("player"),
         F.col("o.team").alias("team"),
         "prop_type",
-        F.col("o.point").alias("line"),
-        F.when(lowered.endswith("over"), F.col("o.price")).alias("over_price"),
-        F.when(lowered.endswith("under"), F.col("o.price")).alias("under_price"),
+        point.alias("line"),
+        F.when(lowered.endswith("over"), price).alias("over_price"),
+        F.when(lowered.endswith("under"), price).alias("under_price"),
         F.lower("book").alias("bookmaker"),
         F.try_to_timestamp(F.col("commence_time")).alias("game_time"),
         "home_team",
@@ -64,6 +69,11 @@ def explode_props(
     )
 
 
+def _number(x: Column, kind) -> Column:
+    """A double, also out of a variant that holds a number or its text; null for any other variant."""
+    return F.try_variant_get(x, "$", "double") if isinstance(kind, VariantType) else x
+
+
 def _names_target(prop_type: Column, target: str) -> Column:
     hit = F.lit(False)
     for word in fixed.PROP_SYNONYMS[target]:
@@ -78,13 +88,14 @@ def targets_of(prop_type: Column) -> Column:
     )
 
 
-def long_props(props: DataFrame) -> DataFrame:
+def long_props(props: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(player, target, line, side, bookmaker, price, game_time) with known prices only.
 
     The outer form keeps Spark from testing all synonyms in a filter first and then once more.
     """
     side = F.when(col("over_price").isNotNull(), "over").when(col("under_price").isNotNull(), "under")
     return props.select(
+        *keep,
         "player",
         F.explode_outer(targets_of(col("prop_type"))).alias("target"),
         "line",
@@ -161,6 +172,27 @@ def odds_long(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+TRACK = ("player", "target", "line", "side", "bookmaker")
+EXPIRY_HOURS = 12.0
+
+
+def line_tracks(prices: DataFrame, keys: Sequence[str] = TRACK, polled: str = "polled", expiry_hours: float = EXPIRY_HOURS) -> DataFrame:
+    """First and latest price, lowest, highest and number of polls of every line that is tracked. A line
+    that is not polled for ``expiry_hours`` is forgotten and begins anew. A poll gives one price per line;
+    repeated polls count once."""
+    known = prices.where(col(polled).isNotNull() & col("price").isNotNull())
+    once = known.groupBy(*keys, polled).agg(F.max("price").alias("price"))
+    in_order = Window.partitionBy(*[col(k) for k in keys]).orderBy(polled)
+    gap = F.unix_micros(polled) - F.lag(F.unix_micros(polled)).over(in_order)
+    new = F.when(gap <= int(expiry_hours * 3_600_000_000), 0).otherwise(1)
+    tracks = once.withColumn("_new", new).withColumn("track", F.sum("_new").over(in_order))
+    return tracks.groupBy(*keys, "track").agg(
+        F.count("*").alias("polls"), F.min(polled).alias("first_poll"), F.max(polled).alias("last_poll"),
+        F.min_by("price", polled).alias("first_price"), F.max_by("price", polled).alias("last_price"),
+        F.min("price").alias("low"), F.max("price").alias("high"),
+    )
+
+
 # ------------------------------------------------------------------ price statistics
 
 

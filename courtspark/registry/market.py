@@ -212,6 +212,27 @@ def snapshot_files(spark, sf_dir):
     return tidy(df.groupBy("last_update", "success").agg(F.count("*").alias("documents"), F.sum(F.size("data")).alias("games")))
 
 
+def rejected(spark, sf_dir):
+    """Documents of March cut off, those of April without games: kept apart with the reason, the others read."""
+    folder = f"{staging_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    month = F.regexp_extract("value", r'"last_update":"\d{4}-(\d\d)', 1)
+    cut = F.when(month == "03", F.expr("left(value, length(value) - 30)")).when(month == "04", F.replace("value", F.lit('"data"'), F.lit('"date"'))).otherwise(col("value"))
+    odds_documents(spark, sf_dir).select(cut.alias("value")).write.text(folder)
+    kept = odds_source.read_snapshots(spark, folder, f"{folder}-rejected")
+    apart = spark.read.parquet(f"{folder}-rejected").groupBy("reason").agg(F.count("*").alias("documents"))
+    return tidy(apart.unionByName(kept.agg(F.lit("none").alias("reason"), F.count("*").alias("documents"))))
+
+
+TRACKED = ["event_id", "target", "line", "side", "bookmaker"]
+
+
+def tracks(spark, sf_dir):
+    df = prices(spark, sf_dir).withColumn("polled", col("snapshot").cast("timestamp"))
+    out = markets.line_tracks(df, TRACKED, expiry_hours=24 * 7)
+    days = {f"{c}_poll": col(f"{c}_poll").cast("date") for c in ("first", "last")}
+    return tidy(out.withColumns(days))
+
+
 def fresh(spark, sf_dir):
     docs = odds_source.parse_snapshots(odds_documents(spark, sf_dir))
     df = odds_source.fresh_snapshots(docs, "1998-06-15 06:00:00", 24 * 365)
@@ -437,6 +458,19 @@ QUERIES = {
         snapshot_files,
         ask("", "SELECT strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS last_update, 1 AS success, count(*) AS documents, count(*) AS games FROM lineitem GROUP BY 1", "", "success, documents, games", "last_update"),
     ),
+    "src_odds_rejected": Query(
+        rejected,
+        ask("", """SELECT CASE month(l_shipdate) WHEN 3 THEN 'malformed' WHEN 4 THEN 'no games' ELSE 'none' END AS reason, count(*) AS documents FROM lineitem GROUP BY 1""", "", "documents", "reason"),
+    ),
+    "line_tracks": Query(
+        tracks,
+        ask(PRICES + """, once AS (SELECT event_id, target, line, side, bookmaker, snapshot, max(price) AS price FROM prices GROUP BY 1, 2, 3, 4, 5, 6),
+            gaps AS (SELECT *, CASE WHEN snapshot - lag(snapshot) OVER w <= 7 THEN 0 ELSE 1 END AS fresh FROM once WINDOW w AS (PARTITION BY event_id, target, line, side, bookmaker ORDER BY snapshot)),
+            numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY event_id, target, line, side, bookmaker ORDER BY snapshot) AS track FROM gaps)""",
+            """SELECT event_id, target, line, side, bookmaker, track, count(*) AS polls, min(snapshot) AS first_poll, max(snapshot) AS last_poll, min_by(price, snapshot) AS first_price,
+            max_by(price, snapshot) AS last_price, min(price) AS low, max(price) AS high FROM numbered GROUP BY 1, 2, 3, 4, 5, 6""",
+            "line, first_price, last_price, low, high", "event_id, track, polls", "target, side, bookmaker, first_poll, last_poll"),
+    ),
     "fresh_snapshot": Query(
         fresh,
         ask("", """SELECT strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS last_update, count(*) AS n FROM lineitem

@@ -78,13 +78,50 @@ def read_odds_file(spark: SparkSession, path: str, kind: str | None = None) -> D
     )
 
 
-def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """Saved snapshot documents, one per line, with the file each came from."""
-    return (
-        spark.read.schema(SNAPSHOT_SCHEMA)
-        .json(folder)
-        .withColumn("file", F.col("_metadata.file_name"))
-    )
+#: Points and prices come as numbers or as text, and are kept as they are until they are read.
+DRIFTING_SCHEMA = SNAPSHOT_SCHEMA.replace("point: double, price: double", "point: variant, price: variant")
+_CORRUPT = "_corrupt"
+
+
+def check_documents(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Documents out of JSON text, and ``reason``: null, or why a text is none. Other columns stay, the
+    text too. Texts of white space are no documents and are left out.
+
+    A cut or malformed text, one whose fields have other types, and one without a list of games is rejected."""
+    kept = texts.where(F.trim(col(column)) != "")
+    schema = f"{DRIFTING_SCHEMA}, {_CORRUPT} string"
+    parsed = kept.withColumn("_d", F.from_json(col(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
+    reason = F.when(col("_d").isNull() | col("_d")[_CORRUPT].isNotNull(), "malformed").when(col("_d")["data"].isNull(), "no games")
+    return parsed.select(*texts.columns, reason.alias("reason"), "_d.success", "_d.last_update", "_d.data")
+
+
+def good_documents(checked: DataFrame) -> DataFrame:
+    """The documents that were not rejected."""
+    return checked.where(col("reason").isNull()).drop("reason")
+
+
+def rejected_documents(checked: DataFrame, column: str = "value") -> DataFrame:
+    """file, reason and text of what was rejected."""
+    return checked.where(col("reason").isNotNull()).select("file", "reason", col(column).alias("document"))
+
+
+def read_snapshot_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of saved snapshot files (value), with the file each came from."""
+    return spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("file"))
+
+
+def read_snapshots(spark: SparkSession, folder: str, quarantine: str | None = None) -> DataFrame:
+    """Saved snapshot documents, one per line, with the file each came from.
+
+    With ``quarantine`` rejected texts are appended to that table, with their file and reason; without it the first
+    one is an error. None is ever left out silently."""
+    checked = check_documents(read_snapshot_texts(spark, folder))
+    if quarantine is not None:
+        rejected_documents(checked).write.mode("append").parquet(quarantine)
+        return good_documents(checked).select("success", "last_update", "data", "file")
+    told = F.raise_error(F.concat(F.lit("rejected snapshot in "), col("file"), F.lit(": "), col("reason")))
+    data = F.when(col("reason").isNull(), col("data")).otherwise(told.cast(checked.schema["data"].dataType))
+    return checked.select("success", "last_update", data.alias("data"), "file")
 
 
 def parse_snapshots(texts: DataFrame, column: str = "value") -> DataFrame:
