@@ -17,9 +17,11 @@ too few, the document joins one last key of its band.
 Tokens that are common in the corpus are counted over all documents; only those above a fixed share
 of all tokens are kept, so their number is bounded. They only order the keys.
 
-*Links to components.* Documents with equal sets are one node. In a key's group each node is first
-compared with one pivot, and in a few more rounds with another one; links form components, so that
-groups of near copies fall together. What is left is every pair of nodes of a group that are not yet in
+*Links to components.* Documents with equal sets are one node, and only one of them makes keys. In a key's
+group each node is first compared with one pivot. In each of a few more rounds it is compared with the
+best connected node of one of the group's components, the node whose keys have the most sets: in a family of near copies that
+is the one that was changed least, to which the others are closest. Links form components, so that
+families fall together. What is left is every pair of nodes of a group that are not yet in
 one component. Their *parities* rule out most of them: bit i of a set's
 parity says whether an odd number of its tokens falls on i, so two parities differ in no more bits
 than the sets in tokens. The rest is compared exactly, by intersecting the whole token sets. Groups of common keys are dealt out by node, so that no key fills a task.
@@ -36,7 +38,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtspark.llm.common import row_hash, small_batches, stage
@@ -52,8 +54,8 @@ COMMON = 1e-6
 KEYS_PER_GROUP, LEAST_GROUPS = 1_000_000, 64
 #: Groups of keys made of common tokens only are split into so many parts.
 SPLIT = 16
-#: Rounds in which every node of a key meets one other node before the exact pairs.
-ROUNDS = 3
+#: Rounds in which every node of a key meets the best connected node of a component before the exact pairs.
+ROUNDS = 2
 #: Bits of the filter that finds the texts to read again; a full filter only lets more pass.
 FILTER_BITS = 1 << 26
 #: Largest parity of a set; for larger sets it only rules out less.
@@ -185,14 +187,20 @@ def _sizes(n: int):
     return run
 
 
-def _keys(common: np.ndarray, groups: int, n: int, percent: int, load: float):
-    """part, sig, n, keys (bytes): the keys of a document that go to one part."""
+def _picked(batch: pa.RecordBatch, bits: np.ndarray) -> pa.Array:
+    """Texts of the rows that are in a filter."""
+    at = np.asarray(batch.column("at"))
+    return batch.column("text").take(pa.array(np.flatnonzero((bits[at // 64] >> (at % 64)) & 1)))
+
+
+def _keys(bits: np.ndarray, common: np.ndarray, groups: int, n: int, percent: int, load: float):
+    """part, sig, n, keys (bytes): the keys of a document in the filter that go to one part."""
 
     def run(batches):
         words = _Words()
         for batch in batches:
             parts, sigs, sizes, blobs = [], [], [], []
-            for text in batch.column("text"):
+            for text in _picked(batch, bits):
                 tokens = shingles(text.as_py(), words, n)
                 if not len(tokens):
                     continue
@@ -283,10 +291,7 @@ def _sets(bits: np.ndarray, n: int):
     def run(batches):
         words = _Words()
         for batch in batches:
-            at = np.asarray(batch.column("at"))
-            pick = np.flatnonzero((bits[at // 64] >> (at % 64)) & 1)
-            texts = batch.column("text").take(pa.array(pick))
-            got = [shingles(t.as_py(), words, n) for t in texts]
+            got = [shingles(t.as_py(), words, n) for t in _picked(batch, bits)]
             marks = [parity(t) for t in got]
             halves = [m[: len(m) // 2] ^ m[len(m) // 2 :] if len(m) > 1 else m for m in marks]
             columns = [pa.array([signature(t) for t in got], pa.int64()), pa.array([len(t) for t in got], pa.int64()), pa.array([t.tobytes() for t in got], pa.binary())]
@@ -331,7 +336,10 @@ def jaccard_components(
     percent: int = PERCENT,
     load: float = LOAD,
 ) -> DataFrame:
-    """One row per document: doc_id, row_hash, n_shingles, component_id."""
+    """One row per document: doc_id, row_hash, n_shingles, component_id. ``percent`` is 50 at least, as parities
+    of sets that differ more in size are not compared."""
+    if percent < 50:
+        raise ValueError(f"percent is {percent}, at least 50 is needed")
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row_hash", row_hash(F.col("text")))
     six = "doc_id long, row_hash long, sig long, n long, token long, times long"
     first = stage(texts.mapInArrow(_sizes(n), six), "sizes")
@@ -340,8 +348,13 @@ def jaccard_components(
     often = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= max(4.0, COMMON * total))
     common = np.sort(np.array([r[0] for r in often.select("token").collect()], np.int64).view(np.uint64))  # at most 1 / COMMON
 
+    # equal sets are one node, and one of its rows makes the keys
+    nodes = sized.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_hash")).alias("rep"))
+    nodes = stage(nodes.select(_node("sig", "n").alias("node"), "least", "rep.doc_id", "rep.row_hash"), "nodes")
+    at = F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(FILTER_BITS))
+    placed = texts.select(at.alias("at"), "text")
     groups = max(LEAST_GROUPS, -(-total * 2 // 5 // KEYS_PER_GROUP))
-    keyed = texts.mapInArrow(_keys(common, groups, n, percent, load), "part long, sig long, n long, keys binary")
+    keyed = placed.mapInArrow(_keys(_bits(nodes, FILTER_BITS), common, groups, n, percent, load), "part long, sig long, n long, keys binary")
     met = keyed.groupBy("part").applyInArrow(_meetings, "key long, sig long, n long, pivot long, pivot_n long")
     met = stage(met.select("key", _node("sig", "n").alias("node"), _node("pivot", "pivot_n").alias("pivot")), "met")
 
@@ -352,28 +365,28 @@ def jaccard_components(
     own = met.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
     pairs = stage(_pairs("node", "pivot", own).unionByName(across).where(_size_fits(percent)).distinct(), "pairs")
 
-    nodes = sized.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_hash")).alias("rep"))
-    nodes = stage(nodes.select(_node("sig", "n").alias("node"), "least", "rep.doc_id", "rep.row_hash"), "nodes")
     # keys of one set are dropped, and all but one of the keys that the same sets have
     who = [F.count("*").alias("sets"), F.bit_xor(F.xxhash64("node")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("who_else")]
-    shared = met.groupBy("key").agg(*who).where("sets > 1").groupBy("sets", "who", "who_else").agg(F.min("key").alias("key")).select("key")
-    met = stage(met.join(shared, "key").select("key", "node"), "met")
+    shared = met.groupBy("key").agg(*who).where("sets > 1").groupBy("sets", "who", "who_else").agg(F.min("key").alias("key")).select("key", "sets")
+    met = stage(met.join(shared, "key").select("key", "node", "sets"), "met")
     wanted = met.select("node").distinct().join(nodes, "node").select("doc_id", "row_hash")
-    bits = _bits(wanted, FILTER_BITS)
-    at = F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(FILTER_BITS))
-    sets = texts.select(at.alias("at"), "text").mapInArrow(_sets(bits, n), "sig long, n long, tokens binary, mark array<bigint>, half array<bigint>")
+    sets = placed.mapInArrow(_sets(_bits(wanted, FILTER_BITS), n), "sig long, n long, tokens binary, mark array<bigint>, half array<bigint>")
     sets = stage(sets.dropDuplicates(["sig", "n"]), "sets")
 
-    marks = sets.select(_node("sig", "n").alias("node"), "mark", "half")
+    # how well a node is connected: the sets of all its keys
+    scores = met.groupBy("node").agg(F.sum("sets").alias("score"))
+    marks = stage(sets.select(_node("sig", "n").alias("node"), "mark", "half").join(scores, "node"), "marks")
     fits = F.expr(f"{percent} * greatest(x.node.n, y.node.n) <= 100 * least(x.node.n, y.node.n)") & _marks_fit(percent)
     comp = _merged(None, _linked(pairs, sets, percent))
-    for seed in (*range(1, ROUNDS + 1), None):
+    for place in (*range(1, ROUNDS + 1), None):
         left = met.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         mixed = left.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more").select("key")
         left = stage(left.join(mixed, "key").join(marks, "node"), "left")
-        if seed:  # every node of a key meets one node, another one in each round
-            pick = F.min_by(F.struct("node", "component", "mark", "half"), F.xxhash64(F.lit(seed), "node"))
-            other = left.groupBy("key").agg(pick.alias("p")).select("key", "p.*")
+        if place:  # every node of a key meets the best connected node of one component, of another one in each round
+            best = F.struct("score", "node")
+            tops = left.groupBy("key", "component").agg(F.max(best).alias("best"), F.max_by(F.struct("node", "mark", "half"), best).alias("p"))
+            ranked = tops.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("best"))))
+            other = ranked.where(F.col("place") == place).select("key", "component", "p.*")
             apart = F.col("x.component") != F.col("y.component")
         else:  # every pair of a key that is not yet in one component
             other, apart = left, F.col("x.component") < F.col("y.component")
