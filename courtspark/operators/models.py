@@ -26,7 +26,7 @@ from courtspark.functions.scalars import col, with_scalar
 from courtspark.operators import evaluation
 from courtspark.operators.cleaning import fill_missing, fills_by_median
 from courtspark.operators.loading import check_trainable
-from courtspark.operators.splits import by_row_fraction, stratified
+from courtspark.operators.splits import by_row_fraction, fold_plan, stratified
 from courtspark.plans.ordering import row_index
 from courtspark.sources.staging import stage
 
@@ -54,6 +54,8 @@ POSITIVE_WEIGHT = 12.0
 META_POSITIVE_WEIGHT = 15.0
 SEARCH_SPACE = {"maxIter": (20, 30, 40), "maxDepth": (3, 4, 5), "stepSize": (0.02, 0.03, 0.05), "subsamplingRate": (0.7, 0.8)}
 SWEEP_TREES = tuple(range(50, 201, 25))
+# fixed values: folds that a stack's base predictions come from
+STACK_PLANS = {"points": ("blocks", 7), "win": ("stratified", 3), "double": ("stratified", 3)}
 SEED = 42
 #: Fits that are submitted to Spark at a time; each is a distributed job of its own.
 FITS_AT_ONCE = 4
@@ -183,23 +185,49 @@ def early_stopped_boosting(train: DataFrame, validation: DataFrame, level: str =
     return model, model.getNumTrees
 
 
+def prefix_votes(forest, df: DataFrame, sizes: Sequence[int], keep: Sequence[str], step: int = 25) -> DataFrame:
+    """``keep`` and, for every size n, the mean vote of the forest's first n trees for class 1 (``first_n``): what a forest
+    cut off after n trees gives.
+
+    Every tree scores a row once. Trees are taken ``step`` at a time, and their votes are added to a running sum, so
+    a row carries one number and the wanted means."""
+    trees = forest.trees[: max(sizes)]
+    if max(sizes) > len(trees):
+        raise ValueError(f"{max(sizes)} trees wanted, the forest has {len(trees)}")
+    marks = sorted({*sizes, *range(0, len(trees), step), len(trees)})
+    names = list(keep)
+    out = df.select(*[col(c) for c in dict.fromkeys([*keep, "features"])]).withColumn("_votes", F.lit(0.0))
+    for a, b in zip(marks, marks[1:], strict=False):
+        scored, votes = out, col("_votes")
+        for i in range(a, b):
+            tree = trees[i].setPredictionCol("").setProbabilityCol(f"_t{i}").setRawPredictionCol("")
+            scored = tree.transform(scored)
+            votes = votes + vector_to_array(col(f"_t{i}"))[1]
+        columns = [col(c) for c in dict.fromkeys([*names, "features"])]
+        out = scored.select(*columns, votes.alias("_votes"))
+        if b in sizes:
+            out = out.withColumn(f"first_{b}", col("_votes") / b)
+            names.append(f"first_{b}")
+    return out.select(*[col(c) for c in dict.fromkeys(names)])
+
+
 def forest_sweep(train: DataFrame, validation: DataFrame, sizes: Sequence[int] = SWEEP_TREES, level: str = "win"):
-    """Forests of growing size; the smallest with the best validation AUC."""
-    best, chosen, tried, s = -1.0, None, [], LEVELS[level]
-    forests = [
-        RandomForestClassifier(
-            featuresCol="features", labelCol="y", numTrees=n, maxDepth=s["forest_depth"],
-            minInstancesPerNode=s["forest_leaf"], seed=SEED,
-        )
-        for n in sizes
-    ]
-    for n, model in zip(sizes, _together([lambda f=f: f.fit(train) for f in forests]), strict=True):
-        scored = predict_probability(model, validation, "forest")
+    """One forest of the largest size and the validation AUC of each of its first n trees. Gives the forest, the smallest
+    n with the best AUC and (n, AUC) of all."""
+    s = LEVELS[level]
+    forest = RandomForestClassifier(
+        featuresCol="features", labelCol="y", numTrees=max(sizes), maxDepth=s["forest_depth"],
+        minInstancesPerNode=s["forest_leaf"], seed=SEED,
+    ).fit(train)
+    votes = stage(prefix_votes(forest, validation, sizes, ["y"]), "votes")
+    best, chosen, tried = -1.0, None, []
+    for n in sorted(sizes):
+        scored = votes.select(col("y").cast("int").alias("y_true"), col(f"first_{n}").alias("y_proba"))
         auc = evaluation.auc(scored).first()["auc_roc"]
         tried.append((n, auc))
         if auc > best + 1e-4:
-            best, chosen = auc, model
-    return chosen, tried
+            best, chosen = auc, n
+    return forest, chosen, tried
 
 
 def class_weights(df: DataFrame, label: str, positive: float | str = POSITIVE_WEIGHT) -> DataFrame:
@@ -279,27 +307,32 @@ def _chain(models: Mapping[str, object], df: DataFrame, probability: bool) -> Da
 
 
 def out_of_fold(
-    train: DataFrame, estimators: Mapping[str, object], folds: int = 7, key: str = "game_id", probability: bool = False
+    train: DataFrame, estimators: Mapping[str, object], plan: tuple[str, int] = STACK_PLANS["points"], key: str = "game_id",
+    probability: bool = False, order: Sequence[str] = ("Date", "game_id"),
 ) -> DataFrame:
-    """Base predictions of every training row from models that have not seen it."""
-    folded = train.withColumn("_fold", F.pmod(F.xxhash64(col(key)), F.lit(folds)))
+    """Base predictions of every training row from models that have not seen it, and the ``fold`` it was in."""
+    kind, folds = plan
+    # the plan names a fold per row once, written; fits and scores only filter it
+    names = stage(fold_plan(train.select(*dict.fromkeys([key, "y", *order])), kind, folds, order, "y", key).select(key, "fold"), "folds")
+    folded = stage(train.join(names, key), "folded")
     pairs = [(k, n) for k in range(folds) for n in estimators]
-    fitted = dict(zip(pairs, _together([lambda k=k, n=n: estimators[n].fit(folded.where(col("_fold") != k)) for k, n in pairs]), strict=True))
+    fitted = dict(zip(pairs, _together([lambda k=k, n=n: estimators[n].fit(folded.where(col("fold") != k)) for k, n in pairs]), strict=True))
     parts = []
     for k in range(folds):
-        parts.append(_chain({n: fitted[k, n] for n in estimators}, folded.where(col("_fold") == k), probability))
+        parts.append(_chain({n: fitted[k, n] for n in estimators}, folded.where(col("fold") == k), probability))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.drop("_fold")
+    return out
 
 
 def fit_stack(
-    prepared: Prepared, estimators: Mapping[str, object], folds: int = 7, key: str = "game_id", probability: bool = False
+    prepared: Prepared, estimators: Mapping[str, object], plan: tuple[str, int] = STACK_PLANS["points"], key: str = "game_id",
+    probability: bool = False, order: Sequence[str] = ("Date", "game_id"),
 ):
     """Meta-model on out-of-fold predictions, and the base models fitted on all training rows."""
     names = [f"base_{n}" for n in estimators]
-    oof = out_of_fold(prepared.train, estimators, folds, key, probability).select(key, "y", *names)
+    oof = out_of_fold(prepared.train, estimators, plan, key, probability, order).select(key, "y", *names)
     table = class_weights(stage(oof, "stack"), "y", META_POSITIVE_WEIGHT)
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(table)
     if probability:

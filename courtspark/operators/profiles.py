@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import col, pearson, ratio
 from courtspark.plans.history import with_history
+from courtspark.plans.products import pairwise_correlations
 from courtspark.plans.sizes import row_count
 
 
@@ -76,8 +78,18 @@ def player_consistency(
     return low.unionByName(high)
 
 
+PAIRS = 60  # pairs that are worth an expression each; more of them take one matrix product
+
+
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson r of many column pairs in one aggregate, as rows (a, b, r)."""
+    """Pearson r of many column pairs, as rows (a, b, r), from one aggregate or one matrix product."""
+    if len(pairs) > PAIRS:
+        names = list(dict.fromkeys(n for pair in pairs for n in pair))
+        at = {n: i for i, n in enumerate(names)}
+        r = pairwise_correlations(df, names)
+        values = [(a, b, float(r[at[a], at[b]])) for a, b in pairs]  # one number per pair
+        rows = [(a, b, None if math.isnan(v) else v) for a, b, v in values]
+        return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
     row = df.agg(*[pearson(col(a), col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     items = F.array(
         *[

@@ -107,6 +107,28 @@ def stratified_folds(
     )
 
 
+def block_folds(
+    df: DataFrame, order: Sequence[str], folds: int, limit: int | None = None
+) -> DataFrame:
+    """``fold``: contiguous blocks of the ordered rows, the first ones a row longer where it does not come out even."""
+    rows = row_index(df, [col(c) for c in order], "_row_ix", limit)
+    n = row_count(df.select(*[col(c) for c in order]))
+    size, longer = divmod(n, folds)
+    head = longer * (size + 1)
+    in_head = F.floor(col("_row_ix") / (size + 1))
+    in_tail = F.lit(longer) + F.floor((col("_row_ix") - head) / max(size, 1))
+    return rows.withColumn("fold", F.when(col("_row_ix") < head, in_head).otherwise(in_tail).cast("int")).drop("_row_ix")
+
+
+def fold_plan(df: DataFrame, kind: str, folds: int, order: Sequence[str] = ("Date", "game_id"), label: str = "y", key: str = "game_id") -> DataFrame:
+    """Adds ``fold`` by a named plan: 'blocks' in order, or 'stratified' by class, shuffled by a hash of the key."""
+    if kind == "blocks":
+        return block_folds(df, order, folds)
+    if kind == "stratified":
+        return stratified_folds(df, label, key, folds)
+    raise ValueError(f"no fold plan {kind!r}")
+
+
 def expanding_bounds(n: int, folds: int = 5, first: float = 0.6, width: float = 0.2) -> list[tuple[int, int]]:
     """(end of train = start of validation, end of validation) per fold; empty folds dropped."""
     base = int(n * first)

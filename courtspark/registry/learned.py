@@ -162,7 +162,7 @@ def early(spark, sf_dir):
 
 def sweep(spark, sf_dir):
     p = prepared(spark, sf_dir, "is_win", shuffled=True)
-    _, tried = models.forest_sweep(p.train, p.validation)
+    _, _, tried = models.forest_sweep(p.train, p.validation)
     items = F.array(*[F.struct(F.lit(n).alias("trees"), F.lit(a).alias("auc")) for n, a in tried])
     return tidy(p.validation.agg(F.count("*").alias("rows")).select("rows", F.inline(items)))
 
@@ -183,10 +183,21 @@ def stacking(spark, sf_dir):
 def stacking_win(spark, sf_dir):
     p = prepared(spark, sf_dir, "is_win", shuffled=True)
     bases = {n: e for n, e in models.classifiers("win").items() if n in ("forest", "logistic")}
-    meta, fitted = models.fit_stack(p, bases, probability=True)
+    meta, fitted = models.fit_stack(p, bases, models.STACK_PLANS["win"], probability=True, order=ORDER)
     return tidy(evaluation.grouped_classification(models.predict_stack(meta, fitted, p.validation, probability=True), ["model"]))
 
 
+def fold_plans(spark, sf_dir):
+    """Rows and share of wins of every fold of the three plans."""
+    df = scores(spark, sf_dir).select("game_id", "Date", col("is_win").alias("y"))
+    out = None
+    for target, (kind, folds) in models.STACK_PLANS.items():
+        part = splits.fold_plan(df, kind, folds, ORDER).groupBy("fold").agg(F.count("*").alias("rows"), F.sum("y").alias("wins"))
+        part = part.withColumn("target", F.lit(target))
+        out = part if out is None else out.unionByName(part)
+    return tidy(out)
+
+
 def search(spark, sf_dir):
     p = prepared(spark, sf_dir)
     _, tried = models.random_search(p.train)
@@ -515,6 +526,14 @@ QUERIES = {
     "train_elastic": Query(linear("elastic")),
     "train_logistic": Query(classifier_report(("logistic",))),
     "stacking": Query(stacking),
+    "fold_plans": Query(
+        fold_plans,
+        ask(GAMES + """, k AS (SELECT game_id, is_win, row_number() OVER (ORDER BY "Date", game_id) - 1 AS ix, count(*) OVER () AS n,
+              row_number() OVER (PARTITION BY is_win ORDER BY md5('42-' || game_id), game_id) - 1 AS place FROM g),
+            b AS (SELECT *, n // 7 AS size, n % 7 AS longer FROM k)""",
+            """SELECT 'points' AS target, CASE WHEN ix < longer * (size + 1) THEN ix // (size + 1) ELSE longer + (ix - longer * (size + 1)) // size END AS fold, count(*) AS rows, sum(is_win) AS wins FROM b GROUP BY 2
+            UNION ALL SELECT t, place % 3, count(*), sum(is_win) FROM k, (VALUES ('win'), ('double')) AS v(t) GROUP BY 1, 2""", "", "fold, rows, wins", "target"),
+    ),
     "stacking_classifier": Query(stacking_win),
     "random_search": Query(search),
     "permutation_importance": Query(permuted),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import col
-from courtspark.operators import ensembles, evaluation, matchups, models
+from courtspark.operators import ensembles, evaluation, matchups, models, splits
 from courtspark.sources.staging import staging_folder
 
 NAMES = ["a", "b", "noise"]
@@ -37,7 +37,7 @@ def test_models_beat_the_mean_and_stack(prepared):
     chosen = {n: e for n, e in models.regressors("points", 8, 960).items() if n in ("forest", "ridge")}
     scored = models.predict_all(models.fit_all(prepared, chosen), prepared).where("split = 'validation'")
     assert all(r["r2"] > 0.8 for r in evaluation.regression_metrics(scored, ["model"]).collect())
-    meta, bases = models.fit_stack(prepared, chosen, folds=2)
+    meta, bases = models.fit_stack(prepared, chosen, ("blocks", 2))
     stacked = evaluation.regression_metrics(models.predict_stack(meta, bases, prepared.validation)).first()
     assert stacked["r2"] > 0.9
 
@@ -139,3 +139,48 @@ def test_matchups_of_past_games_look_back_only(spark):
 
         assert got[g]["PTS"] == pytest.approx(mean(team, 5) + mean(opp, 5))
         assert got[g]["FG%"] == pytest.approx((mean(team, 6) + mean(opp, 6)) / 2) and got[g]["is_home"] == home
+
+
+def test_sweep_values_are_those_of_cut_off_forests(table):
+    p = models.prepare(table, NAMES, "win", shuffled=True)
+    forest, chosen, tried = models.forest_sweep(p.train, p.validation, (2, 3, 7))
+    assert [n for n, _ in tried] == [2, 3, 7] and chosen in (2, 3, 7) and forest.getNumTrees == 7
+    got = {r["game_id"]: r for r in models.prefix_votes(forest, p.validation, (2, 3, 7), ["game_id"], step=3).collect()}
+    rows = p.validation.select("game_id", "features").limit(40).collect()
+    trees = forest.trees
+    for r in rows:
+        votes = [t.predictProbability(r["features"])[1] for t in trees]
+        for n in (2, 3, 7):
+            assert got[r["game_id"]][f"first_{n}"] == pytest.approx(sum(votes[:n]) / n)
+        assert got[r["game_id"]]["first_7"] == pytest.approx(forest.predictProbability(r["features"])[1])
+    with pytest.raises(ValueError):
+        models.prefix_votes(forest, p.validation, (8,), ["game_id"])
+
+
+@pytest.mark.parametrize("plan", [("blocks", 7), ("stratified", 3)])
+def test_no_row_is_predicted_by_a_model_that_saw_it(table, plan):
+    """A tree deep enough to know every row by its id gives each training row's own value back."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    known = table.limit(200).withColumn("own", col("game_id").cast("double")).withColumn("target", F.rand(9) * 1000)
+    p = models.prepare(known, ["own"], "target", share=0.99)
+    train = p.train.withColumn("value", col("y")).withColumn("y", (col("game_id") % 2).cast("double")) if plan[0] == "stratified" else p.train
+    tree = {"tree": DecisionTreeRegressor(featuresCol="features", labelCol="y", maxDepth=12, maxBins=256)}
+    scored = models.out_of_fold(train, tree, plan).cache()
+    n = train.count()
+    assert scored.count() == n and scored.select("game_id").distinct().count() == n
+    assert scored.select("fold").distinct().count() == plan[1]
+    folds = scored.groupBy("fold").agg(F.count("*").alias("n"), F.avg("y").alias("share"), F.min("game_id").alias("a"), F.max("game_id").alias("b")).orderBy("fold").collect()
+    assert max(f["n"] for f in folds) - min(f["n"] for f in folds) <= (1 if plan[0] == "blocks" else 2)
+    if plan[0] == "blocks":
+        assert all(x["b"] < y["a"] for x, y in zip(folds, folds[1:]))  # in time order
+        assert scored.where(F.abs(col("base_tree") - col("y")) < 1e-9).count() <= 2
+    else:
+        assert all(abs(f["share"] - 0.5) < 0.02 for f in folds)
+
+
+def test_fold_plans_by_name(table):
+    with pytest.raises(ValueError):
+        splits.fold_plan(table, "hashed", 3)
+    sizes = splits.block_folds(table.limit(10), ["game_id"], 4).groupBy("fold").count().orderBy("fold").collect()
+    assert [r["count"] for r in sizes] == [3, 3, 2, 2]
