@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from courtspark import fixed, views
 from courtspark.functions import shooting, situation
 from courtspark.functions.scalars import col
-from courtspark.operators import cleaning, features, loading, profiles, selection
+from courtspark.operators import cleaning, features, loading, neighbours, profiles, selection
 from courtspark.registry.entry import Query, ask, tidy
 from courtspark.registry.history import ORDER, PLAYER_ORDER, box, scores
 from courtspark.registry.rows import _direct, _mean3
@@ -240,6 +240,10 @@ def score_parts(spark, sf_dir):
     return tidy(df.agg(F.count("*").alias("rows")).select("rows", F.inline(items)))
 
 
+def information(spark, sf_dir):
+    return tidy(neighbours.neighbour_information(double_log(spark, sf_dir), "double_double", ["PTS", "TRB", "AST", "MP"]))
+
+
 def betting(spark, sf_dir):
     df = player_games(spark, sf_dir).withColumns(
         {"PTS_over_20_prob_5": col("PTS") / 100, "PTS_volatility_5": col("TRB"), "height": F.when(col("game_id") % 2 == 0, col("MP")), "minutes_load": col("PTS") + col("MP")}
@@ -473,6 +477,18 @@ QUERIES = {
             mi AS (SELECT feature, sum(c / n * ln(c * n / (pb * py))) AS information FROM j GROUP BY 1)""",
             "SELECT (SELECT count(*) FROM double_log) AS rows, feature, f_score, information FROM f JOIN mi USING (feature)", "f_score, information", "rows", "feature"),
     ),
+    "neighbour_information": Query(
+        information,
+        ask(DOUBLE_LOG + ", v AS (" + " UNION ALL ".join(f"""SELECT '{n}' AS feature, game_id, double_double AS y, "{n}"::DOUBLE AS x FROM double_log""" for n in ("PTS", "TRB", "AST", "MP")) + """),
+            r AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS size, lag(x, 1) OVER w AS b1, lag(x, 2) OVER w AS b2, lag(x, 3) OVER w AS b3, lead(x, 1) OVER w AS a1, lead(x, 2) OVER w AS a2, lead(x, 3) OVER w AS a3
+              FROM v WINDOW w AS (PARTITION BY feature, y ORDER BY x, game_id)),
+            d AS (SELECT *, list_min([a3 - x, CASE WHEN b1 IS NOT NULL AND a2 IS NOT NULL THEN greatest(x - b1, a2 - x) END, CASE WHEN b2 IS NOT NULL AND a1 IS NOT NULL THEN greatest(x - b2, a1 - x) END, x - b3]) AS radius FROM r),
+            e AS (SELECT *, CASE WHEN radius = 0 THEN 0 ELSE radius - 1e-12::DOUBLE * (abs(x) + radius) END AS within FROM d),
+            m AS (SELECT *, count(*) OVER (PARTITION BY feature ORDER BY x RANGE BETWEEN within PRECEDING AND within FOLLOWING) AS inside FROM e),
+            h AS (SELECT i AS n, sum(1 / i::DOUBLE) OVER (ORDER BY i) - 1 / i::DOUBLE - 0.5772156649015329::DOUBLE AS psi FROM range(1, (SELECT count(*) + 1 FROM double_log)) AS t(i))""",
+            """SELECT feature, greatest(0, (SELECT psi FROM h WHERE n = (SELECT count(*) FROM double_log)) + (SELECT psi FROM h WHERE n = 3) - avg(s.psi) - avg(t.psi)) AS information
+            FROM m JOIN h s ON s.n = size JOIN h t ON t.n = inside GROUP BY feature""", "information", "", "feature"),
+    ),
     "betting_features": Query(
         betting, _named("events", ["PTS_over_20_prob_5", "minutes_load", "PTS_volatility_5", "TRB", "AST"]),
     ),
