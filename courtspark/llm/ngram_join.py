@@ -17,8 +17,8 @@ too few, the document joins one last key of its band.
 Tokens that are common in the corpus are counted over all documents; only those above a fixed share
 of all tokens are kept, so their number is bounded. They only order the keys.
 
-*Links to components.* Documents with equal sets are one node, and only one of them makes keys. In a key's
-group each node is first compared with one pivot. In each of a few more rounds it is compared with the
+*Links to components.* Documents with equal sets are one node, and only one of them makes keys. In each of
+a few rounds every node of a key's group is compared with the
 best connected node of one of the group's components, the node whose keys have the most sets: in a family of near copies that
 is the one that was changed least, to which the others are closest. Links form components, so that
 families fall together. What is left is every pair of nodes of a group that are not yet in
@@ -58,6 +58,8 @@ SPLIT = 16
 ROUNDS = 2
 #: Bits of the filter that finds the texts to read again; a full filter only lets more pass.
 FILTER_BITS = 1 << 26
+#: Nodes, of 16 bytes each, whose list may be sent to all tasks; a longer one is joined.
+LISTED = 1_000_000
 #: Largest parity of a set; for larger sets it only rules out less.
 PARITY_BITS = 8192
 _FLUSH = 2_000_000
@@ -221,8 +223,8 @@ def _keys(bits: np.ndarray, common: np.ndarray, groups: int, n: int, percent: in
 
 
 def _meetings(table: pa.Table) -> pa.Table:
-    """Rows of keys that at least two different sets have, with the key's smallest set as pivot;
-    keys that may go on in other parts keep their single rows too."""
+    """Rows of keys that at least two different sets have; keys that may go on in other parts keep their
+    single rows too."""
     blobs = table.column("keys").to_pylist()
     keys = np.frombuffer(b"".join(blobs), np.uint64)
     reps = np.array([len(b) // 8 for b in blobs])
@@ -241,27 +243,14 @@ def _meetings(table: pa.Table) -> pa.Table:
         once = np.zeros(len(first), bool)
         once[one] = True
         keep = np.repeat(((count > 1) & once) | split, count)
-        at = np.repeat(first, count)[keep]
-        pivot, pivot_n = sig[at], size[at]
         keys, sig, size = keys[keep], sig[keep], size[keep]
-    else:
-        pivot, pivot_n = sig, size
-    return pa.table({"key": keys.view(np.int64), "sig": sig.astype(np.int64), "n": size.astype(np.int64), "pivot": pivot.astype(np.int64), "pivot_n": pivot_n.astype(np.int64)})
+    return pa.table({"key": keys.view(np.int64), "sig": sig.astype(np.int64), "n": size.astype(np.int64)})
 
 
 def _node(sig: str, n: str):
     return F.struct(F.col(sig).alias("sig"), F.col(n).alias("n"))
 
 
-def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
-    """Distinct unordered pairs of nodes whose sizes allow a link."""
-    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b")
-
-
-def _size_fits(percent: int):
-    return f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n)"
-
-
 def _marks_fit(percent: int) -> Column:
     """The parities of a and b differ in no more bits than similar sets can."""
     more = "if(size(x.mark) > size(y.mark), x.half, x.mark)", "if(size(y.mark) > size(x.mark), y.half, y.mark)"
@@ -313,6 +302,9 @@ def _verify(percent: int):
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     s = sets.select(_node("sig", "n").alias("node"), "tokens")
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    # few nodes are looked at in a round: a small list of them keeps the others' tokens out of the shuffle
+    s = s.join(F.broadcast(wanted) if wanted.count() <= LISTED else wanted, "node", "left_semi")
     rows = pairs.join(s.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     rows = rows.join(s.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     kind = "a struct<sig:bigint,n:bigint>, b struct<sig:bigint,n:bigint>"
@@ -355,15 +347,8 @@ def jaccard_components(
     placed = texts.select(at.alias("at"), "text")
     groups = max(LEAST_GROUPS, -(-total * 2 // 5 // KEYS_PER_GROUP))
     keyed = placed.mapInArrow(_keys(_bits(nodes, FILTER_BITS), common, groups, n, percent, load), "part long, sig long, n long, keys binary")
-    met = keyed.groupBy("part").applyInArrow(_meetings, "key long, sig long, n long, pivot long, pivot_n long")
-    met = stage(met.select("key", _node("sig", "n").alias("node"), _node("pivot", "pivot_n").alias("pivot")), "met")
-
-    # one pivot for a split key: the pivots of its parts meet the smallest of them
-    tops = met.where("key & 1 = 1").select("key", "pivot").distinct()
-    top = tops.groupBy("key").agg(F.min("pivot").alias("top"))
-    across = _pairs("pivot", "top", tops.join(top, "key"))
-    own = met.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
-    pairs = stage(_pairs("node", "pivot", own).unionByName(across).where(_size_fits(percent)).distinct(), "pairs")
+    met = keyed.groupBy("part").applyInArrow(_meetings, "key long, sig long, n long")
+    met = stage(met.select("key", _node("sig", "n").alias("node")), "met")
 
     # keys of one set are dropped, and all but one of the keys that the same sets have
     who = [F.count("*").alias("sets"), F.bit_xor(F.xxhash64("node")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("who_else")]
@@ -377,19 +362,26 @@ def jaccard_components(
     scores = met.groupBy("node").agg(F.sum("sets").alias("score"))
     marks = stage(sets.select(_node("sig", "n").alias("node"), "mark", "half").join(scores, "node"), "marks")
     fits = F.expr(f"{percent} * greatest(x.node.n, y.node.n) <= 100 * least(x.node.n, y.node.n)") & _marks_fit(percent)
-    comp = _merged(None, _linked(pairs, sets, percent))
+    comp = None
     for place in (*range(1, ROUNDS + 1), None):
-        left = met.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = left.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more").select("key")
-        left = stage(left.join(mixed, "key").join(marks, "node"), "left")
-        if place:  # every node of a key meets the best connected node of one component, of another one in each round
-            best = F.struct("score", "node")
-            tops = left.groupBy("key", "component").agg(F.max(best).alias("best"), F.max_by(F.struct("node", "mark", "half"), best).alias("p"))
+        if comp is None:
+            left = met.withColumn("component", F.col("node"))
+        else:
+            left = met.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = left.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more").select("key")
+            left = left.join(mixed, "key")
+        left = stage(left.join(marks, "node").select("key", "node", "component", "mark", "half", "score"), "left")
+        best, p = F.struct("score", "node"), F.struct("node", "component", "mark", "half")
+        if place == 1:  # every node of a key meets its best connected one,
+            other = left.groupBy("key").agg(F.max_by(p, best).alias("p")).select("key", "p.*")
+        elif place:  # and in later rounds that of another component
+            tops = left.groupBy("key", "component").agg(F.max(best).alias("best"), F.max_by(p, best).alias("p"))
             ranked = tops.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("best"))))
-            other = ranked.where(F.col("place") == place).select("key", "component", "p.*")
-            apart = F.col("x.component") != F.col("y.component")
-        else:  # every pair of a key that is not yet in one component
-            other, apart = left, F.col("x.component") < F.col("y.component")
+            other = ranked.where(F.col("place") == place).select("key", "p.*")
+        else:
+            other = left
+        # at last every pair of a key that is not yet in one component
+        apart = F.col("x.component") != F.col("y.component") if place else F.col("x.component") < F.col("y.component")
         cross = left.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & fits)
         pairs = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         comp = _merged(comp, _linked(stage(pairs, "pairs"), sets, percent))

@@ -102,3 +102,28 @@ def test_components(spark):
     got = components(spark.createDataFrame(pairs, "u long, v long")).collect()
     assert {x.node: x.component for x in got} == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_large_family_of_near_copies(spark):
+    """Copies of one text with up to half of the words changed: one large component, and many that link with nothing."""
+    r = random.Random(3)
+    base = " ".join(f"w{r.randrange(10**6)}" for _ in range(150))
+    texts = near_copies(r, base, 1500, 14)
+    words = J._Words()
+    sets = [J.shingles(t, words) for t in texts]
+    every = np.unique(np.concatenate(sets))
+    there = np.zeros((len(sets), len(every)), np.float32)
+    for i, s in enumerate(sets):
+        there[i, np.searchsorted(every, s)] = 1
+    size, both = there.sum(1), there @ there.T
+    near = 100 * both >= 80 * (size[:, None] + size - both)
+    least = np.arange(len(sets))
+    while True:
+        now = np.where(near, least[None], len(sets)).min(1)
+        if (now == least).all():
+            break
+        least = now
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in J.jaccard_components(df).collect()}
+    assert [got[i] for i in range(len(sets))] == least.tolist()
+    assert np.bincount(least).max() > 300 and len(set(least.tolist())) > 300
