@@ -40,6 +40,8 @@ SMOOTH = 0.1
 #: Log-likelihood that one more language must gain, times the logarithm of the number of n-grams.
 PENALTY = 4.0
 ROUNDS, PRECISION = 200, 1e-3
+#: Languages whose list may be sent to all tasks; a longer one is joined.
+LISTED = 10_000
 PIECE = 1 << 20
 UNKNOWN = "und"
 
@@ -166,7 +168,9 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """Models of the languages of ``docs``, held-out rows left out."""
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), column(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    sizes = rows.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share"))
+    sizes = stage(rows.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share")), "languages")
+    if sizes.count() <= LISTED:  # texts stay where they are
+        sizes = F.broadcast(sizes)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(sizes, "lang").where(draw < F.col("share")).select("lang", "text")
     got = stage(sample.mapInArrow(_counted, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "grams").toPandas()
