@@ -158,7 +158,7 @@ def line_by_opponent(
 
 def player_vs_lines(
     df: DataFrame,
-    target: str,
+    target: str | Sequence[str],
     lines: Sequence[float] | None = None,
     lookback_days: int = 60,
     at_least: float = 0.96,
@@ -166,25 +166,26 @@ def player_vs_lines(
     min_games: int = 10,
     key: str = "Player",
 ) -> DataFrame:
-    """Lines that a player beats or misses often enough, over the recent rows."""
+    """Lines that a player beats or misses often enough, over the recent rows: one aggregate for the lines of all
+    targets. With several targets a column ``target`` says which."""
     pairs = line_pairs(target, lines)
+    targets = list(dict.fromkeys(t for t, _ in pairs))
     recent = recent_days(df, lookback_days)
     size = recent.agg(F.count("*").alias("_rows"))
-    aggs = [F.count(F.when(col(t) > x, 1)).alias(f"_o{i}") for i, (t, x) in enumerate(pairs)]
+    about = {"avg_value": F.avg, "std_value": F.stddev_samp, "min_value": F.min, "max_value": F.max}
     players = recent.groupBy(key).agg(
         F.count("*").alias("num_games"),
-        F.avg(col(target)).alias("avg_value"),
-        F.stddev_samp(col(target)).alias("std_value"),
-        F.min(col(target)).alias("min_value"),
-        F.max(col(target)).alias("max_value"),
-        *aggs,
+        *[make(col(t)).alias(f"_{name}_{i}") for i, t in enumerate(targets) for name, make in about.items()],
+        *[F.count(F.when(col(t) > x, 1)).alias(f"_o{i}") for i, (t, x) in enumerate(pairs)],
     )
-    items = _rows(pairs, lambda i: [col(f"_o{i}").alias("_overs")])
+    # the numbers of a target go along with each of its lines
+    own = lambda i: [col(f"_{name}_{targets.index(pairs[i][0])}").cast("double").alias(name) for name in about]
+    items = _rows(pairs, lambda i: [*own(i), col(f"_o{i}").alias("_overs")])
     p = col("_overs") / col("num_games")
-    return (
+    out = (
         with_scalar(players, size)
         .where((col("num_games") >= min_games) & (col("_rows") >= min_rows))
-        .select(key, "num_games", "avg_value", "std_value", "min_value", "max_value", F.inline(items))
+        .select(key, "num_games", F.inline(items))
         .withColumns(
             {
                 "over_rate": p,
@@ -193,8 +194,8 @@ def player_vs_lines(
             }
         )
         .where(col("confidence") >= at_least)
-        .drop("_overs", "target")
     )
+    return out.drop("_overs", *(["target"] if isinstance(target, str) else []))
 
 
 def player_line_summary(df: DataFrame, found: DataFrame, lookback_days: int = 60, key: str = "Player") -> DataFrame:

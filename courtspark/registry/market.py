@@ -59,9 +59,7 @@ def by_opponent(spark, sf_dir):
 
 
 def per_player(spark, sf_dir):
-    df = player_games(spark, sf_dir)
-    made = [lines.player_vs_lines(df, t, at_least=0.8).withColumn("target", F.lit(t)) for t in TARGETS]
-    return tidy(reduce(DataFrame.unionByName, made))
+    return tidy(lines.player_vs_lines(player_games(spark, sf_dir), TARGETS, at_least=0.8))
 
 
 def per_player_summary(spark, sf_dir):
