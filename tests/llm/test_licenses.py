@@ -49,14 +49,14 @@ def brute(rows=ROWS):
     weight = lambda w: math.log((1 + len(lines)) / (1 + df[w])) + 1e-6
     vector = lambda words: {w: n * weight(w) for w, n in Counter(words).items()}
     length = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    templates = [(name, vector(words_of(t))) for name, t in L.TEMPLATES + L.HEADERS + L.TEXTS]
+    templates = [(name, v, length(v)) for name, v in ((name, vector(words_of(t))) for name, t in L.TEMPLATES + L.HEADERS + L.TEXTS)]
     out = []
     for path, text in rows:
         best = []
         for part in parts_of(text or ""):
             a = vector(part)
-            for name, b in templates:
-                score = sum(a.get(w, 0) * x for w, x in b.items()) / (length(a) * length(b)) if a and b else 0
+            for name, b, size in templates:
+                score = sum(x * b.get(w, 0) for w, x in a.items()) / (length(a) * size) if a else 0
                 if score >= L.THRESHOLD:
                     best.append((-round(score, 9), name))
         out.append((path, min(best)[1] if best else None))
