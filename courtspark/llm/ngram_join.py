@@ -359,31 +359,36 @@ def jaccard_components(
     sets = stage(sets.dropDuplicates(["sig", "n"]), "sets")
 
     # how well a node is connected: the sets of all its keys
-    scores = met.groupBy("node").agg(F.sum("sets").alias("score"))
-    marks = stage(sets.select(_node("sig", "n").alias("node"), "mark", "half").join(scores, "node"), "marks")
-    fits = F.expr(f"{percent} * greatest(x.node.n, y.node.n) <= 100 * least(x.node.n, y.node.n)") & _marks_fit(percent)
-    comp = None
+    scores = stage(met.groupBy("node").agg(F.sum("sets").alias("score")), "scores")
+    marks = stage(sets.select(_node("sig", "n").alias("node"), "mark", "half"), "marks")
+    comp, sizes_fit = None, f"{percent} * greatest(x.node.n, y.node.n) <= 100 * least(x.node.n, y.node.n)"
     for place in (*range(1, ROUNDS + 1), None):
         if comp is None:
-            left = met.withColumn("component", F.col("node"))
+            left = met.select("key", "node", F.col("node").alias("component"))
         else:
-            left = met.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            left = met.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
             mixed = left.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more").select("key")
             left = left.join(mixed, "key")
-        left = stage(left.join(marks, "node").select("key", "node", "component", "mark", "half", "score"), "left")
-        best, p = F.struct("score", "node"), F.struct("node", "component", "mark", "half")
-        if place == 1:  # every node of a key meets its best connected one,
-            other = left.groupBy("key").agg(F.max_by(p, best).alias("p")).select("key", "p.*")
-        elif place:  # and in later rounds that of another component
-            tops = left.groupBy("key", "component").agg(F.max(best).alias("best"), F.max_by(p, best).alias("p"))
-            ranked = tops.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("best"))))
-            other = ranked.where(F.col("place") == place).select("key", "p.*")
-        else:
-            other = left
-        # at last every pair of a key that is not yet in one component
-        apart = F.col("x.component") != F.col("y.component") if place else F.col("x.component") < F.col("y.component")
-        cross = left.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & fits)
-        pairs = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        if place:
+            left = stage(left.join(scores, "node"), "left")
+            best, p = F.struct("score", "node"), F.struct("node", "component")
+            if place == 1:  # every node of a key meets its best connected one,
+                other = left.groupBy("key").agg(F.max_by(p, best).alias("p")).select("key", "p.*")
+            else:  # and in later rounds that of another component
+                tops = left.groupBy("key", "component").agg(F.max(best).alias("best"), F.max_by(p, best).alias("p"))
+                ranked = tops.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("best"))))
+                other = ranked.where(F.col("place") == place).select("key", "p.*")
+            cross = left.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & F.expr(sizes_fit))
+            # a pair that meets under many keys is looked at once, so parities go along with pairs, not with keys
+            pairs = stage(cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+            x, y = (F.struct("node", "mark", "half").alias(c) for c in "xy")
+            pairs = pairs.join(marks.select(F.col("node").alias("a"), x), "a").join(marks.select(F.col("node").alias("b"), y), "b").where(_marks_fit(percent))
+            pairs = pairs.select("a", "b")
+        else:  # at last every pair of a key that is not yet in one component
+            left = stage(left.join(marks, "node").select("key", "node", "component", "mark", "half"), "left")
+            apart = F.col("x.component") < F.col("y.component")
+            cross = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & F.expr(sizes_fit) & _marks_fit(percent))
+            pairs = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         comp = _merged(comp, _linked(stage(pairs, "pairs"), sets, percent))
     named = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = stage(named, "named")
