@@ -184,3 +184,13 @@ def test_fold_plans_by_name(table):
         splits.fold_plan(table, "hashed", 3)
     sizes = splits.block_folds(table.limit(10), ["game_id"], 4).groupBy("fold").count().orderBy("fold").collect()
     assert [r["count"] for r in sizes] == [3, 3, 2, 2]
+
+
+def test_fits_work_in_even_parts(spark, prepared):
+    """Every core gets its share of the training rows, however few files the history was written in."""
+    cores = spark.sparkContext.defaultParallelism
+    sizes = prepared.train.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= cores and max(r["count"] for r in sizes) <= 2 * 960 / cores
+    assert models.regressors("points")["forest"].getCacheNodeIds() and models.classifiers("win")["forest"].getCacheNodeIds()
+    many = models.spread(spark.range(10), 20 * models.FIT_ROWS * cores, "id")
+    assert many.rdd.getNumPartitions() == 20 * cores
