@@ -396,10 +396,10 @@ def permutation_importance(
 
     from pyspark.ml.functions import array_to_vector
 
-    rows = stage(
-        row_index(df.select(key, "y", *features), [col(key)], "_ix", limit), "indexed"
-    )
-    n = rows.count()
+    known = df.select(key, "y", *features)
+    n = row_count(known)
+    # scoring walks every tree once per feature and repeat: even parts for all cores
+    rows = stage(spread(row_index(known, [col(key)], "_ix", limit, n), n * len(features) * repeats, "_ix"), "indexed")
     base = _mae(model, rows.withColumn("features", array_to_vector(_values(features))))
     rng, parts = random.Random(SEED), []
     for r in range(repeats):
@@ -408,7 +408,8 @@ def permutation_importance(
         other = rows.select(
             ((col("_ix") * a + b) % n).alias("_ix"), *[col(f).alias(f"_p_{f}") for f in features]
         )
-        parts.append(rows.join(other, "_ix").withColumn("repeat", F.lit(r)))
+        pairs = rows.join(other, "_ix")
+        parts.append(spread(pairs, n * len(features), "_ix").withColumn("repeat", F.lit(r)))
     joined = parts[0]
     for p in parts[1:]:
         joined = joined.unionByName(p)
