@@ -194,3 +194,22 @@ def test_fits_work_in_even_parts(spark, prepared):
     assert models.regressors("points")["forest"].getCacheNodeIds() and models.classifiers("win")["forest"].getCacheNodeIds()
     many = models.spread(spark.range(10), 20 * models.FIT_ROWS * cores, "id")
     assert many.rdd.getNumPartitions() == 20 * cores
+
+
+def test_search_fits_settings_of_one_shape_once(prepared, monkeypatch):
+    """The same errors as a fit per setting and fold, from fewer fits."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import GBTRegressor
+
+    fits, plain = [], GBTRegressor.fit
+    space = {"maxIter": (2, 4, 5), "maxDepth": (2,), "stepSize": (0.3,), "subsamplingRate": (0.8,)}
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, df: fits.append(self.getMaxIter()) or plain(self, df))
+    best, tried = models.random_search(prepared.train, 4, 2, space=space)
+    assert len(fits) == 2 + 1
+    folded = prepared.train.withColumn("_fold", F.pmod(F.xxhash64(col("game_id")), F.lit(2)).cast("int"))
+    mae = RegressionEvaluator(labelCol="y", metricName="mae")
+    for settings, got in tried:
+        boost = GBTRegressor(featuresCol="features", labelCol="y", seed=models.SEED, **settings)
+        own = [mae.evaluate(plain(boost, folded.where(col("_fold") != k)).transform(folded.where(col("_fold") == k))) for k in (0, 1)]
+        assert got == pytest.approx(sum(own) / 2, abs=1e-9)
+    assert best.getNumTrees == min(tried, key=lambda x: x[1])[0]["maxIter"]
