@@ -14,7 +14,7 @@ from courtspark.operators import lines, markets
 from courtspark.registry.entry import Query, ask, tidy
 from courtspark.sources import odds as odds_source
 from courtspark.sources.reports import read_report, write_report, write_value_bets
-from courtspark.sources.staging import staging_folder
+from courtspark.sources.staging import stage_lines, staging_folder
 from courtspark.views import EVENT_RESULTS, PLAYER_GAMES, PRICES, event_results, odds_documents, player_games, prices
 
 ORDER = ["ts", "game_id"]
@@ -212,10 +212,9 @@ def snapshot_files(spark, sf_dir):
 
 def rejected(spark, sf_dir):
     """Documents of March cut off, those of April without games: kept apart with the reason, the others read."""
-    folder = f"{staging_folder(spark)}/snapshots-{uuid.uuid4().hex}"
     month = F.regexp_extract("value", r'"last_update":"\d{4}-(\d\d)', 1)
     cut = F.when(month == "03", F.expr("left(value, length(value) - 30)")).when(month == "04", F.replace("value", F.lit('"data"'), F.lit('"date"'))).otherwise(col("value"))
-    odds_documents(spark, sf_dir).select(cut.alias("value")).write.text(folder)
+    folder = stage_lines(odds_documents(spark, sf_dir).select(cut.alias("value")), "snapshots")
     kept = odds_source.read_snapshots(spark, folder, f"{folder}-rejected")
     apart = spark.read.parquet(f"{folder}-rejected").groupBy("reason").agg(F.count("*").alias("documents"))
     return tidy(apart.unionByName(kept.agg(F.lit("none").alias("reason"), F.count("*").alias("documents"))))

@@ -1,11 +1,14 @@
 import json
 import time
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import col
 from courtspark.operators.markets import TRACK, explode_props, line_tracks, long_props
+from courtspark.sources import staging
 from courtspark.sources.odds import check_documents, good_documents, read_snapshot_texts, read_snapshots, rejected_documents
 from courtspark.streaming.odds_feed import append_prices, append_rejected, current_tracks, polled_prices, snapshot_stream, track_lines
 from courtspark.views import odds_documents
@@ -119,3 +122,13 @@ def test_batch_tracks(spark):
     df = spark.createDataFrame(rows, "player string, h int, price double").select("player", "price", F.expr("timestampadd(HOUR, h, TIMESTAMP '2024-01-01')").alias("polled"))
     got = [(r["track"], r["polls"], r["first_price"], r["last_price"], r["low"], r["high"]) for r in line_tracks(df, ["player"]).orderBy("track").collect()]
     assert got == [(1, 3, 1.0, 2.0, 1.0, 3.0), (2, 1, 9.0, 9.0, 9.0, 9.0)]
+
+
+def test_written_lines_are_compressed_and_come_back(spark, monkeypatch):
+    monkeypatch.setattr(staging, "FILE_LINES", 300)
+    lines = spark.range(1000, numPartitions=1).selectExpr("concat('{\"line of a document that is written out\": ', id, '}') AS value")
+    folder = staging.stage_lines(lines)
+    assert sorted(r[0] for r in spark.read.text(folder).collect()) == sorted(r[0] for r in lines.collect())
+    files = [f for f in Path(urlparse(folder).path).iterdir() if f.suffix == ".gz"]
+    assert len(files) == 4  # one task reads one file
+    assert sum(f.stat().st_size for f in files) < lines.selectExpr("sum(length(value))").first()[0] / 4
