@@ -204,8 +204,7 @@ def long_again(spark, sf_dir):
 
 def snapshot_files(spark, sf_dir):
     """Documents written as JSON lines, then read back with the nested schema."""
-    folder = f"{staging_folder(spark)}/snapshots-{uuid.uuid4().hex}"
-    odds_documents(spark, sf_dir).write.text(folder)
+    folder = stage_lines(odds_documents(spark, sf_dir), "snapshots")
     df = odds_source.read_snapshots(spark, folder)
     return tidy(df.groupBy("last_update", "success").agg(F.count("*").alias("documents"), F.sum(F.size("data")).alias("games")))
 
