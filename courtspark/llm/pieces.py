@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtspark.llm.common import row_hash, small_batches
+from courtspark.llm.common import handing_back, row_hash, small_batches
 from courtspark.llm.wordwise import WordTable, encode_texts, split_groups
 
 MARK = "▁"
@@ -209,7 +209,7 @@ def _encode(path: str | None):
                 names=["doc_id", "row_hash", "ids", "n_tokens", "n_bytes", "ids_crc32", "verified"],
             )
 
-    return run
+    return handing_back(run, lambda: _codec(path or default_model()).table.clear())
 
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:

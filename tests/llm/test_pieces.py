@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 
 from courtspark.llm import pieces as P
@@ -46,3 +47,10 @@ def test_documents(spark, odd_documents):
     back = {r.doc_id: r.text for r in P.decode(P.encode(odd_documents)).collect()}
     assert back[7] == "ünïcode 漢字 \U0001f600 text" and back[1] == "" and back[5].endswith("long end")
     assert P.encode(odd_documents.limit(0)).count() == 0
+
+
+def test_a_task_leaves_no_words_behind():
+    batch = pa.record_batch({"doc_id": [1], "text": ["some words of a text"], "row_hash": [2]})
+    assert [x.column("verified").to_pylist() for x in P._encode(None)(iter([batch]))] == [[True]]
+    table = P._codec(P.default_model()).table
+    assert not table.code and not len(table.ids)
