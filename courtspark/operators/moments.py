@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtspark.functions.scalars import col, finite
+from courtspark.functions.scalars import col, finite, ratio
 from courtspark.operators import evaluation
 from courtspark.plans.ordering import row_index
 from courtspark.sources.staging import stage
@@ -143,6 +143,25 @@ def scored(df: DataFrame, fits: Mapping[tuple, tuple[Linear, Column]], names: Se
     return df.select(col("y").alias("y_true"), F.inline(F.array_compact(F.array(*items))))
 
 
+def cell_r2(df: DataFrame, fits: Mapping[tuple, tuple[Linear, Column]], names: Sequence[str], cells: Sequence[str]) -> DataFrame:
+    """The columns ``names`` (a fit's key), role, n and r2 of every fit, whose roles depend on the columns ``cells`` alone.
+    A row is scored with all the fits it belongs to, and its squared errors are added up in its cell: rows are never
+    multiplied by fits, only cells are."""
+    known = df.select(*[col(c) for c in cells], "y", *[finite(col(f).cast("double")).alias(f) for f in next(iter(fits.values()))[0].coefficients])
+    error = [F.sum(F.when(role.isNotNull(), (linear.predict() - col("y")) ** 2)).alias(f"e{i}") for i, (linear, role) in enumerate(fits.values())]
+    y = [F.count("y").alias("rows"), F.avg("y").alias("mean"), F.var_pop("y").alias("spread")]
+    sums = stage(known.groupBy(*cells).agg(*y, *error), "errors")
+    items = []
+    for i, (key, (_, role)) in enumerate(fits.items()):
+        row = F.struct(*[F.lit(k).alias(n) for n, k in zip(names, key, strict=True)], role.alias("role"), col(f"e{i}").alias("error"))
+        items.append(F.when(role.isNotNull(), row))
+    each = sums.select("rows", "mean", "spread", F.inline(F.array_compact(F.array(*items)))).groupBy(*names, "role")
+    n = F.sum("rows")
+    between = F.sum(col("rows") * col("mean") ** 2) - F.sum(col("rows") * col("mean")) ** 2 / n
+    made = each.agg(n.alias("n"), F.sum("error").alias("error"), (F.sum(col("rows") * col("spread")) + between).alias("total"))
+    return made.select(*names, "role", "n", (1 - ratio(col("error"), col("total"))).alias("r2"))
+
+
 # ------------------------------------------------------------------ plans of folds
 
 
@@ -192,5 +211,5 @@ def learning_curve(df: DataFrame, features: Sequence[str], how: Callable[[Moment
             cells = [f * 1000 + j for f in range(folds) if f != k for j in range(i + 1)]
             role = F.when(col("fold") == k, "validation").when(col("place") <= i, "train")
             fits[float(s), k] = fit_cells(moments, cells, how), role
-    each = evaluation.regression_metrics(scored(rows, fits, ["size", "fold"]), ["size", "fold", "role"])
+    each = cell_r2(rows, fits, ["size", "fold"], ["fold", "place"])
     return each.groupBy("size", "role").agg(F.avg("n").alias("rows"), F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"))

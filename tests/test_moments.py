@@ -7,6 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import col
+from courtspark.operators import evaluation
 from courtspark.operators import moments as M
 
 NAMES = ["a", "b%", "c", "flat"]
@@ -103,3 +104,16 @@ def test_learning_curve_is_made_of_fits_on_its_rows(rows):
 def test_no_rows_to_fit(rows):
     with pytest.raises(ValueError):
         M.fit_cells(M.cell_moments(rows, NAMES, "y"), [9])
+
+
+def test_rows_are_not_multiplied_by_fits(rows, monkeypatch):
+    cells = rows.withColumns({"fold": M.drawn(col("game_id"), 42, 1) % 3})
+    moments = M.cell_moments(cells, NAMES, "y", "fold")
+    fits = {(k,): (M.fit_cells(moments, [j for j in range(3) if j != k]), F.when(col("fold") == k, "validation").otherwise("train")) for k in range(3)}
+    order = ["fit", "role"]
+    got = M.cell_r2(cells, fits, ["fit"], ["fold"]).orderBy(order).collect()
+    want = evaluation.regression_metrics(M.scored(cells, fits, ["fit"]), order).orderBy(order).collect()
+    assert [(r["fit"], r["role"], r["n"]) for r in got] == [(r["fit"], r["role"], r["n"]) for r in want]
+    assert [r["r2"] for r in got] == pytest.approx([r["r2"] for r in want], abs=1e-9)
+    monkeypatch.setattr(M, "scored", None)
+    assert M.learning_curve(rows, NAMES, sizes=(0.5, 1.0), folds=2).count() == 4
