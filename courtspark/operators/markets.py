@@ -56,7 +56,7 @@ def explode_props(
     return outcomes.select(
         *keep,
         name.alias("outcome"),
-        F.regexp_replace(name, r"(?i)\s*(over|under)$", "").alias("player"),
+        _without_side(name, lowered).alias("player"),
         F.col("o.team").alias("team"),
         "prop_type",
         point.alias("line"),
@@ -69,15 +69,33 @@ def explode_props(
     )
 
 
+_SPACES = " \t\n\x0b\f\r"
+
+
+def _without_side(name: Column, lowered: Column) -> Column:
+    """The name without the side at its end and the space before it. A name that plainly ends with its side is
+    cut there; the pattern, which takes longer, also knows a side before a last line break."""
+    cut = lambda word: F.rtrim(F.substring(name, F.lit(1), F.char_length(name) - len(word)), F.lit(_SPACES))
+    ends = F.when(lowered.endswith("over"), cut("over")).when(lowered.endswith("under"), cut("under"))
+    return ends.otherwise(F.regexp_replace(name, r"(?i)\s*(over|under)$", ""))
+
+
 def _number(x: Column, kind) -> Column:
     """A double, also out of a variant that holds a number or its text; null for any other variant."""
     return F.try_variant_get(x, "$", "double") if isinstance(kind, VariantType) else x
 
 
 def _names_target(prop_type: Column, target: str) -> Column:
+    return _holds_synonym(F.lower(prop_type), target)
+
+
+def _holds_synonym(lowered: Column, target: str) -> Column:
+    """Synonyms that hold another one of the target add no match and are not looked for."""
+    words = fixed.PROP_SYNONYMS[target]
     hit = F.lit(False)
-    for word in fixed.PROP_SYNONYMS[target]:
-        hit = hit | F.lower(prop_type).contains(word)
+    for word in words:
+        if not any(other != word and other in word for other in words):
+            hit = hit | lowered.contains(word)
     return hit
 
 
@@ -91,13 +109,15 @@ def targets_of(prop_type: Column) -> Column:
 def long_props(props: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(player, target, line, side, bookmaker, price, game_time) with known prices only.
 
-    The outer form keeps Spark from testing all synonyms in a filter first and then once more.
+    The outer form keeps Spark from testing all synonyms in a filter first and then once more. Nulls of
+    targets that a market does not name fall with the last condition; a lambda to drop them would run uncompiled.
     """
+    targets = F.array(*[F.when(_holds_synonym(col("_market"), t), t) for t in fixed.PROP_SYNONYMS])
     side = F.when(col("over_price").isNotNull(), "over").when(col("under_price").isNotNull(), "under")
-    return props.select(
+    return props.withColumn("_market", F.lower("prop_type")).select(
         *keep,
         "player",
-        F.explode_outer(targets_of(col("prop_type"))).alias("target"),
+        F.explode_outer(targets).alias("target"),
         "line",
         side.alias("side"),
         "bookmaker",

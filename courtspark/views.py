@@ -304,10 +304,10 @@ def odds_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     document = F.struct(
         F.lit(True).alias("success"),
-        F.date_format("snapshot", "yyyy-MM-dd'T'HH:mm:ss").alias("last_update"),
+        F.col("_time").alias("last_update"),
         F.array(
             F.struct(
-                F.date_format("snapshot", "yyyy-MM-dd'T'HH:mm:ss").alias("commence_time"),
+                F.col("_time").alias("commence_time"),
                 F.lit("HOME").alias("home_team"),
                 F.lit("AWAY").alias("away_team"),
                 F.array(
@@ -326,7 +326,8 @@ def odds_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("data"),
     )
-    return quotes(spark, sf_dir).select(F.to_json(document).alias("value"))
+    time = F.date_format("snapshot", "yyyy-MM-dd'T'HH:mm:ss")
+    return quotes(spark, sf_dir).withColumn("_time", time).select(F.to_json(document).alias("value"))
 
 
 def scored_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

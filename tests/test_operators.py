@@ -288,6 +288,25 @@ def test_props(spark):
     assert odds_source.fresh_snapshots(docs, "2024-01-01 18:00:00").count() == 0
 
 
+def test_sides_and_targets_of_odd_names(spark):
+    names = ["A  Over", "B UNDER", "over", "C over under", "Crossover", "Mr \t Under", "E\u00a0Over", "F over\n", "G Over \n", "Over H", "I over\r\n", "", None]
+    markets_of = ["player_points_rebounds", "Player_3Pt", "player total assists", "player_blocks", "PLAYER PTS", None]
+    outcomes = "array<struct<name: string, team: string, point: double, price: double>>"
+    kind = f"data array<struct<commence_time: string, home_team: string, away_team: string, bookmakers: array<struct<key: string, markets: array<struct<key: string, outcomes: {outcomes}>>>>>>"
+    made = [(m, [(n, "T", 1.0, 2.0) for n in names]) for m in markets_of]
+    docs = spark.createDataFrame([([("2024-01-02", "H", "A", [("B", made)])],)], kind)
+    props = markets.explode_props(docs)
+    got = props.select("player", F.regexp_replace("outcome", r"(?i)\s*(over|under)$", "").alias("want")).collect()
+    assert len(got) == len(names) * 5 and all(r["player"] == r["want"] for r in got)
+    long = markets.long_props(props)
+    found = {(r["prop_type"], t) for r in props.select("prop_type", markets.targets_of(col("prop_type")).alias("t")).collect() for t in r["t"]}
+    assert found == {("player_points_rebounds", "PTS"), ("player_points_rebounds", "TRB"), ("Player_3Pt", "3P"), ("player total assists", "AST"), ("PLAYER PTS", "PTS")}
+    priced = sum((n or "").lower().endswith(("over", "under")) for n in names)
+    assert {r["target"]: r["count"] for r in long.groupBy("target").count().collect()} == {"PTS": 2 * priced, "TRB": priced, "3P": priced, "AST": priced}
+    # the steps stay compiled: no lambda runs once per outcome
+    assert "lambdafunction" not in long._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stakes_add_up(spark):
     data = [("PTS", float(i), "over", 0.97, 0.5, 0.47, 0.02, "value") for i in range(20)]
     df = spark.createDataFrame(data, "target string, line double, prediction string, adjusted_confidence double, market_probability double, edge double, kelly_fraction double, verdict string")
