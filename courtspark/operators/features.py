@@ -15,7 +15,7 @@ from courtspark.functions import rolling, shooting, situation
 from courtspark.functions.scalars import col, fill, flag, with_scalar
 from courtspark.plans.history import with_history
 from courtspark.plans.ordering import average_rank_share, exact_quantiles
-from courtspark.plans.sizes import row_count
+from courtspark.plans.sizes import even_parts, row_count
 from courtspark.sources.staging import stage
 
 TEAM, PLAYER = ("Team",), ("Player",)
@@ -551,9 +551,15 @@ def current_streak(
     return df.withColumn(name, streak).drop("_flag", "_at", "_miss")
 
 
+#: Rows of one opponent that a task may sort.
+OPPONENT_ROWS = 250_000
+
+
 def opponent_defence(
     df: DataFrame, order=ORDER, task_rows: int | None = None, rows: int | None = None
 ) -> DataFrame:
+    """There are few opponents, so their rows are cut into blocks earlier than those of players."""
+    task_rows = OPPONENT_ROWS if task_rows is None else task_rows
     return with_history(
         df,
         ["Opp"],
@@ -568,14 +574,18 @@ def opponent_defence(
 def double_features(games: DataFrame, order=ORDER, task_rows: int | None = None) -> DataFrame:
     """Features of the double-double model. Needs flags, venue, starter and, if known, biometrics."""
     rows = row_count(games)
+    # the rows of an opponent are many, so they are sorted before the other features make them wide
+    df = opponent_defence(games, order, task_rows, rows)
     df = _add(
-        season_day(games),
+        season_day(df),
         {"usage_rate_approx": shooting.usage_rate(), "pts_efficiency": shooting.points_per_shot()},
     )
+    # all steps per player share this shuffle; its parts are not merged, so none grows with the table
+    df = df.repartition(even_parts(df.sparkSession, rows, OPPONENT_ROWS), *PLAYER)
     df = with_history(df, PLAYER, order, double_history, 10, task_rows=task_rows, rows=rows)
     df = current_streak(df, order=order, task_rows=task_rows, rows=rows)
     df = last_meeting(df, PLAYER, "double_double", "last_dd_vs_opp", 0.1, order, task_rows, rows)
-    df = opponent_defence(df, order, task_rows, rows)
+    df = df.select(*[col(c) for c in df.columns if c != "opponent_def_rating"], "opponent_def_rating")
     df = df.withColumn("is_back_to_back", situation.back_to_back())
     columns = situation.home_factors("double") | {
         "energy_factor": situation.energy("double"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import col
 from courtspark.plans.ordering import row_index
-from courtspark.plans.sizes import TASK_ROWS, keys_fit_one_task, row_count
+from courtspark.plans.sizes import TASK_ROWS, even_parts, keys_fit_one_task, row_count
 
 _IX, _BLOCK, _HOME, _OWN = "_row_ix", "_block", "_home_block", "_own_row"
 
@@ -94,6 +94,8 @@ def _blocked(df, keys, order, build, reach, running, block_rows, n_rows) -> Data
         F.explode(F.when(near_end, F.array(here, here + 1)).otherwise(F.array(here))),
     )
     spread = spread.withColumn(_OWN, col(_BLOCK) == col(_HOME))
+    # a given number of parts is not merged into larger ones, so few blocks meet in a task
+    spread = spread.repartition(even_parts(df.sparkSession, n_rows, block_rows), _BLOCK, *keys)
     window = Window.partitionBy(_BLOCK, *keys).orderBy(_IX)
     wall = window.rowsBetween(Window.unboundedPreceding, -1)
     out = spread.select(

@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtspark.functions.scalars import col, with_scalar
-from courtspark.plans.sizes import fits_one_task, row_count
+from courtspark.plans.sizes import TASK_ROWS, even_parts, fits_one_task, row_count
 from courtspark.sources.staging import stage
 
 _MID, _PART, _AT, _N = "_sorted_id", "_sorted_part", "_sorted_at", "_sorted_n"
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
-def _sorted_table(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def _sorted_table(df: DataFrame, order: Sequence[Column], parts: int | None = None) -> DataFrame:
     """Range-sorted copy with the partition number and the position inside it."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*([] if parts is None else [parts]), *order).sortWithinPartitions(*order)
     staged = stage(ranged.withColumn(_MID, F.monotonically_increasing_id()), "sorted")
     return staged.withColumn(_PART, F.shiftright(_MID, _PART_BITS)).withColumn(
         _AT, col(_MID) - F.shiftleft(col(_PART), _PART_BITS)
@@ -46,7 +46,8 @@ def row_index(
     ``rows`` is the number of rows of ``df``, if known."""
     if fits_one_task(df, limit, rows):
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    rows = _sorted_table(df, order)
+    parts = None if rows is None else even_parts(df.sparkSession, rows, TASK_ROWS if limit is None else limit)
+    rows = _sorted_table(df, order, parts)
     offsets = _offsets(rows.groupBy(_PART).agg(F.count("*").alias(_N)), [_N])
     return (
         rows.join(F.broadcast(offsets), _PART)  # one row per partition

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows that one task may sort for a single key or for a whole small table.
 TASK_ROWS = 2_000_000
 
 
+# A part is never planned for fewer rows than this, however small the limit.
+LEAST_PART_ROWS = 10_000
+
+
+def even_parts(spark: SparkSession, rows: int, limit: int) -> int:
+    """Parts of half as many rows as a task may sort, one per core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-2 * rows // max(limit, LEAST_PART_ROWS)))
+
+
 def row_count(df: DataFrame) -> int:
     """Counted anew at every call: the data behind a plan can change within a session."""
     return df.count()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from courtspark.functions import rolling
 from courtspark.functions.scalars import col
 from courtspark.operators import features, profiles
-from courtspark.plans import ordering
+from courtspark.plans import ordering, sizes
 from courtspark.plans.history import with_history
 
 ORDER = ["Date", "game_id"]
@@ -59,6 +59,24 @@ def test_blocked_history_equals_plain(log, task_rows):
     pd.testing.assert_frame_equal(frame(plain, names), frame(split, names), check_dtype=False)
 
 
+def test_blocks_are_not_merged_into_larger_tasks(log, monkeypatch):
+    """The rows of a hot key lie in as many parts as the limit asks for, though all would fit one by their bytes."""
+    monkeypatch.setattr(sizes, "LEAST_PART_ROWS", 10)
+    split = with_history(log, ["Team"], ORDER, build, 10, task_rows=40)
+    assert split.rdd.getNumPartitions() == 2 * 600 // 40
+
+
+def test_opponents_are_cut_into_blocks_before_the_rows_are_wide(spark, monkeypatch):
+    data = [(i, f"P{i % 7}", f"O{i % 2}", f"2024-01-{1 + i % 28:02d}", float(i % 31)) for i in range(400)]
+    df = spark.createDataFrame(data, "game_id long, Player string, Opp string, d string, PTS double")
+    df = df.withColumn("Date", F.to_date("d")).drop("d")
+    plain = features.opponent_defence(df, ORDER)
+    monkeypatch.setattr(features, "OPPONENT_ROWS", 50)
+    split = features.opponent_defence(df, ORDER)
+    assert "_block" in split._jdf.queryExecution().toString() and "_block" not in plain._jdf.queryExecution().toString()
+    pd.testing.assert_frame_equal(frame(plain, ["opponent_def_rating"]), frame(split, ["opponent_def_rating"]))
+
+
 def test_history_matches_pandas(log):
     got = frame(with_history(log, ["Team"], ORDER, build, 10, RUNNING()), ["avg5", "std5", "sum_before"])
     pdf = log.toPandas().sort_values(["Team", "Date", "game_id"])
