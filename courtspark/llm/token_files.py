@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courtspark.llm.common import row_hash, small_batches, stage
-from courtspark.llm.wordwise import Spelled, WordTable, encode_texts, split_groups
+from courtspark.llm.wordwise import Spelled, WordTable, encode_column, split_groups
 from courtspark.sources.staging import staging_folder
 
 MAGIC = b"DAC1"
@@ -41,7 +41,10 @@ BLOCK = 512
 END = 0
 #: Ids of a file, about; a longer document has a file of its own.
 IDS_PER_FILE = 1_000_000
-THREADS = 2
+#: Every core has a task of its own, so the library needs no more threads.
+THREADS = 1
+#: New words that are encoded as one text.
+GROUP = 256
 _HEAD = struct.Struct("<4sIQ")
 _COUNT = struct.Struct("<Q")
 
@@ -110,13 +113,16 @@ class TokenFile:
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """The ids from start to stop, without those before or after."""
-        out = np.zeros(stop - start, np.uint32)
-        here = np.arange(stop - start)
+        here = None  # every place
         for level, (chunks, bits, _) in enumerate(self.levels):
-            out[here] |= chunks[start:stop].astype(np.uint32) << np.uint32(8 * level)
+            part = chunks[start:stop].astype(np.uint32)
+            if here is None:
+                out = part
+            else:
+                out[here] |= part << np.uint32(8 * level)
             first = start // 8
-            more = np.unpackbits(bits[first : -(-stop // 8)], bitorder="little")[start - 8 * first :][: stop - start].astype(bool)
-            here = here[more]
+            more = np.unpackbits(bits[first : -(-stop // 8)], bitorder="little")[start - 8 * first :][: stop - start].view(bool)
+            here = np.flatnonzero(more) if here is None else here[more]
             if not len(here):
                 break
             start = self._rank(level, start)
@@ -139,8 +145,8 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Stands before the first word of a text; no text that Spark holds has this character.
-_FIRST = "\ud800"
+#: Stands before the first word of a text; words are cut at spaces, so none holds one.
+_FIRST = " "
 
 
 _ODD = re.compile(r"\s\s|<\|")
@@ -171,13 +177,14 @@ class Encoder:
         if _ODD.search(f" {' '.join(later)} "):
             safe, odd = [w for w in later if _parts(w)], [w for w in later if not _parts(w)]
         starts = Spelled.of(first, self._encode([w[1:] for w in first])[0], [_parts(w[1:]) for w in first])
-        return Spelled.join([starts, Spelled.of(odd, [[]] * len(odd), [False] * len(odd)), split_groups(safe, self._encode, self.starts, " ")])
+        return Spelled.join([split_groups(safe, self._encode, self.starts, " ", GROUP), starts, Spelled.of(odd, [[]] * len(odd), [False] * len(odd))])
 
     def _whole(self, text: str):
         return self._encode([text])[0][0], True
 
-    def texts(self, texts: list[str | None]):
-        return (ids for ids, _ in encode_texts(texts, None, self.table, self._whole, _FIRST))
+    def texts(self, texts: list[str | None] | pa.Array):
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        return encode_column(column, self.table, self._whole, _FIRST)
 
 
 @lru_cache(2)
@@ -207,7 +214,7 @@ def _files(path: str | None, end: int, per_file: int):
         schema = pa.schema([("part", i64), ("seq", i64), ("start", i64), ("n_ids", i64), ("doc_ids", pa.list_(i64)), ("sizes", pa.list_(i64)), ("file", pa.binary())])
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for doc, got in zip(ids, encoder.texts(batch.column("text").to_pylist()), strict=True):
+            for doc, got in zip(ids, encoder.texts(batch.column("text")), strict=True):
                 held += (got, last)
                 sizes.append(len(got) + 1)
                 names.append(doc)

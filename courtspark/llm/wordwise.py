@@ -13,6 +13,8 @@ from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words and ids that a table holds at most, and words that are put together at once.
 MAX_WORDS, MAX_IDS, TOGETHER = 600_000, 6_000_000, 1_000_000
@@ -39,10 +41,10 @@ class Spelled(NamedTuple):
         return cls(list(chain.from_iterable(words)), *map(np.concatenate, rest))
 
 
-def split_groups(words: list[str], encode: Callable, starts: np.ndarray, before: str = "") -> Spelled:
+def split_groups(words: list[str], encode: Callable, starts: np.ndarray, before: str = "", size: int = GROUP) -> Spelled:
     """Words encoded in groups joined by a space, and cut where an id begins a word (``starts``, by
     id). A group that is not well, or does not fall into its words, goes word by word."""
-    groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+    groups = [words[i : i + size] for i in range(0, len(words), size)]
     parts = []
     for group, got, ok in zip(groups, *encode([before + " ".join(g) for g in groups]), strict=True):
         got = np.array(got, np.int32)
@@ -81,15 +83,20 @@ class WordTable:
         self.ids = np.zeros(0, np.int32)
         self.start, self.length, self.fine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def codes(self, words: list[str]) -> np.ndarray:
+    def codes(self, words: list[str] | pa.Array) -> np.ndarray:
         if len(self.code) > MAX_WORDS or len(self.ids) > MAX_IDS:
             self.clear()
         number = self.code.__getitem__
-        codes = np.fromiter(map(number, words), np.int64, len(words))
+        try:  # repeats are found by Arrow, so that each distinct word is looked up once
+            once = (words if isinstance(words, pa.Array) else pa.array(words, pa.large_string())).dictionary_encode()
+            distinct = once.dictionary.to_numpy(zero_copy_only=False).tolist()
+            codes = np.fromiter(map(number, distinct), np.int64, len(distinct))[once.indices.to_numpy()]
+        except UnicodeEncodeError:  # lone surrogates
+            codes = np.fromiter(map(number, words), np.int64, len(words))
         new, self.code.new = self.code.new, []
         if new:
             got = self.encode(new)
-            at = np.fromiter(map(number, got.words), np.int64, len(new))
+            at = slice(len(self.start), None) if got.words == new else np.fromiter(map(number, got.words), np.int64, len(new))
             self.start, self.length, self.fine = (np.r_[x, np.zeros(len(new), x.dtype)] for x in (self.start, self.length, self.fine))
             self.start[at] = len(self.ids) + np.cumsum(got.sizes) - got.sizes
             self.length[at], self.fine[at] = got.sizes, got.fine
@@ -108,7 +115,7 @@ class WordTable:
 def encode_texts(texts: list[str | None], by_words: Callable[[str], bool] | None, table: WordTable, whole: Callable, first: str = "") -> Iterator[tuple[np.ndarray, bool]]:
     """Ids and flag of every text, in order; a null text has none. Without ``by_words`` a text goes by
     words if all is well with each of them, and else as a whole. ``first`` marks a text's first word
-    for the table, where the words after a space have other ids."""
+    for the table, where the words after a space have other ids; a space is in no word."""
     held: list[str | list[str]] = []
     waiting = 0
 
@@ -133,9 +140,45 @@ def encode_texts(texts: list[str | None], by_words: Callable[[str], bool] | None
             at += len(x)
 
     for text in texts:
-        held.append((first + text).split(" ") if text and (by_words is None or by_words(text)) else text or "")
+        parts = text or ""
+        if text and (by_words is None or by_words(text)):
+            parts = text.split(" ")
+            parts[0] = first + parts[0]
+        held.append(parts)
         waiting += len(held[-1]) if isinstance(held[-1], list) else 0
         if waiting > TOGETHER:
             yield from out()
             held, waiting = [], 0
     yield from out()
+
+
+def encode_column(texts: pa.Array, table: WordTable, whole: Callable, first: str) -> Iterator[np.ndarray]:
+    """Ids of every text of a column, in order, as ``encode_texts`` without ``by_words`` gives them. The words are
+    cut by Arrow."""
+    texts = texts.cast(pa.large_string())
+    sizes = pc.fill_null(pc.add(pc.count_substring(texts, " "), 1), 0).to_numpy(zero_copy_only=False)
+    together = np.cumsum(sizes) // TOGETHER
+    cuts = np.r_[np.flatnonzero(np.r_[True, together[1:] != together[:-1]]), len(texts)] if len(texts) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield from _encode_part(texts.slice(a, b - a), sizes[a:b], table, whole, first)
+
+
+def _encode_part(texts: pa.Array, sizes: np.ndarray, table: WordTable, whole: Callable, first: str) -> Iterator[np.ndarray]:
+    ends = np.r_[0, np.cumsum(sizes)]
+    words = pc.split_pattern(texts, " ").flatten()
+    begins = np.zeros(len(words), bool)
+    begins[ends[:-1][sizes > 0]] = True
+    # one call for all words: the table may be emptied between two calls
+    marked = pc.binary_join_element_wise(pa.scalar(first, pa.large_string()), words.filter(pa.array(begins)), pa.scalar("", pa.large_string()))
+    codes = table.codes(pa.chunked_array([marked, words.filter(pa.array(~begins))]).combine_chunks())
+    here = np.empty(len(words), np.int64)
+    here[begins], here[~begins] = codes[: len(marked)], codes[len(marked) :]
+    ids, length = table.spell(here)
+    at = np.r_[0, np.cumsum(length)][ends]
+    fails = np.r_[0, np.cumsum(~table.fine[here])][ends]
+    for row in range(len(texts)):
+        if fails[row + 1] > fails[row]:
+            got, _ = whole(texts[row].as_py())
+            yield np.asarray(got, np.int32)
+        else:
+            yield ids[at[row] : at[row + 1]]

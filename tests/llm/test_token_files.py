@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from courtspark.llm import token_files as T
+from courtspark.llm import wordwise
 
 
 @settings(max_examples=60, deadline=None)
@@ -31,6 +32,21 @@ def test_words_and_whole_texts_agree():
     assert [x.tolist() for x in encoder.texts([None])] == [[]]
 
 
+def test_a_word_is_looked_up_once_per_batch():
+    class Counted(wordwise._Codes):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    table = wordwise.WordTable(lambda words: wordwise.Spelled.of(words, [[len(w)] for w in words], [True] * len(words)))
+    table.code = Counted()
+    codes = table.codes(["a", "bb", " bb"] * 500)
+    assert table.spell(codes)[0].tolist() == [1, 2, 3] * 500 and Counted.asked <= 6
+    assert table.spell(table.codes(["bb", "\ud800x", "a"]))[0].tolist() == [2, 2, 1]
+
+
 def test_round_trip(spark, odd_documents, tmp_path):
     docs = odd_documents.select("doc_id", "text", "n", "part")
     encoder = T._encoder(T.default_tokenizer())
