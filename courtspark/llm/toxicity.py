@@ -7,7 +7,8 @@ is swapped for each other name of its kind and for a neutral word; the squared c
 cannot carry a score of their own, and neutral mentions stay below the threshold.
 
 The model is fitted on at most ``max_rows`` labelled rows, those with the smallest hashes of their
-ids; all rows are scored over their whole texts.
+ids; all rows are scored over their whole texts. Spark counts the texts of every word and the swaps of
+every pair of names; of the texts only words that may get a weight reach the driver.
 
 Defined cases: a null or empty text has no words and gets the score of the intercept; null labels
 are left out; without rows of both labels every score is the share of label 1 (0.5 without labels).
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtspark.llm.common import row_hash, small_batches
+from courtspark.llm.common import row_hash, small_batches, stage
 from courtspark.llm.quality import bounded_labels, held_out
 
 THRESHOLD = 0.7
@@ -93,8 +94,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -60, 60)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, changed: np.ndarray) -> Model:
-    """``rows``: slots of each text's words; ``changed``: pairs of slots that were swapped."""
+def train(rows: list[np.ndarray], labels: np.ndarray, changed: np.ndarray, often: np.ndarray | None = None) -> Model:
+    """``rows``: slots of each text's words; ``changed``: pairs of slots that were swapped, each as ``often``
+    (once)."""
     weights, y = np.zeros(SLOTS), np.asarray(labels, float)
     n = len(y)
     if not 0 < y.sum() < n:
@@ -112,7 +114,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, changed: np.ndarray) -> Mo
     place[used] = np.arange(len(used))
     keep = place[slots] >= 0
     col, row = place[slots[keep]], row[keep]
-    pairs, counts = np.unique(place[changed], axis=0, return_counts=True) if len(changed) else (np.zeros((0, 2), int), np.zeros(0))
+    pairs, at = np.unique(place[changed], axis=0, return_inverse=True) if len(changed) else (np.zeros((0, 2), int), np.zeros(0, int))
+    counts = np.bincount(at.ravel(), often, minlength=len(pairs))
     pull = 2 * COUNTERFACTUAL * counts / n
     weigh = np.where(y > 0, 0.5 / mean, 0.5 / (1 - mean)) / n  # both labels count alike
     # steps by coordinate, from a bound of the second derivative that adds up over the words of a row
@@ -141,24 +144,52 @@ def train(rows: list[np.ndarray], labels: np.ndarray, changed: np.ndarray) -> Mo
 
 
 def _rows(batches):
-    """Slots of the words and the swaps of labelled texts."""
+    """Slots of the words and the swaps of labelled texts; a swap is one number."""
     for batch in batches:
         slots, pairs = [], []
         for text in batch.column("text"):
             text = text.as_py() or ""
-            slots.append(np.array([slot(w) for w in features(words_of(text))], np.int32).tobytes())
-            pairs.append(np.array(swaps(text), np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(slots, pa.binary()), pa.array(pairs, pa.binary())], names=["label", "slots", "pairs"])
+            slots.append(np.array([slot(w) for w in features(words_of(text))], np.int32))
+            pairs.append(np.array([a * SLOTS + b for a, b in swaps(text)], np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(slots, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.int64()))], names=["label", "slots", "pairs"])
+
+
+def _apart(rows: DataFrame, mean: float) -> np.ndarray:
+    """Slots that ``train`` looks at for their share of toxic texts."""
+    counts = rows.select("label", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("times"), F.sum("label").alias("toxic"))
+    z = (F.col("toxic") - F.col("times") * mean) / F.sqrt(F.col("times") * mean * (1 - mean))
+    return np.asarray(counts.where((F.col("times") >= MIN_TEXTS) & (F.abs(z) > APART)).select("slot").toArrow().column("slot"))
+
+
+def _only(used: np.ndarray):
+    """Slots of each text without those that are not ``used``."""
+
+    def run(batches):
+        wanted = np.zeros(SLOTS, bool)
+        wanted[used] = True
+        for batch in batches:
+            slots = [x.values.to_numpy() for x in batch.column("slots")]
+            kept = pa.array([x[wanted[x]].tobytes() for x in slots], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("label"), kept], names=["row", "label", "slots"])
+
+    return run
 
 
 def fit(texts: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """``labels`` has doc_id and label (0 or 1); ``texts`` has doc_id and text."""
     rows = texts.select("doc_id", "text").join(bounded_labels(labels, max_rows, "toxicity"), "doc_id").select("label", "text")
-    got = rows.mapInArrow(_rows, "label long, slots binary, pairs binary").toArrow()  # at most max_rows rows of their words
-    slots = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("slots")]
-    changed = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2) for x in got.column("pairs")]
-    changed = np.concatenate([np.zeros((0, 2), np.int32), *changed])
-    return train([np.zeros(0, np.int32)] if not slots else slots, np.asarray(got.column("label")) if slots else np.zeros(0), changed)
+    rows = rows.mapInArrow(_rows, "label long, slots array<int>, pairs array<long>")
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "words")
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return train([np.zeros(0, np.int32)] * n, np.repeat([1, 0], [toxic, n - toxic]), np.zeros((0, 2), int))
+    swapped = rows.select(F.explode("pairs").alias("pair")).groupBy("pair").count().toArrow()  # at most the pairs of GROUPS
+    pair, often = (np.asarray(swapped.column(c)) for c in ("pair", "count"))
+    changed = np.c_[pair // SLOTS, pair % SLOTS]
+    used = np.union1d(_apart(rows, toxic / n), changed).astype(np.int64)
+    got = rows.mapInArrow(_only(used), "row long, label long, slots binary").toArrow()  # at most max_rows rows of the words in use
+    got = got.sort_by("row")  # sums then round alike, in whatever order the written rows are read
+    return train([np.frombuffer(x.as_buffer(), np.int32) for x in got.column("slots")], np.asarray(got.column("label")), changed, often)
 
 
 class _Weights(dict):

@@ -94,3 +94,22 @@ def test_odd_rows_and_empty_tables(scores, odd_documents, labels):
     assert len(none) == odd_documents.count() and {round(r.score, 6) for r in none} == {0.5}
     assert scores(odd_documents.limit(0), labels).count() == 0
     assert Q.keep_good(odd_documents.limit(0), labels).count() == T.keep_civil(odd_documents.limit(0), labels).count() == 0
+
+
+def test_only_words_in_use_reach_the_driver(spark, monkeypatch):
+    """Texts of many words of their own: what the fit holds follows the words that may get a weight."""
+    monkeypatch.setattr(T, "APART", 2)
+    r, rows = random.Random(5), []
+    for i in range(200):
+        own = " ".join(f"{'abcdefghij'[i % 10]}{''.join(r.choices('klmnopqrst', k=9))}" for _ in range(200))
+        rows.append((i, f"{own}. The {r.choice(['muslims', 'muslims and jews', 'people'])} sat down." + (" You foolhead." if i % 5 == 0 else ""), int(i % 5 == 0)))
+    texts, held, train = spark.createDataFrame(rows, "doc_id long, text string, label long"), [], T.train
+    monkeypatch.setattr(T, "train", lambda *given: held.append(given) or train(*given))
+    got = T.fit(texts.select("doc_id", "text"), texts.select("doc_id", "label"))
+    slots, labels, changed = held[0][:3]
+    assert len(slots) == len(labels) == 200 and sum(map(len, slots)) < 200 * 20
+    assert 0 < len(changed) <= sum(len(g) ** 2 for g in T.GROUPS)
+    every = [np.array([T.slot(w) for w in T.features(T.words_of(t))], np.int32) for _, t, _ in rows]
+    want = train(every, np.array([y for *_, y in rows]), np.array([p for _, t, _ in rows for p in T.swaps(t)]))
+    assert np.allclose(got.weights, want.weights, atol=1e-6) and abs(got.bias - want.bias) < 1e-6
+    assert got.weights[T.slot("foolhead")] > 0
