@@ -24,13 +24,18 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group stays: the one with the smallest id, rows without an id last; of rows that
-    repeat an id, the first one of the staged table. Texts without words stay."""
+    repeat an id, the first one of the staged table. Texts without words stay. The kept rows are listed as
+    one bit each, so that texts meet the list where they are and are not shuffled."""
     rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     groups = ngram_join.jaccard_components(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
     ids = rows.select("__row", F.col("doc_id").isNull().alias("unnamed"), "doc_id")
     first = F.min(F.struct("unnamed", "doc_id", "__row")).alias("first")
-    kept = stage(groups.join(ids, "__row").groupBy("component_id").agg(first).select("first.__row"), "kept")
-    return rows.join(kept, "__row", "left_semi").select(*[column(c) for c in docs.columns])
+    kept = groups.join(ids, "__row").groupBy("component_id").agg(first).select("first.__row")
+    bits = F.expr("bit_or(shiftleft(1L, cast(__row & 63 AS int)))").alias("__bits")
+    kept = stage(kept.groupBy(F.shiftright("__row", 6).alias("__word")).agg(bits), "kept")
+    kept = F.broadcast(kept) if kept.count() <= ngram_join.LISTED else kept
+    found = rows.withColumn("__word", F.shiftright("__row", 6)).join(kept, "__word")
+    return found.where("shiftright(__bits, cast(__row & 63 AS int)) & 1 = 1").select(*[column(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,18 @@ def test_one_row_of_each_group_stays(spark):
     left = corpus_pipeline.drop_near_copies(spark, df, "").collect()
     got = sorted(((x.doc_id, (x.text or "")[:5]) for x in left), key=str)
     assert got == sorted([(5, "stone"), (None, "river"), (7, "house"), (8, ""), (8, ""), (None, "")], key=str)
+
+
+def test_kept_texts_are_not_shuffled(spark):
+    """The list of kept rows is small, whatever may be broadcast without a hint."""
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(20))) for i in range(200)]
+    df, name = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        left = corpus_pipeline.drop_near_copies(spark, df, "")
+        got, plan = sorted(x.doc_id for x in left.collect()), left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, usual)
+    assert got == list(range(0, 200, 2))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
