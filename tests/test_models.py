@@ -213,3 +213,28 @@ def test_search_fits_settings_of_one_shape_once(prepared, monkeypatch):
         own = [mae.evaluate(plain(boost, folded.where(col("_fold") != k)).transform(folded.where(col("_fold") == k))) for k in (0, 1)]
         assert got == pytest.approx(sum(own) / 2, abs=1e-9)
     assert best.getNumTrees == min(tried, key=lambda x: x[1])[0]["maxIter"]
+
+
+def test_training_summary_has_auc_folds_and_stack(table):
+    p = models.prepare(table, NAMES, "win", shuffled=True)
+    chosen = {n: e for n, e in models.classifiers("win", 4).items() if n in ("forest", "logistic")}
+    got = {r["model"]: r for r in models.training_summary(p, chosen, 3, ("stratified", 2)).collect()}
+    assert set(got) == {"forest", "logistic", "stacking"}
+    scored = models.predict_probability(chosen["logistic"].fit(p.train), p.validation, "logistic")
+    assert got["logistic"]["auc_validation"] == pytest.approx(evaluation.auc(scored).first()["auc_roc"])
+    # the folds again, one at a time
+    folded = splits.stratified_folds(p.train.unionByName(p.validation).drop("features"), "y", "game_id", 3)
+    areas, hits = [], []
+    for k in range(3):
+        fit = folded.where(col("fold") != k)
+        fills = models.fills_by_median(fit, NAMES)
+        held = models.predict_probability(chosen["logistic"].fit(models.assemble(fit, NAMES, fills)), models.assemble(folded.where(col("fold") == k), NAMES, fills), "logistic")
+        areas.append(evaluation.auc(held).first()["auc_roc"])
+        hits.append(evaluation.grouped_classification(held, ["model"]).first()["accuracy"])
+    mean = lambda xs: sum(xs) / len(xs)
+    std = lambda xs: mean([(x - mean(xs)) ** 2 for x in xs]) ** 0.5
+    row = got["logistic"]
+    assert (row["cv_auc_mean"], row["cv_accuracy_mean"]) == pytest.approx((mean(areas), mean(hits)), abs=1e-6)
+    assert (row["cv_auc_std"], row["cv_accuracy_std"]) == pytest.approx((std(areas), std(hits)), abs=1e-6)
+    assert all(r["auc_validation"] > 0.95 and r["train_rows"] + r["validation_rows"] == 1200 and r["features"] == 3 for r in got.values())
+    assert row["positive_share"] == pytest.approx(p.train.unionByName(p.validation).agg(F.avg("y")).first()[0])
