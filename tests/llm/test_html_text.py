@@ -72,3 +72,23 @@ def test_lines_of_the_site_inside_main(spark):
     text = {x.page_id: x.text for x in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(text[k] == "\n".join(bodies[k]) for k in range(5))
     assert text[5] == "\n".join(["Site name", "Latest", *bodies[0], "All rights"])
+
+
+def test_lines_of_the_site_inside_articles(spark):
+    r = random.Random(4)
+    bodies = [[f"{r.random()} words" for _ in range(8)] for _ in range(6)]
+    bodies[2][3] = bodies[3][3] = "a passage that two articles share"
+    story = lambda k: f"<article><h1>Title {k}</h1><p>Share this story</p>{''.join(f'<p>{x}</p>' for x in bodies[k])}<p>Sign up</p></article>"
+    rows = [(k, f"http://n.org/a/{k}", f"<div>Sign up</div><div>top {k}</div>{story(k)}") for k in range(6)]
+    rows += [(10, "http://n.org/a/3", rows[3][2]), (11, "http://two.org/a/1", story(0)), (12, "http://two.org/a/2", story(1))]
+    text = {x.page_id: x.text for x in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[k] == "\n".join([f"Title {k}", *bodies[k]]) for k in range(6)) and text[10] == text[3]
+    assert text[11] == "\n".join(["Title 0", "Share this story", *bodies[0], "Sign up"])
+
+
+def test_copies_of_an_article_are_no_second_page():
+    a, b = list("abcdef"), list("aghijk")
+    every = frozenset(range(6))
+    shared = lambda *others: H.shared_with_neighbour("h", "/x", a, [("h", f"/x/{i}", o) for i, o in enumerate(others)], inside=every)
+    assert shared(b) == [] and shared(b, b[:5] + ["z"]) == [] and shared(b, list("abcdez")) == []
+    assert shared(b, list("alm")) == [0] and shared(list("abcdez"), b, list("an")) == [0]
