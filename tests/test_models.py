@@ -238,3 +238,11 @@ def test_training_summary_has_auc_folds_and_stack(table):
     assert (row["cv_auc_std"], row["cv_accuracy_std"]) == pytest.approx((std(areas), std(hits)), abs=1e-6)
     assert all(r["auc_validation"] > 0.95 and r["train_rows"] + r["validation_rows"] == 1200 and r["features"] == 3 for r in got.values())
     assert row["positive_share"] == pytest.approx(p.train.unionByName(p.validation).agg(F.avg("y")).first()[0])
+
+
+def test_fits_of_few_rows_take_few_tasks(prepared):
+    cores = prepared.train.sparkSession.sparkContext.defaultParallelism
+    rows, at_once = models.narrow(prepared.train, 960)
+    assert rows.rdd.getNumPartitions() == 1 and at_once == 2 * cores
+    many, few_at_once = models.narrow(prepared.train, 100 * cores * models.FIT_ROWS)
+    assert many.rdd.getNumPartitions() == prepared.train.rdd.getNumPartitions() and few_at_once == models.FITS_AT_ONCE
