@@ -384,3 +384,19 @@ def test_odds_json_in_every_form(spark, tmp_path):
 def test_modes_in_one_pass(spark):
     df = spark.createDataFrame([("x", "b", None), ("x", "a", None), ("y", "b", None), (None, "a", None)], "p string, q string, r string")
     assert cleaning.modes(df, ["p", "q", "r"]) == {"p": "x", "q": "a", "r": "0"} and cleaning.modes(df, []) == {}
+
+
+def test_many_correlations_are_those_of_one_aggregate(spark, monkeypatch):
+    from courtspark.operators import profiles
+
+    x = [F.when(F.rand(i) < 0.9, F.rand(10 + i)).alias(f"x{i}") for i in range(5)]
+    df = spark.range(300).select(*x, F.lit(1.0).alias("flat"), F.lit(None).cast("double").alias("none"))
+    pairs = [(a, b) for i, a in enumerate(df.columns) for b in df.columns[i + 1 :]]
+    asked = lambda d: {(r["a"], r["b"]): r["r"] for r in profiles.correlations(d, pairs).collect()}
+    long, empty = asked(df), asked(df.limit(0))
+    plan = profiles.correlations(df, pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan
+    monkeypatch.setattr(profiles, "WIDE_PAIRS", 60)
+    wide = asked(df)
+    assert len(pairs) > 8 and set(long) == set(wide) == set(empty) and set(empty.values()) == {None}
+    assert all((long[k] is None) == (wide[k] is None) and (wide[k] is None or abs(long[k] - wide[k]) < 1e-9 or long[k] != long[k] and wide[k] != wide[k]) for k in wide)
